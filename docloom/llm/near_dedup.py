@@ -3,8 +3,9 @@
 The set of a text is its distinct 5-word shingles as 64-bit hashes. Equal sets are one node (their link is
 certain), so a group of copies, however large, costs one row. Nodes that share a band are linked to the
 bucket's smallest node when their full sets confirm it; then every pair of a bucket that these links leave in
-different components, and that the triangle inequality for the Jaccard distance doesn't rule out, is verified as
-well. No bucket is capped, and pairs within what is already one component are never emitted.
+different components is verified as well, unless exact bounds rule it out: the triangle inequality for the Jaccard
+distance, and the shingles that only one of the nodes has. No bucket is capped, and pairs within what is already one component are
+never emitted.
 """
 
 from __future__ import annotations
@@ -168,11 +169,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = stage(shares.groupBy("_band", "_bkey").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("_comp", F.struct("_c", "_comp")).alias("_most"))
                   .where("_comps > 1").select(F.col("_band").alias("_b2"), F.col("_bkey").alias("_k2"), "_most"), "near-mixed")
     open_ = stage(placed.join(mixed, (F.col("_band") == F.col("_b2")) & (F.col("_bkey") == F.col("_k2"))).drop("_b2", "_k2"), "near-open")
-    few = stage(open_.where("_comp <> _most AND _far > 0").select(*[F.col(c).alias(c + "2") for c in ("_band", "_bkey", "_node", "_n", "_comp", "_far")]), "near-few")
+    # shingles that no other of these nodes has can't be common to a pair: they bound every intersection
+    here = open_.select(F.col("_node").alias("_on")).distinct()
+    own = sets.join(here, F.col("_id") == F.col("_on"), "left_semi").select(F.explode("_set").alias("_sh"), "_id").groupBy("_sh").agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_owner"))
+    own = stage(own.where("_c = 1").groupBy("_owner").agg(F.count(F.lit(1)).alias("_alone")), "near-own")
+    open_ = open_.join(own, F.col("_node") == F.col("_owner"), "left").withColumn("_most_common", F.col("_n") - F.coalesce("_alone", F.lit(0))).drop("_owner", "_alone")
+    open_ = stage(open_.where((F.col("_far") > 0) & (F.col("_most_common") * 100 >= F.col("_n") * percent)), "near-able")
+    few = stage(open_.where("_comp <> _most").select(*[F.col(c).alias(c + "2") for c in ("_band", "_bkey", "_node", "_n", "_comp", "_far", "_most_common")]), "near-few")
     share = percent / 100.0
-    rest = open_.where("_far > 0").join(few, (F.col("_band") == F.col("_band2")) & (F.col("_bkey") == F.col("_bkey2")) & (F.col("_comp") != F.col("_comp2"))
-                                        & (F.abs(F.col("_far") - F.col("_far2")) <= 1.0 - share + 1e-9)
-                                        & (F.least("_n", "_n2") >= share * F.greatest("_n", "_n2") - 1e-9))
+    meet = F.least("_most_common", "_most_common2")
+    rest = open_.join(few, (F.col("_band") == F.col("_band2")) & (F.col("_bkey") == F.col("_bkey2")) & (F.col("_comp") != F.col("_comp2"))
+                      & (F.abs(F.col("_far") - F.col("_far2")) <= 1.0 - share + 1e-9)
+                      & (meet * 100 >= (F.col("_n") + F.col("_n2") - meet) * percent))
     rest = stage(rest.select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct(), "near-rest")
     more = _verified(rest, sets).where(linked).select("_a", "_b")
     # components as they are, and the links between them
