@@ -19,7 +19,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hash_all: bool = False) -> DataFrame:
     """Groups of texts that are equal after lower-casing A-Z; of each the row with the largest id stays.
 
-    Returns id_col, keep_id, group_size, kept, full_hash (bytes of SHA-256). Null text counts as
+    Returns id_col, text_hash, keep_id, group_size, kept, full_hash (bytes of SHA-256). Null text counts as
     empty; empty texts are copies of each other. A row that repeats another's id and text counts
     in group_size, and both rows are kept when theirs is the largest id. A null id loses to any
     other; a group of null ids only has keep_id null and keeps its rows. Other columns, whatever their names, are ignored.
@@ -29,7 +29,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     callers that want the digest itself; groups are still refined among survivors only.
     """
     norm = ascii_lower(F.col("_text"))
-    src = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     keyed = src.withColumn("_len", F.octet_length("_text")).withColumn(
         "_prefix", F.xxhash64(ascii_lower(F.substring("_text", 1, prefix_chars))))
     # Levels 1 and 2 in one aggregation: the prefix hash is only compared within a length.
@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     survives = F.col("_slen").isNotNull()
     if not hash_all:
         tagged = tagged.withColumn("_full", F.when(survives, digest)).drop("_text")
-    tagged = tagged.select("_id", "_full", survives.alias("_survives"))
+    tagged = tagged.select("_id", "_hash", "_full", survives.alias("_survives"))
     # Level 3: the full hash, of survivors only.
     groups = stage(
         tagged.where("_survives").groupBy(F.col("_full").alias("_gfull"))
@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = tagged.join(groups, F.col("_full") == F.col("_gfull"), "left")
     alone = F.col("_gfull").isNull()
     return out.select(
-        F.col("_id").alias(id_col),
+        F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"),
         F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, text_of
 from .textbytes import chunks, mix64, utf8, windows
 
 SHINGLE = 5
@@ -81,8 +81,8 @@ def _signatures(k: int, bands: int, rows: int):
                 prints.append(np.array([s.sum(), mix64(s ^ np.uint64(len(s))).sum()], np.uint64).tobytes())
                 bits = superminhash(s, bands * rows).view(np.uint64).reshape(bands, rows)
                 keys.append(mix64((bits * odd).sum(axis=1) + np.arange(bands, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["_id", "_n", "_print", "_bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["_id", "_hash", "_n", "_print", "_bands"])
     return run
 
 
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row of docs id_col, n_shingles, component_id, kept.
+    """For each row of docs id_col, text_hash, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z only. Two texts are linked when 100 * common shingles >= percent * all their
     shingles. A text of fewer than k words has one shingle, all of it; a null or wordless text has none and is
@@ -142,7 +142,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids are expected to be distinct integers; rows that repeat an id get the same verdict if their texts are equal. Null ids come back alone, with component_id null
     and kept true. Other columns are ignored; an empty table gives no rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = stage(texts.mapInArrow(_signatures(k, bands, rows), "_id bigint, _n bigint, _print binary, _bands array<bigint>"), "near-signatures")
+    hashed = texts.withColumn("_hash", F.xxhash64(text_of("_text")))
+    signed = stage(hashed.mapInArrow(_signatures(k, bands, rows), "_id bigint, _hash bigint, _n bigint, _print binary, _bands array<bigint>"), "near-signatures")
     same = signed.where("_n > 0 AND _id IS NOT NULL").groupBy("_print").agg(F.min("_id").alias("_node"))
     nodes = stage(same.select(F.col("_print").alias("_p"), "_node"), "near-nodes")
     # one band array a node
@@ -188,12 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(tied).withColumnRenamed("_node", "_fn")
     groups = stage(nodes.join(final, F.col("_node") == F.col("_fn"), "left").select("_p", F.coalesce("_comp", "_node").alias("_group")), "near-groups")
     out = signed.join(groups, F.col("_print") == F.col("_p"), "left").withColumn("_group", F.coalesce("_group", "_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_group").alias("component_id"),
+    return out.select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), F.col("_n").alias("n_shingles"), F.col("_group").alias("component_id"),
                       F.coalesce(F.col("_id") == F.col("_group"), F.lit(True)).alias("kept"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op4_near_dedup": op4_near_dedup}
