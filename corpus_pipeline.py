@@ -1,15 +1,65 @@
-"""Corpus preparation: quality rules, exact and near de-duplication, mixing, subword encoding."""
+"""Corpus preparation: quality rules, exact and near de-duplication, mixing to target weights, subword encoding.
+
+Each stage works on all rows that its predecessor kept, and all but the last return the columns of documents. Rows
+that a stage rejects are taken away by an anti-join on (doc_id, hash of the text): the list of rejects is narrow and
+staged, so that it is broadcast where it is small and shuffled where it isn't.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm.common import stage, text_of
+from docloom.llm.exact_dedup import exact_dedup
+from docloom.llm.mixing import mix
+from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.quality import quality_rules
+from docloom.llm.sentencepiece import encode_digest
+
+#: Near duplicates share at least so many per cent of their 5-word shingles.
+SIMILAR_PERCENT = 80
+
+
+def _without_rejects(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """docs without the rows that verdicts (doc_id, text_hash, kept) reject."""
+    rejects = stage(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_rid"), F.col("text_hash").alias("_rhash")).distinct(), name)
+    same = docs["doc_id"].eqNullSafe(rejects["_rid"]) & (F.xxhash64(text_of()) == rejects["_rhash"])
+    return docs.join(rejects, same, "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers for their language and source."""
+    return _without_rejects(docs, quality_rules(docs), "rejects-quality")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return _without_rejects(docs, exact_dedup(docs), "rejects-exact")
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return _without_rejects(docs, near_duplicates(docs, percent=SIMILAR_PERCENT), "rejects-near")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them; one cut to meet its source's target has its text and n_chars cut."""
+    return mix(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each drawn document with the figures of its encoding, and whether decoding gives its text back."""
+    return encode_digest(docs)
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality), ("exact dedup", exact_duplicates), ("near dedup", near_duplicate_groups), ("mixing", mixing), ("sentencepiece", encoding)]
+#: Robust estimates, signatures and the lattice are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for _, step in STAGES:
+        docs = step(spark, docs, sf_dir)
     return docs
