@@ -9,7 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Operator modules, each with QUERIES and ORACLES.
-MODULES = ("lm_score", "sentencepiece", "licenses", "warc", "pii", "near_dedup", "mixing", "quality", "exact_dedup")
+MODULES = ("substring_dedup", "lm_score", "sentencepiece", "licenses", "warc", "pii", "near_dedup", "mixing", "quality", "exact_dedup")
 
 
 def queries() -> dict:
