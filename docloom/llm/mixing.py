@@ -55,18 +55,22 @@ def _ln_gamma(x: str) -> str:
             f" - ln({x} * ({x} + 1D) * ({x} + 2D) * ({x} + 3D) * ({x} + 4D) * ({x} + 5D)))")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL with value computed once and known as name in body."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
     """SQL: how many of good among drawn out of total, at quantile u; exact inversion within ten standard deviations."""
-    mean = f"({drawn} * CAST({good} AS DOUBLE) / {total})"
-    wide = f"(10D * sqrt({mean} * (1D - {good} / CAST({total} AS DOUBLE)) * ({total} - {drawn}) / greatest(1D, {total} - 1D)) + 2D)"
-    low = f"greatest(0L, {drawn} - ({total} - {good}), CAST(floor({mean} - {wide}) AS BIGINT))"
-    high = f"least({good}, {drawn}, CAST(ceil({mean} + {wide}) AS BIGINT))"
-    ln_p = lambda k: "-(" + " + ".join(_ln_gamma(f"({v} + 1D)") for v in (k, f"({good} - {k})", f"({drawn} - {k})", f"({total} - {good} - {drawn} + {k})")) + ")"
-    mode = f"least({high}, greatest({low}, CAST(floor(({drawn} + 1D) * ({good} + 1D) / ({total} + 2D)) AS BIGINT)))"
-    weights = f"transform(sequence({low}, {high}), k -> named_struct('k', k, 'p', exp({ln_p('k')} - ({ln_p(mode)}))))"
-    return (f"aggregate({weights}, named_struct('all', 0D, 'w', CAST(array() AS ARRAY<STRUCT<k: BIGINT, c: DOUBLE>>)),"
-            " (run, y) -> named_struct('all', run.all + y.p, 'w', concat(run.w, array(named_struct('k', y.k, 'c', run.all + y.p)))),"
-            f" run -> coalesce(element_at(filter(run.w, y -> y.c >= {u} * run.all), 1).k, {high}))")
+    ln_p = "-(" + " + ".join(_ln_gamma(f"({v} + 1D)") for v in ("k", "(z.g - k)", "(z.d - k)", "(z.n - z.g - z.d + k)")) + ")"
+    found = "aggregate(p, named_struct('c', 0D, 'i', 0), (run, y) -> CASE WHEN run.c < goal THEN named_struct('c', run.c + y, 'i', run.i + 1) ELSE run END).i"
+    out = _let("goal", "aggregate(p, 0D, (run, y) -> run + y) * z.u", f"low + greatest(1, {found}) - 1")
+    out = _let("p", _let("best", "array_max(l)", "transform(l, y -> exp(y - best))"), out)
+    out = _let("l", f"transform(sequence(low, greatest(low, least(z.g, z.d, CAST(ceil(mean + wide) AS BIGINT)))), k -> {ln_p})", out)
+    out = _let("low", "greatest(0L, z.d - (z.n - z.g), CAST(floor(mean - wide) AS BIGINT))", out)
+    out = _let("wide", "10D * sqrt(mean * (1D - z.g / CAST(z.n AS DOUBLE)) * (z.n - z.d) / greatest(1D, z.n - 1D)) + 2D", out)
+    out = _let("mean", "z.d * CAST(z.g AS DOUBLE) / z.n", out)
+    return _let("z", f"named_struct('n', {total}, 'g', {good}, 'd', {drawn}, 'u', {u})", out)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
