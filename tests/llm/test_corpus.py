@@ -186,7 +186,7 @@ def test_gradient_and_learning():
     assert lm_score.gradient(p, x, y)[0] < first / 2
 
 
-TEXTS = ["Hello  world", " lead", "línea\nnova ① ﬁ", "", None, "a" * 300, "tab\tend ", "▁x", "word word", "onerenth edonre", "日本語 text"]
+TEXTS = ["Hello  world, it's (no) e-mail: a.b@c.de...\n\n- x_1/2 'quoted', \"é,\"", " lead", "línea\nnova ① ﬁ", "", None, "a" * 300, "tab\tend ", "▁x", "word word", "onerenth edonre", "日本語 text"]
 
 
 def library():
@@ -217,7 +217,7 @@ def test_encoding_figures(spark):
     found = sentencepiece.encode_digest(docs, frequent=3).collect()
     other = library()
     assert len(found) == len(rows) and all(r.round_trip for r in found)
-    assert sorted((r.doc_id or -1, r.n_pieces) for r in found) == sorted((-1 if i is None else i, len(other.encode(t or ""))) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_pieces) for r in found) == sorted((-1 if i is None else i, len(other.encode(t or ""))) for i, t in rows)
     assert len({r.pieces_sum for r in found if r.doc_id == 0}) == 2
     assert sentencepiece.encode_digest(docs.limit(0)).count() == 0
 
