@@ -186,7 +186,7 @@ def test_gradient_and_learning():
     assert lm_score.gradient(p, x, y)[0] < first / 2
 
 
-TEXTS = ["Hello  world, it's (no) e-mail: a.b@c.de...\n\n- x_1/2 'quoted', \"é,\"", " lead", "línea\nnova ① ﬁ", "", None, "a" * 300, "tab\tend ", "▁x", "word word", "onerenth edonre", "日本語 text"]
+TEXTS = ["Hello  world, it's (no) e-mail: a.b@c.de...\n\n- x_1/2 'quoted', \"é,\"", " lead", "línea\nnova ① ﬁ", "", None, "a" * 300, "tab\tend ", "▁x", "word word", "onerenth edonre. a². b.²c, d³.e", "日本語 text"]
 
 
 def library():
