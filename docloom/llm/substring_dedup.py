@@ -23,7 +23,7 @@ from .textbytes import Chunk, _byte_values, _powers, chunks, mix64, utf8
 LENGTH, KEY = 50, 32
 SPAN = LENGTH - KEY + 1  # keys in a string
 AROUND = SPAN - 1 + LENGTH  # bytes of the strings that hold a key
-BUCKET_BYTES = 4 << 20  # of text for each bucket
+BUCKET_BYTES = 8 << 20  # of text for each bucket
 BATCH_BYTES = 8 << 20
 NO_ID = 2**63 - 1
 
@@ -68,8 +68,8 @@ def _lists(doc, mark, *columns):
     return [pa.array(doc[new]), pa.array(mark[new]), *(pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(np.int32))) for c in columns)]
 
 
-_PLACES = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("hashes", pa.binary()), ("docs", pa.binary()), ("marks", pa.binary()), ("places", pa.binary())])
-_PLACES_DDL = "bucket int, doc bigint, mark bigint, at array<int>, hashes binary, docs binary, marks binary, places binary"
+_PLACES = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("docs", pa.binary()), ("marks", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary())])
+_PLACES_DDL = "bucket int, doc bigint, mark bigint, at array<int>, docs binary, marks binary, owners binary, places binary, hashes binary"
 
 
 def _texts(batches, *more: str):
@@ -94,12 +94,28 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def _pack(schema, n: int, keys, columns: dict, direct: list):
-    """Blob rows by bucket, and the rows that go through as they are."""
+def _planes(x: np.ndarray, keep: int = 4) -> bytes:
+    """The upper `keep` bytes of unsigned numbers, all first bytes, then all second ones and so on: bytes that hardly change compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, -keep:].T).tobytes()
+
+
+def _numbers(blob: bytes, kind, keep: int = 4) -> np.ndarray:
+    out = np.zeros((len(blob) // keep, np.dtype(kind).itemsize), np.uint8)
+    out[:, -keep:] = np.frombuffer(blob, np.uint8).reshape(keep, -1).T
+    return out.reshape(-1).view(kind)
+
+
+def _pack(schema, n: int, keys, doc, mark, owner, place, more: dict, direct: list):
+    """Blob rows by bucket, with a small table of the texts that they name, and the rows that go through as they are."""
     bucket = _bucket(keys, n)
     order = np.lexsort((keys, bucket))
     cuts = np.flatnonzero(np.diff(np.concatenate(([-1], bucket[order], [-1]))))
-    rows = [{"bucket": int(bucket[order[a]]), **{k: v[order[a:b]].tobytes() for k, v in columns.items()}} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[a:b]
+        _, first, index = np.unique(owner[at], return_index=True, return_inverse=True)
+        rows.append({"bucket": int(bucket[at[0]]), "docs": doc[at[first]].tobytes(), "marks": mark[at[first]].tobytes(), "owners": _planes(index.astype(np.uint32)),
+                     "places": _planes(place[at].astype(np.uint32)), **{k: (_planes(v[at], 6) if k == "hashes" else v[at].tobytes()) for k, v in more.items()}})
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema)
     if len(direct[0]):
@@ -108,20 +124,30 @@ def _pack(schema, n: int, keys, columns: dict, direct: list):
         yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(direct[0]), f.type)) for f in schema], schema=schema)
 
 
+def _unpack(t: pa.Table):
+    """doc, mark, place of all entries of the blobs."""
+    doc, mark, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d, m, o, p in zip(*(t.column(c).to_pylist() for c in ("docs", "marks", "owners", "places")), strict=True):
+        if o is not None:
+            index = _numbers(o, np.uint32)
+            doc.append(np.frombuffer(d, np.int64)[index]), mark.append(np.frombuffer(m, np.int64)[index]), place.append(_numbers(p, np.uint32).astype(np.int64))
+    return np.concatenate(doc), np.concatenate(mark), np.concatenate(place)
+
+
 def _send_places(n: int):
     def run(batches):
         for held in _texts(batches):
-            keys, doc, mark, place = [], [], [], []
+            keys, doc, mark, place, text, before = [], [], [], [], [], 0
             for c, d, m in held:
                 at, h = anchors(c)
                 owner = np.searchsorted(c.begin, at, "right") - 1
-                keys.append(h), doc.append(d[owner]), mark.append(m[owner]), place.append(at - c.begin[owner])
-            keys, doc, mark, place = map(np.concatenate, (keys, doc, mark, place))
+                keys.append(h), doc.append(d[owner]), mark.append(m[owner]), place.append(at - c.begin[owner]), text.append(owner + before)
+                before += len(d)
+            keys, doc, mark, place, text = map(np.concatenate, (keys, doc, mark, place, text))
             order, low, shared = _groups(keys, doc)
             direct = _lists(doc[order][shared], mark[order][shared], place[order][shared])
             sent = order[~shared | np.concatenate(([True], keys[order][1:] != keys[order][:-1]))] if len(order) else order
-            columns = {"hashes": keys[sent], "docs": doc[sent], "marks": mark[sent], "places": place[sent].astype(np.int32)}
-            yield from _pack(_PLACES, n, keys[sent], columns, direct)
+            yield from _pack(_PLACES, n, keys[sent], doc[sent], mark[sent], text[sent], place[sent], {"hashes": keys[sent]}, direct)
     return run
 
 
@@ -133,7 +159,8 @@ _FOUND = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(p
 
 
 def _shared_places(t: pa.Table) -> pa.Table:
-    keys, doc, mark, place = (_unpacked(t, c, k) for c, k in (("hashes", np.uint64), ("docs", np.int64), ("marks", np.int64), ("places", np.int32)))
+    doc, mark, place = _unpack(t)
+    keys = np.concatenate([np.empty(0, np.uint64), *(_numbers(x, np.uint64, 6) for x in t.column("hashes").to_pylist() if x is not None)])  # 48 bits: a chance match only sends a place on
     order, _, shared = _groups(keys, doc)
     at = order[shared]
     found = pa.Table.from_arrays(_lists(doc[at], mark[at], place[at]), schema=_FOUND)
@@ -142,15 +169,16 @@ def _shared_places(t: pa.Table) -> pa.Table:
 
 
 _STRINGS = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())),
-                      ("hashes", pa.binary()), ("docs", pa.binary()), ("marks", pa.binary()), ("places", pa.binary()), ("valid", pa.binary()), ("bytes", pa.binary())])
-_STRINGS_DDL = "bucket int, doc bigint, mark bigint, low array<int>, high array<int>, hashes binary, docs binary, marks binary, places binary, valid binary, bytes binary"
+                      ("docs", pa.binary()), ("marks", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("valid", pa.binary()), ("bytes", pa.binary())])
+_STRINGS_DDL = "bucket int, doc bigint, mark bigint, low array<int>, high array<int>, docs binary, marks binary, owners binary, places binary, valid binary, bytes binary"
 
 
 def _send_strings(n: int):
     def run(batches):
         for held in _texts(batches, "at"):
-            parts = []
+            parts, before = [], 0
             for c, d, m, lists in held:
+                base, before = before, before + len(d)
                 sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
                 owner = np.repeat(np.arange(len(lists)), sizes)
                 if not len(owner):
@@ -163,17 +191,16 @@ def _send_strings(n: int):
                 around = np.where(inside, c.data[np.clip(where, 0, len(c.data) - 1)], 0).astype(np.uint8)
                 valid = np.stack([inside.argmax(axis=1), AROUND - inside[:, ::-1].argmax(axis=1)], axis=1).astype(np.uint8)
                 at = c.begin[owner] + place
-                parts.append((c.hashes(c.sums(), at, at + KEY), d[owner], m[owner], place, valid, around))
+                parts.append((c.hashes(c.sums(), at, at + KEY), d[owner], m[owner], place, valid, around, owner + base))
             if not parts:
                 continue
-            keys, doc, mark, place, valid, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys, doc, mark, place, valid, around, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             same = mix64((_byte_values()[around] * _powers(AROUND)[0][:AROUND]).sum(axis=1) + valid[:, 0] * np.uint64(977) + valid[:, 1] * np.uint64(131071))
             order, low, _ = _groups(same, doc)
             later = order[doc[order] > low]  # the same surroundings stand in an earlier document: all its strings do
             direct = _lists(doc[later], mark[later], place[later] - (SPAN - 1) + valid[later, 0], place[later] - (SPAN - 1) + valid[later, 1])
             sent = order[doc[order] == low]
-            columns = {"hashes": keys[sent], "docs": doc[sent], "marks": mark[sent], "places": place[sent].astype(np.int32), "valid": valid[sent], "bytes": around[sent]}
-            yield from _pack(_STRINGS, n, keys[sent], columns, direct)
+            yield from _pack(_STRINGS, n, keys[sent], doc[sent], mark[sent], text[sent], place[sent], {"valid": valid[sent], "bytes": around[sent]}, direct)
     return run
 
 
@@ -182,7 +209,7 @@ _RANGES = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("low", pa.list_
 
 def _repeated(t: pa.Table) -> pa.Table:
     """The ranges of bytes covered by strings whose least document is an earlier one."""
-    doc, mark, place = (_unpacked(t, c, k) for c, k in (("docs", np.int64), ("marks", np.int64), ("places", np.int32)))
+    doc, mark, place = _unpack(t)
     valid, around = _unpacked(t, "valid", np.uint8).reshape(-1, 2), _unpacked(t, "bytes", np.uint8).reshape(-1, AROUND)
     up, down = _powers(AROUND)
     prints = np.empty((len(doc), SPAN), np.uint64)
