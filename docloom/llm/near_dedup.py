@@ -2,8 +2,8 @@
 
 The set of a text is its distinct 5-word shingles as 64-bit hashes. Equal sets are one node (their link is
 certain), so a group of copies, however large, costs one row. Nodes that share a band are linked to the
-bucket's smallest node when their full sets confirm it; then every pair of a bucket that these links leave in
-different components is verified as well, unless exact bounds rule it out: the triangle inequality for the Jaccard
+bucket's smallest node, and then to the one that has most in common with others, when their full sets confirm it; then every pair of
+a bucket that these links leave in different components is verified as well, unless exact bounds rule it out: the triangle inequality for the Jaccard
 distance, and the shingles that only one of the nodes has. No bucket is capped, and pairs within what is already one component are
 never emitted.
 """
@@ -132,6 +132,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("_a", "_b", "_meet", (F.size("_sa") + F.size("_sb") - F.col("_meet")).alias("_join"))
 
 
+def _majority(placed: DataFrame) -> DataFrame:
+    """Of the buckets (_b2, _k2) that hold several components the one with most nodes, _most."""
+    shares = placed.groupBy("_band", "_bkey", "_comp").agg(F.count(F.lit(1)).alias("_c"))
+    return shares.groupBy("_band", "_bkey").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("_comp", F.struct("_c", "_comp")).alias("_most")).where("_comps > 1").select(
+        F.col("_band").alias("_b2"), F.col("_bkey").alias("_k2"), "_most")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row of docs id_col, text_hash, n_shingles, component_id, kept.
@@ -166,9 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(judged.select(F.col("_a").alias("_ja"), F.col("_b").alias("_jb"), (1 - F.col("_meet") / F.col("_join")).alias("_far")),
                          (F.col("_head") == F.col("_ja")) & (F.col("_node") == F.col("_jb")), "left")
     placed = stage(placed.select("_band", "_bkey", "_node", "_n", "_comp", F.coalesce("_far", F.lit(0.0)).alias("_far")), "near-placed")
-    shares = placed.groupBy("_band", "_bkey", "_comp").agg(F.count(F.lit(1)).alias("_c"))
-    mixed = stage(shares.groupBy("_band", "_bkey").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("_comp", F.struct("_c", "_comp")).alias("_most"))
-                  .where("_comps > 1").select(F.col("_band").alias("_b2"), F.col("_bkey").alias("_k2"), "_most"), "near-mixed")
+    mixed = stage(_majority(placed), "near-mixed")
     open_ = stage(placed.join(mixed, (F.col("_band") == F.col("_b2")) & (F.col("_bkey") == F.col("_k2"))).drop("_b2", "_k2"), "near-open")
     # shingles that no other of these nodes has can't be common to a pair: they bound every intersection
     here = open_.select(F.col("_node").alias("_on")).distinct()
@@ -176,6 +181,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = stage(own.where("_c = 1").groupBy("_owner").agg(F.count(F.lit(1)).alias("_alone")), "near-own")
     open_ = open_.join(own, F.col("_node") == F.col("_owner"), "left").withColumn("_most_common", F.col("_n") - F.coalesce("_alone", F.lit(0))).drop("_owner", "_alone")
     open_ = stage(open_.where((F.col("_far") > 0) & (F.col("_most_common") * 100 >= F.col("_n") * percent)), "near-able")
+    # a second star from the node of each bucket that has most in common with others: the original among its edited copies
+    best = stage(open_.groupBy("_band", "_bkey").agg(F.max_by(F.struct("_node", "_comp"), F.struct(F.col("_most_common") / F.col("_n"), -F.col("_node"))).alias("_h"))
+                 .select(F.col("_band").alias("_b3"), F.col("_bkey").alias("_k3"), F.col("_h._node").alias("_head3"), F.col("_h._comp").alias("_comp3")), "near-best")
+    second = open_.join(best, (F.col("_band") == F.col("_b3")) & (F.col("_bkey") == F.col("_k3")) & (F.col("_comp") != F.col("_comp3")))
+    second = stage(second.select(F.least("_node", "_head3").alias("_a"), F.greatest("_node", "_head3").alias("_b")).distinct(), "near-second")
+    found = _verified(second, sets).where(linked).select("_a", "_b")
+    comps = components(comps.select(F.col("_node").alias("_a"), F.col("_comp").alias("_b")).unionByName(found))
+    open_ = open_.drop("_most").join(comps.select(F.col("_node").alias("_cn"), F.col("_comp").alias("_new")), F.col("_node") == F.col("_cn"), "left")
+    open_ = stage(open_.withColumn("_comp", F.coalesce("_new", "_node")).drop("_cn", "_new"), "near-joined")
+    mixed = stage(_majority(open_), "near-mixed")
+    open_ = stage(open_.join(mixed, (F.col("_band") == F.col("_b2")) & (F.col("_bkey") == F.col("_k2"))).drop("_b2", "_k2"), "near-open")
     few = stage(open_.where("_comp <> _most").select(*[F.col(c).alias(c + "2") for c in ("_band", "_bkey", "_node", "_n", "_comp", "_far", "_most_common")]), "near-few")
     share = percent / 100.0
     meet = F.least("_most_common", "_most_common2")
