@@ -23,8 +23,8 @@ from .textbytes import Chunk, _byte_values, _powers, chunks, mix64, utf8
 LENGTH, KEY = 50, 32
 SPAN = LENGTH - KEY + 1  # keys in a string
 AROUND = SPAN - 1 + LENGTH  # bytes of the strings that hold a key
-BUCKET_BYTES = 8 << 20  # of text for each bucket
-BATCH_BYTES = 8 << 20
+BUCKET_BYTES, STRING_BUCKET_BYTES = 8 << 20, 2 << 20  # of text for each bucket of places, and of surroundings
+BATCH_BYTES = 4 << 20
 NO_ID = 2**63 - 1
 
 
@@ -191,11 +191,11 @@ def _send_strings(n: int):
                 around = np.where(inside, c.data[np.clip(where, 0, len(c.data) - 1)], 0).astype(np.uint8)
                 valid = np.stack([inside.argmax(axis=1), AROUND - inside[:, ::-1].argmax(axis=1)], axis=1).astype(np.uint8)
                 at = c.begin[owner] + place
-                parts.append((c.hashes(c.sums(), at, at + KEY), d[owner], m[owner], place, valid, around, owner + base))
+                same = mix64((_byte_values()[around] * _powers(AROUND)[0][:AROUND]).sum(axis=1) + valid[:, 0] * np.uint64(977) + valid[:, 1] * np.uint64(131071))
+                parts.append((c.hashes(c.sums(), at, at + KEY), d[owner], m[owner], place, valid, around, owner + base, same))
             if not parts:
                 continue
-            keys, doc, mark, place, valid, around, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-            same = mix64((_byte_values()[around] * _powers(AROUND)[0][:AROUND]).sum(axis=1) + valid[:, 0] * np.uint64(977) + valid[:, 1] * np.uint64(131071))
+            keys, doc, mark, place, valid, around, text, same = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, low, _ = _groups(same, doc)
             later = order[doc[order] > low]  # the same surroundings stand in an earlier document: all its strings do
             direct = _lists(doc[later], mark[later], place[later] - (SPAN - 1) + valid[later, 0], place[later] - (SPAN - 1) + valid[later, 1])
@@ -268,13 +268,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     size = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0  # one row
-    n = max(1, size // BUCKET_BYTES)
+    n, m = max(1, size // BUCKET_BYTES), max(1, size // STRING_BUCKET_BYTES)
     flat = base.select("doc", "mark", "text")
     places = flat.mapInArrow(_send_places(n), _PLACES_DDL).groupBy("bucket").applyInArrow(_shared_places, "doc bigint, mark bigint, at array<int>")
     gather = lambda df, *cols: df.groupBy("doc", "mark").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in cols])
     there = gather(places, "at").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
     met = flat.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc", "mark", "text", "at")
-    ranges = met.mapInArrow(_send_strings(n), _STRINGS_DDL).groupBy("bucket").applyInArrow(_repeated, "doc bigint, mark bigint, low array<int>, high array<int>")
+    ranges = met.mapInArrow(_send_strings(m), _STRINGS_DDL).groupBy("bucket").applyInArrow(_repeated, "doc bigint, mark bigint, low array<int>, high array<int>")
     cuts = gather(ranges, "low", "high").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
     whole = base.join(cuts, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left").select("id", "text", "low", "high")
     out = whole.mapInArrow(_results, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
