@@ -186,6 +186,24 @@ def test_gradient_and_learning():
     assert lm_score.gradient(p, x, y)[0] < first / 2
 
 
+def test_training_sees_every_token():
+    import pyarrow as pa
+
+    path = lm_score.default_ranks()
+    encoder, end = lm_score._encoder(path)
+    classes = lm_score.Classes(np.ones(end + 1), 20, 5)
+    texts = ["one", None, "", "two Words", "casa mesa rio " * 70, "a\u00a0 b\tc " * 3000]
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_text": texts})
+    train = lm_score._trainer(path, classes, lm_score.start_parameters(classes), least_steps=0)
+    out = next(train(iter([batch])))
+    ids = [encoder.encode_ordinary("".join(" " + w.lower() for w in WORD.findall(t or ""))) + [end] for t in texts]
+    assert out.column("_weight")[0].as_py() == sum(map(len, ids))
+    for t, want in zip(texts, ids, strict=True):
+        found = list(lm_score.training_windows(t, encoder, end, classes))
+        x, y = (np.concatenate([part[k].ravel() for part in found]) for k in (0, 1))
+        assert list(y[y >= 0]) == list(classes.of[want]) and list(x[y >= 0]) == [classes.total, *classes.of[want[:-1]]]
+
+
 TEXTS = ["Hello  world, it's (no) e-mail: a.b@c.de...\n\n- x_1/2 'quoted', \"é,\"", " lead", "línea\nnova ① ﬁ", "", None, "a" * 300, "tab\tend ", "▁x", "word word", "onerenth edonre. a². b.²c, d³.e", "日本語 text"]
 
 
