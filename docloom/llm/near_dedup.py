@@ -94,10 +94,6 @@ def _full_sets(k: int):
     return run
 
 
-def _rounds(jobs: int = 60):
-    return range(jobs)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges: _a, _b. Each node that has a link, with the smallest node of its component: _node, _comp.
 
@@ -105,7 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
     around it. Minima are aggregated before the shuffle and joined back from a staged table, so a node may have any number of links."""
     now = stage(edges.where("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "links")
     seen = None
-    for _ in _rounds():
+    while True:  # each round shortens paths or changes nothing
         both = now.unionByName(now.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         low = stage(both.groupBy(F.col("_a").alias("_u")).agg(F.min("_b").alias("_m")).select("_u", F.least("_u", "_m").alias("_m")), "links-low")
         # large star: larger neighbours go to the least node around
@@ -132,6 +128,42 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("_a", "_b", "_meet", (F.size("_sa") + F.size("_sb") - F.col("_meet")).alias("_join"))
 
 
+def _differing_pairs(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """around: _centre, _node, _comp. Pairs (_a, _b) of nodes around one centre, in different components, that may be linked.
+
+    With c shingles in the centre, m of which a node misses, and e of its own, let w = 100 m + percent e. Two nodes with o
+    differences in common are linked when w1 + w2 - (100 + percent) o <= (100 - percent) c, their right side the slack. Nodes of
+    w within the slack are linked with the centre, so one of a pair has more, and counts alone decide unless differences are shared: o must
+    exceed w / (100 + percent) for each of two such nodes and for the nearer one, and (w - slack) / 100 for a far node beside a near one. So
+    pairs meet by the rarest of their shared differences, as many as the bound leaves free, at a place from which enough of them remain. Differences that
+    only one node around the centre has can't be shared and are left out."""
+    several = stage(around.groupBy("_centre").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high").select(F.col("_centre").alias("_c")), "near-several")
+    told = around.join(several, F.col("_centre") == F.col("_c"), "left_semi")
+    middle = stage(several.join(sets, F.col("_c") == F.col("_id")).select("_c", F.col("_set").alias("_middle")), "near-middles")
+    met = told.join(sets, F.col("_node") == F.col("_id")).join(middle, F.col("_centre") == F.col("_c"))
+    met = met.select("_centre", "_node", "_comp", F.size("_middle").alias("_size"), F.array_except("_middle", "_set").alias("_missing"), F.array_except("_set", "_middle").alias("_extra"))
+    w = 100 * F.size("_missing") + percent * F.size("_extra")
+    apart = met.select("_centre", "_node", "_comp", w.alias("_w"), ((100 - percent) * F.col("_size")).alias("_slack"), F.concat("_missing", "_extra").alias("_diff")).where(F.size("_diff") > 0)
+    apart = stage(apart, "near-apart")
+    each = apart.select("_centre", "_node", F.explode("_diff").alias("_d"))
+    often = stage(each.groupBy("_centre", "_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_centre").alias("_oc"), F.col("_d").alias("_od"), "_n"), "near-often")
+    ranked = each.join(often, (F.col("_centre") == F.col("_oc")) & (F.col("_d") == F.col("_od")))
+    # a node's own differences, rarest first
+    ranked = ranked.groupBy("_centre", "_node").agg(F.array_sort(F.collect_list(F.struct("_n", "_d"))).alias("_order")).withColumnRenamed("_centre", "_rc").withColumnRenamed("_node", "_rn")
+    ranked = apart.drop("_diff").join(ranked, (F.col("_centre") == F.col("_rc")) & (F.col("_node") == F.col("_rn"))).drop("_rc", "_rn")
+    far = F.col("_w") > F.col("_slack")
+    free = F.size("_order") - F.floor(F.col("_w") / (100 + percent))
+    free_near = F.when(far, F.size("_order") - F.greatest(F.lit(1), F.ceil((F.col("_w") - F.col("_slack")) / 100)) + 1).otherwise(0)
+    ranked = ranked.select("_centre", "_node", "_comp", "_w", "_slack", far.alias("_far"), F.size("_order").alias("_all"), free.alias("_free"), free_near.alias("_free_near"),
+                           F.posexplode(F.slice("_order", F.lit(1), F.greatest(F.lit(0), free, free_near).cast("int"))).alias("_at", "_o"))
+    rows = stage(ranked.withColumn("_d", F.col("_o._d")).withColumn("_left", F.col("_all") - F.col("_at")).drop("_o", "_all"), "near-rarest")
+    one, two = rows.where("_far"), rows.where("_at < _free").select(*[F.col(c).alias(c + "2") for c in ("_centre", "_d", "_node", "_comp", "_w", "_far", "_left")])
+    enough = F.least("_left", "_left2") * (100 + percent) >= F.col("_w") + F.col("_w2") - F.col("_slack")
+    both = one.join(two, (F.col("_centre") == F.col("_centre2")) & (F.col("_d") == F.col("_d2")) & (F.col("_comp") != F.col("_comp2")) & enough
+                    & F.when(F.col("_far2"), (F.col("_node") < F.col("_node2")) & (F.col("_at") < F.col("_free"))).otherwise(F.col("_at") < F.col("_free_near")))
+    return both.select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct()
+
+
 def _majority(placed: DataFrame) -> DataFrame:
     """Of the buckets (_b2, _k2) that hold several components the one with most nodes, _most."""
     shares = placed.groupBy("_band", "_bkey", "_comp").agg(F.count(F.lit(1)).alias("_c"))
@@ -188,17 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = stage(second.select(F.least("_node", "_head3").alias("_a"), F.greatest("_node", "_head3").alias("_b")).distinct(), "near-second")
     found = _verified(second, sets).where(linked).select("_a", "_b")
     comps = components(comps.select(F.col("_node").alias("_a"), F.col("_comp").alias("_b")).unionByName(found))
-    open_ = open_.drop("_most").join(comps.select(F.col("_node").alias("_cn"), F.col("_comp").alias("_new")), F.col("_node") == F.col("_cn"), "left")
-    open_ = stage(open_.withColumn("_comp", F.coalesce("_new", "_node")).drop("_cn", "_new"), "near-joined")
-    mixed = stage(_majority(open_), "near-mixed")
-    open_ = stage(open_.join(mixed, (F.col("_band") == F.col("_b2")) & (F.col("_bkey") == F.col("_k2"))).drop("_b2", "_k2"), "near-open")
-    few = stage(open_.where("_comp <> _most").select(*[F.col(c).alias(c + "2") for c in ("_band", "_bkey", "_node", "_n", "_comp", "_far", "_most_common")]), "near-few")
-    share = percent / 100.0
-    meet = F.least("_most_common", "_most_common2")
-    rest = open_.join(few, (F.col("_band") == F.col("_band2")) & (F.col("_bkey") == F.col("_bkey2")) & (F.col("_comp") != F.col("_comp2"))
-                      & (F.abs(F.col("_far") - F.col("_far2")) <= 1.0 - share + 1e-9)
-                      & (meet * 100 >= (F.col("_n") + F.col("_n2") - meet) * percent))
-    rest = stage(rest.select(F.least("_node", "_node2").alias("_a"), F.greatest("_node", "_node2").alias("_b")).distinct(), "near-rest")
+    # what is left lies around the centres: pairs of nodes in different components, neither of them the centre
+    around = open_.select("_band", "_bkey", "_node").join(best, (F.col("_band") == F.col("_b3")) & (F.col("_bkey") == F.col("_k3"))).select(F.col("_head3").alias("_centre"), "_node").distinct()
+    around = around.join(comps.withColumnRenamed("_node", "_cn"), F.col("_node") == F.col("_cn"), "left").select("_centre", "_node", F.coalesce("_comp", "_node").alias("_comp"))
+    rest = stage(_differing_pairs(stage(around, "near-around"), sets, percent), "near-rest")
     more = _verified(rest, sets).where(linked).select("_a", "_b")
     # components as they are, and the links between them
     tied = comps.select(F.col("_node").alias("_a"), F.col("_comp").alias("_b")).unionByName(more)
