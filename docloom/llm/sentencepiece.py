@@ -2,35 +2,49 @@
 
 Spaces of a text turn into U+2581 and one more is put in front; then the text is cut before each run of these marks, and
 between letters and such punctuation as no piece of the model joins to them. So the best path of a text is that of its words. For each
-distinct word of the corpus, bounded-length substrings are exploded, joined by equality to the piece table, grouped
+distinct word of the corpus, the bounded-length substrings of every place are exploded, joined by equality to the piece table, grouped
 by word as lattice edges, and folded by Spark's higher-order aggregate into the best path (Viterbi, the longest last piece
-on ties). A character that is no piece is an edge of its own and comes out as byte pieces. All of it keeps the words
-where counting has put them, without another shuffle.
+on ties). A character that is no piece is an edge of its own and comes out as byte pieces. Pieces that a better path over
+their own characters beats can't be on any best path and are left out of the table.
 
-The piece table is bounded by the model. Of words, the FREQUENT most common go to all tasks in a table of that bounded size; occurrences
-of the others are joined by a shuffle, so no key there is common.
+The piece table is bounded by the model. Of words, the most common (at most `frequent`, of at most COMMON_CHARS characters) go to all tasks in a table
+of that bounded size; other words are looked up by a shuffle of (text, word) pairs. Texts are then put together from the ids of their
+words, a row each, and decoded again.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+import zlib
+from collections import Counter
+from functools import lru_cache
 from importlib.util import find_spec
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table, text_of
 
 SPACE_MARK = "▁"
-FREQUENT = 131_072
+FREQUENT = 262_144
+COMMON_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 FEW_JOINED = 3
+BLOCK = 128  # places of a word that are folded together
+HELD = 400_000  # entries of a task's tables of tokens
 
 
 def default_model() -> str:
-    """The public model beside its package, where that is installed."""
-    return str(Path(find_spec("public_tokenizers").origin).with_name("piece_bpe_32k.model"))
+    """The public model beside its package; an error where that isn't installed and no model is named."""
+    found = find_spec("public_tokenizers")
+    if found is None or not found.origin:
+        raise FileNotFoundError("the package public_tokenizers isn't installed: name a model file")
+    return str(Path(found.origin).with_name("piece_bpe_32k.model"))
 
 
 class Pieces:
@@ -45,7 +59,6 @@ class Pieces:
                      if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.unknown_id = model.unk_id()
-        self.longest = max(len(p) for p, _, _ in self.rows)
         self.unknown_score = min(s for _, _, s in self.rows) - UNKNOWN_PENALTY
         pairs = {(a, b) for p, _, _ in self.rows for a, b in zip(p, p[1:], strict=False)}
         if any(b == SPACE_MARK != a for a, b in pairs):
@@ -55,116 +68,284 @@ class Pieces:
         #: ASCII characters that pieces join to few letters and digits or none, and those few: words are cut between the former and all other letters and digits.
         self.apart = {c for c, others in met.items() if len(others) <= FEW_JOINED}
         self.joined = {y for c in self.apart for y in met[c]}
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "_piece string, _pid int, _score double")
-
-    def decoding(self, spark: SparkSession) -> DataFrame:
-        """Id and the bytes it stands for, in hexadecimal."""
-        rows = [(i, p.encode().hex()) for p, i, _ in self.rows] + [(i, f"{b:02x}") for b, i in self.byte_ids.items()]
-        return spark.createDataFrame(rows, "_did int, _hex string")
-
-
-def words_of(text: Column, pieces: Pieces) -> Column:
-    marked = F.concat(F.lit(SPACE_MARK), F.translate(text, " ", SPACE_MARK))
-    apart = "".join(f"\\x{ord(c):02x}" for c in sorted(pieces.apart))
-    joined = "".join(rf"\x{{{ord(c):x}}}" for c in sorted(pieces.joined))
-    plain = rf"[\p{{L}}\p{{N}}&&[^{joined}]]" if joined else r"[\p{L}\p{N}]"
-    cut = f"(?<!{SPACE_MARK})(?={SPACE_MARK})" + (f"|(?<={plain})(?=[{apart}])|(?<=[{apart}])(?={plain})" if apart else "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(marked, cut, -1))
-
-
-def best_paths(words: DataFrame, pieces: Pieces, *carry: str) -> DataFrame:
-    """words: distinct _word, and columns to carry along. Adds _ids, the pieces of the best path, and _bytes, how many of them are bytes.
-
-    Nothing is shuffled where the words are partitioned by word already."""
+        self.useful = self._useful()
+        self.longest = max(len(p) for p, _, _ in self.useful)
+
+    def _useful(self) -> list[tuple[str, int, float]]:
+        """Without the pieces that score less than the best way to spell them with others."""
+        score = {p: s for p, _, s in self.rows}
+        longest, kept = max(map(len, score)), []
+        for piece, i, own in self.rows:
+            best = [0.0] + [-math.inf] * len(piece)
+            for e in range(1, len(piece) + 1):
+                for s in range(max(0, e - longest), e):
+                    if e - s < len(piece):
+                        w = score.get(piece[s:e], self.unknown_score if e - s == 1 else -math.inf)
+                        best[e] = max(best[e], best[s] + w)
+            if len(piece) == 1 or own >= best[-1]:
+                kept.append((piece, i, own))
+        return kept
+
+    def cutter(self):
+        """A function that cuts a token, marks included, into words."""
+        if not self.apart:
+            return lambda token: [token]
+        sign = "[" + "".join(map(re.escape, sorted(self.apart))) + "]"
+        plain = rf"(?:(?![{''.join(map(re.escape, sorted(self.joined)))}])[^\W_])" if self.joined else r"[^\W_]"
+        between = re.compile(f"(?<!{SPACE_MARK})(?={SPACE_MARK})|(?<={sign})(?={plain})|(?<={plain})(?={sign})")
+
+        def cut(token: str) -> list[str]:
+            return [w for w in between.split(token) if w]
+        return cut
+
+    def by_size(self, spark: SparkSession, size: int) -> DataFrame:
+        return spark.createDataFrame([r for r in self.useful if len(r[0]) == size] or [("", -1, 0.0)], f"_t{size} string, _p{size} int, _w{size} double")
+
+    def longer(self, spark: SparkSession) -> DataFrame:
+        """Pieces of four characters and more, by their last four."""
+        by: dict[str, list] = {}
+        for p, i, s in self.useful:
+            if len(p) >= 4:
+                by.setdefault(p[-4:], []).append((len(p), i, s, p))
+        return spark.createDataFrame(list(by.items()) or [("", [])], "_t4 string, _more array<struct<n:int,p:int,w:double,t:string>>")
+
+    def spelling(self) -> dict[int, bytes]:
+        return {i: p.replace(SPACE_MARK, " ").encode() for p, i, _ in self.rows} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+
+
+def tokens_of(text: str) -> list[str]:
+    """The text cut at its spaces, each token with its marks in front."""
+    if SPACE_MARK not in text and "  " not in text and text[:1] != " " and text[-1:] != " ":
+        return [SPACE_MARK + t for t in text.split(" ")] if text else []
+    return re.findall(f"{SPACE_MARK}+[^{SPACE_MARK}]*", SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
+
+
+def _counter(cut):
+    def run(batches):
+        held: Counter = Counter()
+
+        def close():
+            words: Counter = Counter()
+            for t, n in held.items():
+                for w in cut(t):
+                    words[w] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["_word", "_count"])
+
+        for batch in batches:
+            for text in batch.column("_text").to_pylist():
+                if text:
+                    held.update(tokens_of(text))
+                    if len(held) > HELD:
+                        yield close()
+        if held:
+            yield close()
+    return run
+
+
+_NODE = "STRUCT<w: DOUBLE, path: ARRAY<INT>, land: INT>"
+_BEST = ("greatest(named_struct('w', a[size(a) - 1].w + x.w1, 'n', 1, 'p', -1), IF(x.p2 IS NULL, NULL, named_struct('w', a[size(a) - 2].w + x.w2, 'n', 2, 'p', x.p2)),"
+         " IF(x.p3 IS NULL, NULL, named_struct('w', a[size(a) - 3].w + x.w3, 'n', 3, 'p', x.p3)),"
+         " IF(x.more IS NULL, NULL, array_max(transform(x.more, m -> named_struct('w', a[size(a) - m.n].w + m.w, 'n', m.n, 'p', m.p)))))")
+
+
+def _fold(start: str, places: str) -> str:
+    """SQL: best nodes of the places in order, appended to those of start; node size(a) - n is n characters back."""
+    return (f"aggregate({places}, {start}, (a, x) -> concat(a, transform(array({_BEST}), b -> named_struct('w', b.w,"
+            " 'path', concat(a[size(a) - b.n].path, IF(b.n = 1, x.c1, array(b.p))), 'land', a[size(a) - b.n].land))))")
+
+
+def _best_path(longest: int) -> str:
+    """SQL: the ids of the best path of _places. Long words go a block at a time, so that no long array is copied for each place: a
+    node's path begins where it enters its block, and land says from which place of the block before."""
+    end = f"CAST(array(named_struct('w', 0D, 'path', CAST(array() AS ARRAY<INT>), 'land', 0)) AS ARRAY<{_NODE}>)"
+    short = f"element_at({_fold(end, '_places')}, -1).path"
+    step = (f"transform(array({_fold('s.tail', 'xs')}), a -> transform(array(slice(a, greatest(1, size(a) - {longest - 1}), {longest})), f -> named_struct("
+            "'tail', transform(f, (v, j) -> named_struct('w', v.w, 'path', CAST(array() AS ARRAY<INT>), 'land', size(f) - 1 - j)), 'outs', concat(s.outs, array(f))))[0])[0]")
+    blocks = f"transform(sequence(0, (size(_places) - 1) div {BLOCK}), k -> slice(_places, CAST(k AS INT) * {BLOCK} + 1, {BLOCK}))"
+    outs = f"aggregate({blocks}, named_struct('tail', {end}, 'outs', CAST(array() AS ARRAY<ARRAY<{_NODE}>>)), (s, xs) -> {step}).outs"
+    long = (f"aggregate(reverse({outs}), named_struct('at', 0, 'parts', CAST(array() AS ARRAY<ARRAY<INT>>)), (s, f) -> named_struct('at', f[size(f) - 1 - s.at].land,"
+            " 'parts', concat(s.parts, array(f[size(f) - 1 - s.at].path))), s -> flatten(reverse(s.parts)))")
+    return f"CASE WHEN size(_places) <= {BLOCK} THEN {short} ELSE {long} END"
+
+
+def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words: distinct _word and _count, partitioned by _key, a hash of the word. Returns _word, _count, _ids, the pieces of the best path.
+
+    Nothing is shuffled; rows of the lattice carry two numbers for the word, and its text once a block."""
+    if pieces.longest > BLOCK:
+        raise ValueError(f"pieces of more than {BLOCK} characters")
     spark = words.sparkSession
-    size = F.char_length("_word")
-    starts = words.select("_word", *carry, F.explode(F.sequence(F.lit(1), size)).alias("_i"), size.alias("_size"))
-    cuts = starts.select("_word", *carry, "_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("_size") - F.col("_i") + 1))).alias("_n"))
-    cuts = cuts.withColumn("_sub", F.substring(F.col("_word"), F.col("_i"), F.col("_n")))
-    edges = cuts.join(F.broadcast(pieces.frame(spark)), F.col("_sub") == F.col("_piece"), "left").where("_pid IS NOT NULL OR _n = 1")
-    edge = F.struct((F.col("_i") + F.col("_n") - 1).alias("e"), (F.col("_i") - 1).alias("s"), F.coalesce("_pid", F.lit(-1)).alias("p"),
-                    F.coalesce("_score", F.lit(pieces.unknown_score)).alias("w"))
-    lattice = edges.groupBy("_word").agg(*[F.first(c).alias(c) for c in carry], F.array_sort(F.collect_list(edge)).alias("_edges"))
-    # nodes[i] is the best way to reach place i: its sum, and the last edge's start and piece
-    lattice = lattice.withColumn("_nodes", F.expr("""aggregate(_edges, array(named_struct('w', 0D, 's', -1, 'p', -2)), (n, x) ->
-        CASE WHEN size(n) <= x.e THEN concat(n, array(named_struct('w', n[x.s].w + x.w, 's', x.s, 'p', x.p)))
-             WHEN n[x.s].w + x.w > n[x.e].w THEN concat(slice(n, 1, size(n) - 1), array(named_struct('w', n[x.s].w + x.w, 's', x.s, 'p', x.p)))
-             ELSE n END)"""))
-    path = F.expr("""aggregate(reverse(sequence(1, size(_nodes) - 1)), named_struct('at', size(_nodes) - 1, 'path', CAST(array() AS ARRAY<STRUCT<p: INT, s: INT, e: INT>>)), (a, i) ->
-        CASE WHEN i = a.at THEN named_struct('at', _nodes[i].s, 'path', concat(a.path, array(named_struct('p', _nodes[i].p, 's', _nodes[i].s, 'e', i)))) ELSE a END, a -> reverse(a.path))""")
-    lattice = lattice.select("_word", *carry, path.alias("_path"))
-    table_ = F.array(*[F.lit(pieces.byte_ids.get(b, pieces.unknown_id)) for b in range(256)])
-    as_bytes = lambda h: F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda k: F.get(table_, F.conv(F.substring(h, 2 * k - 1, F.lit(2)), 16, 10).cast("int")))
-    spelled = lambda x: as_bytes(F.hex(F.encode(F.substring(F.col("_word"), x["s"] + 1, x["e"] - x["s"]), "UTF-8")))
-    known = F.forall("_path", lambda x: x["p"] >= 0)
-    ids = F.when(known, F.transform("_path", lambda x: x["p"])).otherwise(F.flatten(F.transform("_path", lambda x: F.when(x["p"] >= 0, F.array(x["p"])).otherwise(spelled(x)))))
-    found = lattice.select("_word", *carry, ids.alias("_ids"), F.size(F.filter("_path", lambda x: x["p"] >= 0)).alias("_plain"))
-    return found.withColumn("_bytes", F.size("_ids") - F.col("_plain")).drop("_plain")
-
-
-def decode_words(coded: DataFrame, pieces: Pieces, *carry: str) -> DataFrame:
-    """coded: _word (a key), _ids, and columns to carry along. Adds the text of the ids, _text; null where they are no UTF-8."""
-    parts = coded.select("_word", *carry, F.posexplode("_ids").alias("_at", "_id"))
-    parts = parts.join(F.broadcast(pieces.decoding(coded.sparkSession)), F.col("_id") == F.col("_did"))
-    whole = parts.groupBy("_word").agg(*[F.first(c).alias(c) for c in carry], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_hex"))), lambda x: x["_hex"]), "").alias("_hex"))
-    return whole.select("_word", *carry, F.expr("try_validate_utf8(CAST(unhex(_hex) AS STRING))").alias("_text"))
+    rows = words.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", F.char_length("_word"))
+    rows = rows.select("_key", "_row", "_word", "_count", "_size", F.explode(F.expr(f"sequence(0, (_size - 1) div {BLOCK})")).alias("_k"))
+    back = F.when(F.col("_k") > 0, F.lit(pieces.longest - 1)).otherwise(F.lit(0))  # characters of the block before
+    rows = rows.select("_key", "_row", "_count", F.col("_k").cast("int").alias("_k"), back.alias("_back"), F.substring("_word", (F.col("_k") * BLOCK + 1 - back).cast("int"), BLOCK + back).alias("_part"),
+                       F.least(F.lit(BLOCK), F.col("_size") - F.col("_k") * BLOCK).cast("int").alias("_here"))
+    at = rows.select("_key", "_row", "_count", "_k", "_part", "_back", F.explode(F.expr("sequence(1 + _back, _here + _back)")).alias("_i")).withColumn("_j", F.col("_i") - F.col("_back")).drop("_back")
+    until = lambda n: F.when(F.col("_i") >= n, F.substring("_part", F.col("_i") - (n - 1), F.lit(n)))  # noqa: E731  the last n characters up to the place
+    at = at.withColumn("_c", until(1))
+    for n in (1, 2, 3):
+        at = at.join(F.broadcast(pieces.by_size(spark, n)), until(n) == F.col(f"_t{n}"), "left").drop(f"_t{n}")
+    at = at.join(F.broadcast(pieces.longer(spark)), until(4) == F.col("_t4"), "left")
+    ids = F.array(*[F.lit(pieces.byte_ids.get(b, pieces.unknown_id)) for b in range(256)])
+    code = F.hex(F.encode("_c", "UTF-8"))
+    spelled = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda k: F.get(ids, F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int")))
+    more = F.expr("filter(_more, m -> m.n <= _i AND substring(_part, _i - m.n + 1, m.n) = m.t)")
+    place = F.struct((F.col("_k") * BLOCK + F.col("_j")).alias("i"), F.coalesce("_w1", F.lit(pieces.unknown_score)).alias("w1"), F.when(F.col("_p1").isNull(), spelled).otherwise(F.array("_p1")).alias("c1"),
+                     F.col("_w2").alias("w2"), F.col("_p2").alias("p2"), F.col("_w3").alias("w3"), F.col("_p3").alias("p3"),
+                     F.when(F.col("_more").isNotNull(), F.transform(more, lambda m: F.struct(m["n"].alias("n"), m["p"].alias("p"), m["w"].alias("w")))).alias("more"),
+                     F.when(F.col("_j") == 1, F.substring("_part", F.col("_i"), F.lit(BLOCK))).alias("t"))
+    lattice = at.groupBy("_key", "_row").agg(F.first("_count").alias("_count"), F.sort_array(F.collect_list(place)).alias("_places"))
+    word = F.array_join(F.transform(F.filter("_places", lambda x: x["t"].isNotNull()), lambda x: x["t"]), "")
+    return lattice.select(word.alias("_word"), "_count", F.expr(_best_path(pieces.longest)).alias("_ids"))
 
 
 def vocabulary(docs: DataFrame, text_col: str, pieces: Pieces) -> DataFrame:
-    """Each distinct word with its _count, its _ids, _bytes and whether decoding gives it back (_same); staged."""
-    counts = docs.select(F.explode(words_of(text_of(text_col), pieces)).alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_count"))
-    coded = best_paths(counts, pieces, "_count").withColumn("_kept", F.struct("_count", "_ids", "_bytes"))
-    back = decode_words(coded, pieces, "_kept")
-    return stage(back.select("_word", "_kept.*", F.coalesce(F.col("_text") == F.col("_word"), F.lit(False)).alias("_same")), "piece-vocabulary")
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None) -> DataFrame:
-    """id_col and ids, the pieces of each text in order. Ids must be distinct. Null and empty texts have no pieces."""
-    pieces = Pieces(model_file)
-    known = vocabulary(docs, text_col, pieces).select(F.col("_word").alias("_key"), "_ids")
-    rows = docs.select(F.col(id_col).alias("_doc"), F.posexplode_outer(words_of(text_of(text_col), pieces)).alias("_at", "_word"))
-    met = rows.join(known, F.col("_word") == F.col("_key"), "left")
-    return met.groupBy(F.col("_doc").alias(id_col)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_ids"))), lambda x: F.coalesce(x["_ids"], F.array().cast("array<int>")))).alias("ids"))
+    """Each distinct word with its _count and its _ids; staged."""
+    texts = docs.select(F.col(text_col).cast("string").alias("_text"))
+    counts = texts.mapInArrow(_counter(pieces.cutter()), "_word string, _count bigint").withColumn("_key", F.xxhash64("_word")).repartition("_key")
+    counts = counts.groupBy("_key", "_word").agg(F.sum("_count").alias("_count"))
+    return stage(best_paths(counts, pieces), "piece-vocabulary")
+
+
+def _common(vocab: DataFrame, frequent: int):
+    """A condition that at most `frequent` words meet, by a limit of counts from a histogram of 512 bins at most."""
+    short = F.char_length("_word") <= COMMON_CHARS
+    bins = vocab.where(short).groupBy(F.floor(F.log2(F.col("_count").cast("double")) * 8).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("_count").alias("low")).collect()
+    least, n = None, 0
+    for b in sorted(bins, key=lambda r: -r["b"]):
+        n += b["n"]
+        if n > frequent:
+            break
+        least = b["low"]
+    return short & (F.col("_count") >= least) if least is not None else F.lit(False)
+
+
+@lru_cache(1)
+def _table(packed) -> dict[str, bytes]:
+    """Word to its ids as 32-bit numbers, from the broadcast Arrow table."""
+    t = pa.ipc.open_stream(packed.value).read_all()
+    ids = t.column("_ids").combine_chunks()
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
+    return {w: values[a:b].tobytes() for w, a, b in zip(t.column("_word").to_pylist(), offsets[:-1], offsets[1:], strict=True)}
+
+
+class _Coder:
+    """Ids of tokens all of whose words are common, found once; the words of others."""
+
+    def __init__(self, common: dict[str, bytes], cut):
+        self.common, self.cut, self.tokens = common, cut, {}
+
+    def missing(self, tokens) -> list[str]:
+        """The words that aren't common, in the order of their first occurrence."""
+        out: dict[str, None] = {}
+        for t in dict.fromkeys(tokens):
+            if t not in self.tokens:
+                words = self.cut(t)
+                if all(w in self.common for w in words):
+                    if len(self.tokens) > HELD:
+                        self.tokens.clear()
+                    self.tokens[t] = b"".join(self.common[w] for w in words)
+                else:
+                    out.update((w, None) for w in words if w not in self.common)
+        return list(out)
+
+    def ids(self, tokens, others: dict[str, bytes]) -> bytes:
+        have, common = self.tokens, self.common
+        return b"".join([have[t] if t in have else b"".join([common[w] if w in common else others[w] for w in self.cut(t)]) for t in tokens])
+
+
+def _askers(packed, cut):
+    def run(batches):
+        coder = _Coder(_table(packed), cut)
+        for batch in batches:
+            rows, words = [], []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                found = coder.missing(tokens_of(text)) if text else []
+                rows.append(np.full(len(found), i)), words.extend(found)
+            at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_hash").take(take), pa.array(place.astype(np.int32)), pa.array(words, pa.string())], names=["_id", "_hash", "_at", "_word"])
+    return run
+
+
+def _pack(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array([None if t is None else zlib.compress(t.encode(), 6) for t in batch.column("_text").to_pylist()], pa.binary())],
+                                         names=["_id", "_hash", "_packed"])
+
+
+def spell(ids: np.ndarray, spelling: dict[int, bytes]) -> str | None:
+    """The text of the ids; null where they are no UTF-8 or name no piece."""
+    try:
+        text = b"".join([spelling[i] for i in ids.tolist()]).decode()
+    except (UnicodeDecodeError, KeyError):
+        return None
+    return text[1:] if text.startswith(" ") else text
+
+
+def _assembler(packed, cut, spelling, byte_ids):
+    def run(batches):
+        coder = _Coder(_table(packed), cut)
+        is_byte = np.zeros(max(spelling) + 1, bool)
+        is_byte[list(byte_ids)] = True
+        for batch in batches:
+            sizes, ids, spelled, same = [], [], [], []
+            for blob, found in zip(batch.column("_packed").to_pylist(), batch.column("_found").to_pylist(), strict=True):
+                text = "" if blob is None else zlib.decompress(blob).decode()
+                tokens = tokens_of(text)
+                words = coder.missing(tokens)
+                others = {words[x["at"]]: np.array(x["ids"], np.int32).tobytes() for x in found or ()}
+                own = np.frombuffer(coder.ids(tokens, others), np.int32)
+                sizes.append(len(own)), ids.append(own), spelled.append(int(is_byte[own].sum())), same.append(spell(own, spelling) == text)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))),
+                                              pa.array(spelled, pa.int64()), pa.array(same, pa.bool_())], names=["_id", "_hash", "ids", "n_bytes", "round_trip"])
+    return run
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """For each row of docs id_col, text_hash, ids (the pieces of the whole text in order), n_bytes (how many of them are byte pieces), round_trip.
+
+    round_trip says that decoding the ids gives the text back. Null and empty texts have no pieces and round-trip. A
+    text that holds U+2581 itself comes back with spaces there, as with any such model. Rows that repeat an id, or
+    id and text, get a row each, null ids too. Words may be of any length. Other columns are ignored; an empty table gives no rows."""
+    spark, pieces = docs.sparkSession, Pieces(model_file)
+    vocab = vocabulary(docs, text_col, pieces)
+    common = _common(vocab, frequent)
+    top = vocab.where(common).select("_word", "_ids").toArrow()  # at most `frequent` short words
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema) as out:
+        out.write_table(top)
+    packed, cut = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), pieces.cutter()
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    kind = texts.schema["_id"].dataType.simpleString()
+    asked = texts.mapInArrow(_askers(packed, cut), f"_id {kind}, _hash bigint, _at int, _word string")
+    rest = vocab.where(~common).select(F.col("_word").alias("_known"), "_ids")
+    told = asked.join(rest, F.col("_word") == F.col("_known")).groupBy("_id", "_hash").agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_ids").alias("ids"))).alias("_found"))
+    told = told.withColumnRenamed("_id", "_tid").withColumnRenamed("_hash", "_thash")
+    whole = texts.mapInArrow(_pack, f"_id {kind}, _hash bigint, _packed binary")
+    met = whole.join(told, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_hash") == F.col("_thash")), "left").select("_id", "_hash", "_packed", "_found")
+    out = met.mapInArrow(_assembler(packed, cut, pieces.spelling(), list(pieces.byte_ids.values())), f"_id {kind}, _hash bigint, ids array<int>, n_bytes bigint, round_trip boolean")
+    return out.withColumnRenamed("_id", id_col).withColumnRenamed("_hash", "text_hash")
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str | None = None) -> DataFrame:
-    """id_col and text: the inverse of encode, for distinct ids; null where the ids are no UTF-8."""
-    pieces = Pieces(model_file)
-    some = decode_words(coded.where(F.size(ids_col) > 0).select(F.col(id_col).alias("_word"), F.col(ids_col).alias("_ids")), pieces)
-    text = F.when(F.size(ids_col) > 0, F.translate(F.substring(F.col("_text"), F.lit(2), F.char_length("_text")), SPACE_MARK, " ")).otherwise("")
-    return coded.join(some, F.col(id_col) == F.col("_word"), "left").select(id_col, text.alias("text"))
-
-
-def encode_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """For each row of docs id_col, n_words, n_pieces, n_bytes (byte pieces), pieces_sum and round_trip.
-
-    pieces_sum adds up 36-bit hashes of (place of the word, its ids), so it tells encodings apart without gathering a text's ids in
-    one row. round_trip says that decoding the ids gives every word back. Null and empty texts have none of
-    anything and round-trip. A text that holds U+2581 itself comes back with spaces there, as with any such model. Rows that repeat id and text get a row each.
-    Other columns are ignored; an empty table gives no rows."""
-    pieces = Pieces(model_file)
-    short = vocabulary(docs, text_col, pieces).select(F.col("_word").alias("_key"), "_count", F.size("_ids").alias("_n"), "_bytes", F.xxhash64("_ids").alias("_print"), "_same")
-    common = F.broadcast(stage(short.orderBy(F.desc("_count"), "_key").limit(frequent).drop("_count"), "piece-common"))  # at most `frequent` rows
-    texts = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    tokens = texts.select("_doc", "_hash", F.posexplode(words_of(F.col("_text"), pieces)).alias("_at", "_word"))
-    sums = [F.count(F.lit(1)).alias("_words"), F.sum("_n").alias("_pieces"), F.sum("_bytes").alias("_b"),
-            F.sum(F.xxhash64("_at", "_print").bitwiseAND(F.lit((1 << 36) - 1))).alias("_x"), F.bool_and("_same").alias("_ok")]
-    met = tokens.join(common, F.col("_word") == F.col("_key"), "left")
-    easy = met.where("_key IS NOT NULL").groupBy("_doc", "_hash").agg(*sums)
-    rest = met.where("_key IS NULL").select("_doc", "_hash", "_at", "_word").join(short.drop("_count"), F.col("_word") == F.col("_key")).groupBy("_doc", "_hash").agg(*sums)
-    both = easy.unionByName(rest).groupBy("_doc", "_hash").agg(*[f("_" + c).alias("_" + c) for c, f in (("words", F.sum), ("pieces", F.sum), ("b", F.sum), ("x", F.sum), ("ok", F.bool_and))])
-    # rows that repeat id and text were added up together: each has its share
-    copies = texts.groupBy("_doc", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    out = copies.join(both.withColumnRenamed("_doc", "_d").withColumnRenamed("_hash", "_h"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    share = lambda c: F.coalesce((F.col(c) / F.col("_rows")).cast("long"), F.lit(0).cast("long"))
-    return out.select(F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))), F.col("_doc").alias(id_col), share("_words").alias("n_words"), share("_pieces").alias("n_pieces"), share("_b").alias("n_bytes"),
-                      share("_x").alias("pieces_sum"), F.coalesce("_ok", F.lit(True)).alias("round_trip")).drop("col")
+    """id_col and text: the inverse of encode, a row each; null where the ids are no UTF-8 or name no piece. Null ids are an empty text."""
+    spelling = Pieces(model_file).spelling()
+
+    def run(batches):
+        for batch in batches:
+            texts = [spell(np.array(x or (), np.int64), spelling) for x in batch.column("_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(texts, pa.string())], names=["_id", "text"])
+    rows = coded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, text string").withColumnRenamed("_id", id_col)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digest(table(spark, sf_dir, "documents"))
+    coded = encode(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "round_trip", "ids")
 
 
 QUERIES = {"op10_sentencepiece": op10_sentencepiece}
