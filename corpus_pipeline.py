@@ -15,7 +15,7 @@ from docloom.llm.exact_dedup import exact_dedup
 from docloom.llm.mixing import mix
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.quality import quality_rules
-from docloom.llm.sentencepiece import encode_digest
+from docloom.llm.sentencepiece import encode
 
 #: Near duplicates share at least so many per cent of their 5-word shingles.
 SIMILAR_PERCENT = 80
@@ -49,8 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each drawn document with the figures of its encoding, and whether decoding gives its text back."""
-    return encode_digest(docs)
+    """Each drawn document with the ids of its whole text, and whether decoding them gives the text back."""
+    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "round_trip", "ids")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_duplicates), ("near dedup", near_duplicate_groups), ("mixing", mixing), ("sentencepiece", encoding)]
