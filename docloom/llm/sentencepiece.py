@@ -8,8 +8,8 @@ on ties). A character that is no piece is an edge of its own and comes out as by
 their own characters beats can't be on any best path and are left out of the table.
 
 The piece table is bounded by the model. Of words, the most common (at most `frequent`, of at most COMMON_CHARS characters) go to all tasks in a table
-of that bounded size; other words are looked up by a shuffle of (text, word) pairs. Texts are then put together from the ids of their
-words, a row each, and decoded again.
+of that bounded size; which these are changes the cost only. Other words are looked up by a shuffle of (text, word) pairs. Texts travel as
+compressed numbers of their words to where the ids of these arrive, and are put together and decoded there, a row each.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
+from hashlib import md5
 from importlib.util import find_spec
 from pathlib import Path
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import stage, table, text_of
 
 SPACE_MARK = "▁"
-FREQUENT = 262_144
+FREQUENT = 524_288
+TOP = 131_072  # words that a task names as common
 COMMON_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 FEW_JOINED = 3
@@ -87,15 +89,21 @@ class Pieces:
         return kept
 
     def cutter(self):
-        """A function that cuts a token, marks included, into words."""
+        """A function that cuts a token, given without its first mark, into words."""
         if not self.apart:
-            return lambda token: [token]
+            return lambda token: [SPACE_MARK + token]
         sign = "[" + "".join(map(re.escape, sorted(self.apart))) + "]"
         plain = rf"(?:(?![{''.join(map(re.escape, sorted(self.joined)))}])[^\W_])" if self.joined else r"[^\W_]"
         between = re.compile(f"(?<!{SPACE_MARK})(?={SPACE_MARK})|(?<={sign})(?={plain})|(?<={plain})(?={sign})")
 
+        apart, joined = self.apart, self.joined
+
         def cut(token: str) -> list[str]:
-            return [w for w in between.split(token) if w]
+            if token.isalnum():
+                return [SPACE_MARK + token]
+            if token[-1:] in apart and token[:-1].isalnum() and token[-2] not in joined:
+                return [SPACE_MARK + token[:-1], token[-1]]
+            return [w for w in between.split(SPACE_MARK + token) if w]
         return cut
 
     def by_size(self, spark: SparkSession, size: int) -> DataFrame:
@@ -109,18 +117,19 @@ class Pieces:
                 by.setdefault(p[-4:], []).append((len(p), i, s, p))
         return spark.createDataFrame(list(by.items()) or [("", [])], "_t4 string, _more array<struct<n:int,p:int,w:double,t:string>>")
 
-    def spelling(self) -> dict[int, bytes]:
-        return {i: p.replace(SPACE_MARK, " ").encode() for p, i, _ in self.rows} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+    def spelling(self) -> Spelling:
+        return Spelling({i: p.replace(SPACE_MARK, " ").encode() for p, i, _ in self.rows} | {i: bytes([b]) for b, i in self.byte_ids.items()})
 
 
 def tokens_of(text: str) -> list[str]:
-    """The text cut at its spaces, each token with its marks in front."""
+    """The text cut at its spaces; each token stands for itself with a mark in front, and has the others of a run of marks in it."""
     if SPACE_MARK not in text and "  " not in text and text[:1] != " " and text[-1:] != " ":
-        return [SPACE_MARK + t for t in text.split(" ")] if text else []
-    return re.findall(f"{SPACE_MARK}+[^{SPACE_MARK}]*", SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
+        return text.split(" ") if text else []
+    return [t[1:] for t in re.findall(f"{SPACE_MARK}+[^{SPACE_MARK}]*", SPACE_MARK + text.replace(" ", SPACE_MARK))] if text else []
 
 
-def _counter(cut):
+def _counter(cut, top: int):
+    """The words that are most common in what a task has read, HELD different tokens at a time, with their counts there."""
     def run(batches):
         held: Counter = Counter()
 
@@ -130,7 +139,8 @@ def _counter(cut):
                 for w in cut(t):
                     words[w] += n
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["_word", "_count"])
+            most = [(w, n) for w, n in words.most_common(top) if len(w) <= COMMON_CHARS]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["_word", "_count"])
 
         for batch in batches:
             for text in batch.column("_text").to_pylist():
@@ -170,18 +180,18 @@ def _best_path(longest: int) -> str:
 
 
 def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words: distinct _word and _count, partitioned by _key, a hash of the word. Returns _word, _count, _ids, the pieces of the best path.
+    """words: distinct _word, partitioned by _key, a hash of the word. Returns _word, _ids, the pieces of the best path.
 
     Nothing is shuffled; rows of the lattice carry two numbers for the word, and its text once a block."""
     if pieces.longest > BLOCK:
         raise ValueError(f"pieces of more than {BLOCK} characters")
     spark = words.sparkSession
     rows = words.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", F.char_length("_word"))
-    rows = rows.select("_key", "_row", "_word", "_count", "_size", F.explode(F.expr(f"sequence(0, (_size - 1) div {BLOCK})")).alias("_k"))
+    rows = rows.select("_key", "_row", "_word", "_size", F.explode(F.expr(f"sequence(0, (_size - 1) div {BLOCK})")).alias("_k"))
     back = F.when(F.col("_k") > 0, F.lit(pieces.longest - 1)).otherwise(F.lit(0))  # characters of the block before
-    rows = rows.select("_key", "_row", "_count", F.col("_k").cast("int").alias("_k"), back.alias("_back"), F.substring("_word", (F.col("_k") * BLOCK + 1 - back).cast("int"), BLOCK + back).alias("_part"),
+    rows = rows.select("_key", "_row", F.col("_k").cast("int").alias("_k"), back.alias("_back"), F.substring("_word", (F.col("_k") * BLOCK + 1 - back).cast("int"), BLOCK + back).alias("_part"),
                        F.least(F.lit(BLOCK), F.col("_size") - F.col("_k") * BLOCK).cast("int").alias("_here"))
-    at = rows.select("_key", "_row", "_count", "_k", "_part", "_back", F.explode(F.expr("sequence(1 + _back, _here + _back)")).alias("_i")).withColumn("_j", F.col("_i") - F.col("_back")).drop("_back")
+    at = rows.select("_key", "_row", "_k", "_part", "_back", F.explode(F.expr("sequence(1 + _back, _here + _back)")).alias("_i")).withColumn("_j", F.col("_i") - F.col("_back")).drop("_back")
     until = lambda n: F.when(F.col("_i") >= n, F.substring("_part", F.col("_i") - (n - 1), F.lit(n)))  # noqa: E731  the last n characters up to the place
     at = at.withColumn("_c", until(1))
     for n in (1, 2, 3):
@@ -195,112 +205,160 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
                      F.col("_w2").alias("w2"), F.col("_p2").alias("p2"), F.col("_w3").alias("w3"), F.col("_p3").alias("p3"),
                      F.when(F.col("_more").isNotNull(), F.transform(more, lambda m: F.struct(m["n"].alias("n"), m["p"].alias("p"), m["w"].alias("w")))).alias("more"),
                      F.when(F.col("_j") == 1, F.substring("_part", F.col("_i"), F.lit(BLOCK))).alias("t"))
-    lattice = at.groupBy("_key", "_row").agg(F.first("_count").alias("_count"), F.sort_array(F.collect_list(place)).alias("_places"))
+    lattice = at.groupBy("_key", "_row").agg(F.sort_array(F.collect_list(place)).alias("_places"))
     word = F.array_join(F.transform(F.filter("_places", lambda x: x["t"].isNotNull()), lambda x: x["t"]), "")
-    return lattice.select(word.alias("_word"), "_count", F.expr(_best_path(pieces.longest)).alias("_ids"))
+    return lattice.select(word.alias("_word"), F.expr(_best_path(pieces.longest)).alias("_ids"))
 
 
-def vocabulary(docs: DataFrame, text_col: str, pieces: Pieces) -> DataFrame:
-    """Each distinct word with its _count and its _ids; staged."""
-    texts = docs.select(F.col(text_col).cast("string").alias("_text"))
-    counts = texts.mapInArrow(_counter(pieces.cutter()), "_word string, _count bigint").withColumn("_key", F.xxhash64("_word")).repartition("_key")
-    counts = counts.groupBy("_key", "_word").agg(F.sum("_count").alias("_count"))
-    return stage(best_paths(counts, pieces), "piece-vocabulary")
+def vocabulary(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words: _word. Each distinct one with its _ids; staged."""
+    spread = words.withColumn("_key", F.xxhash64("_word")).dropDuplicates(["_word"]).repartition("_key")
+    return stage(best_paths(spread, pieces), "piece-vocabulary")
 
 
-def _common(vocab: DataFrame, frequent: int):
-    """A condition that at most `frequent` words meet, by a limit of counts from a histogram of 512 bins at most."""
-    short = F.char_length("_word") <= COMMON_CHARS
-    bins = vocab.where(short).groupBy(F.floor(F.log2(F.col("_count").cast("double")) * 8).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("_count").alias("low")).collect()
+def common_words(docs: DataFrame, text_col: str, pieces: Pieces, frequent: int) -> DataFrame:
+    """At most `frequent` words, those of the highest counts as far as tasks name them, by a limit from a histogram of 512 bins at most; staged: _word, _count."""
+    texts = docs.select(F.col(text_col).cast("string").alias("_text"))
+    counts = texts.mapInArrow(_counter(pieces.cutter(), min(TOP, frequent)), "_word string, _count bigint").groupBy("_word").agg(F.sum("_count").alias("_count"))
+    counts = stage(counts, "piece-counts")
+    step = F.floor(F.log2(F.col("_count").cast("double")) * 8).cast("int")
     least, n = None, 0
-    for b in sorted(bins, key=lambda r: -r["b"]):
+    for b in sorted(counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["b"]):
         n += b["n"]
         if n > frequent:
             break
-        least = b["low"]
-    return short & (F.col("_count") >= least) if least is not None else F.lit(False)
+        least = b["b"]
+    return counts.where(step >= least if least is not None else F.lit(False))
+
+
+class Common:
+    """The common words of a broadcast Arrow table: number of each, and the ids by number."""
+
+    def __init__(self, table: pa.Table):
+        ids = table.column("_ids").combine_chunks()
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        self.starts, self.sizes = offsets[:-1], np.diff(offsets)
+        self.values = ids.values.to_numpy().astype(np.int32)
+        self.number = {w: i for i, w in enumerate(table.column("_word").to_pylist())}
 
 
 @lru_cache(1)
-def _table(packed) -> dict[str, bytes]:
-    """Word to its ids as 32-bit numbers, from the broadcast Arrow table."""
-    t = pa.ipc.open_stream(packed.value).read_all()
-    ids = t.column("_ids").combine_chunks()
-    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
-    return {w: values[a:b].tobytes() for w, a, b in zip(t.column("_word").to_pylist(), offsets[:-1], offsets[1:], strict=True)}
+def _table(packed) -> Common:
+    return Common(pa.ipc.open_stream(packed.value).read_all())
 
 
 class _Coder:
-    """Ids of tokens all of whose words are common, found once; the words of others."""
-
-    def __init__(self, common: dict[str, bytes], cut):
-        self.common, self.cut, self.tokens = common, cut, {}
-
-    def missing(self, tokens) -> list[str]:
-        """The words that aren't common, in the order of their first occurrence."""
-        out: dict[str, None] = {}
-        for t in dict.fromkeys(tokens):
-            if t not in self.tokens:
-                words = self.cut(t)
-                if all(w in self.common for w in words):
-                    if len(self.tokens) > HELD:
-                        self.tokens.clear()
-                    self.tokens[t] = b"".join(self.common[w] for w in words)
-                else:
-                    out.update((w, None) for w in words if w not in self.common)
-        return list(out)
-
-    def ids(self, tokens, others: dict[str, bytes]) -> bytes:
-        have, common = self.tokens, self.common
-        return b"".join([have[t] if t in have else b"".join([common[w] if w in common else others[w] for w in self.cut(t)]) for t in tokens])
+    """The numbers of a text's words: common ones by the table, others by their place among the text's own other words."""
+
+    def __init__(self, common: Common, cut):
+        self.number, self.cut, self.tokens = common.number, cut, {}
+
+    def missing(self, tokens) -> tuple[list[str], list[str]]:
+        """The words that aren't common, and the tokens that have such, both in order."""
+        number, words, rare = self.number, set(), []
+        if len(self.tokens) > HELD:
+            self.tokens.clear()
+        for t in set(tokens).difference(self.tokens):
+            parts = self.cut(t)
+            other = [w for w in parts if w not in number]
+            if other:
+                words.update(other)
+                rare.append(t)
+            else:
+                self.tokens[t] = np.array([number[w] for w in parts], np.uint32).tobytes()
+        return sorted(words), rare
+
+    def numbers(self, tokens) -> np.ndarray:
+        words, rare = self.missing(tokens)
+        found = list(map(self.tokens.get, tokens))
+        if rare:
+            own = {w: len(self.number) + i for i, w in enumerate(words)}
+            made = {t: np.array([own[w] if w in own else self.number[w] for w in self.cut(t)], np.uint32).tobytes() for t in rare}
+            found = [made[t] if x is None else x for t, x in zip(tokens, found, strict=True)]
+        return np.frombuffer(b"".join(found), np.uint32)
 
 
 def _askers(packed, cut):
     def run(batches):
         coder = _Coder(_table(packed), cut)
         for batch in batches:
-            rows, words = [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                found = coder.missing(tokens_of(text)) if text else []
-                rows.append(np.full(len(found), i)), words.extend(found)
-            at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-            place = np.arange(len(at)) - np.searchsorted(at, at)
+            sizes, words = [], []
+            for text in batch.column("_text").to_pylist():
+                found = coder.missing(tokens_of(text))[0] if text else []
+                sizes.append(len(found))
+                words.extend(found)
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(take), batch.column("_hash").take(take), pa.array(place.astype(np.int32)), pa.array(words, pa.string())], names=["_id", "_hash", "_at", "_word"])
     return run
 
 
-def _pack(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array([None if t is None else zlib.compress(t.encode(), 6) for t in batch.column("_text").to_pylist()], pa.binary())],
-                                         names=["_id", "_hash", "_packed"])
+def _pack(packed, cut):
+    """Numbers of each text's words, byte by byte of higher order, compressed; and a digest of the text."""
+    def run(batches):
+        coder = _Coder(_table(packed), cut)
+        for batch in batches:
+            blobs, digests = [], []
+            for text in batch.column("_text").to_pylist():
+                numbers = coder.numbers(tokens_of(text or ""))
+                blobs.append(zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), 1))
+                digests.append(md5((text or "").encode()).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(blobs, pa.binary()), pa.array(digests, pa.binary())], names=["_id", "_hash", "_packed", "_digest"])
+    return run
+
+
+class Spelling:
+    """The bytes of each id, as one table; no entry for ids that name no piece."""
 
+    def __init__(self, texts: dict[int, bytes]):
+        parts = [texts.get(i, b"") for i in range(max(texts) + 1)]
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
 
-def spell(ids: np.ndarray, spelling: dict[int, bytes]) -> str | None:
-    """The text of the ids; null where they are no UTF-8 or name no piece."""
-    try:
-        text = b"".join([spelling[i] for i in ids.tolist()]).decode()
-    except (UnicodeDecodeError, KeyError):
-        return None
-    return text[1:] if text.startswith(" ") else text
+    def text(self, ids: np.ndarray) -> bytes | None:
+        """The bytes of a text's ids without the mark in front; null where one of them names no piece."""
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.sizes) or not (sizes := self.sizes[ids]).all():
+            return None
+        out = _gathered(self.starts[ids], sizes, self.bytes).tobytes()
+        return out[1:] if out[:1] == b" " else out
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of all, one after the other."""
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
 
 
-def _assembler(packed, cut, spelling, byte_ids):
+def _assembler(packed, spelling: Spelling, byte_ids):
     def run(batches):
-        coder = _Coder(_table(packed), cut)
-        is_byte = np.zeros(max(spelling) + 1, bool)
-        is_byte[list(byte_ids)] = True
+        common = _table(packed)
+        n = len(common.number)
+        is_byte = np.zeros(len(spelling.sizes) + 1, np.int64)
+        is_byte[list(byte_ids)] = 1
         for batch in batches:
-            sizes, ids, spelled, same = [], [], [], []
-            for blob, found in zip(batch.column("_packed").to_pylist(), batch.column("_found").to_pylist(), strict=True):
-                text = "" if blob is None else zlib.decompress(blob).decode()
-                tokens = tokens_of(text)
-                words = coder.missing(tokens)
-                others = {words[x["at"]]: np.array(x["ids"], np.int32).tobytes() for x in found or ()}
-                own = np.frombuffer(coder.ids(tokens, others), np.int32)
-                sizes.append(len(own)), ids.append(own), spelled.append(int(is_byte[own].sum())), same.append(spell(own, spelling) == text)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))),
+            sizes, ids, spelled, same = [0], [np.empty(0, np.int32)], [], []
+            for blob, digest, found in zip(batch.column("_packed").to_pylist(), batch.column("_digest").to_pylist(), batch.column("_found").to_pylist(), strict=True):
+                numbers = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32).astype(np.int64)
+                if found:  # repeated rows bring their words again; a word's place names it
+                    others = {x["at"]: x["ids"] for x in found}
+                    own_sizes = np.array([len(others[i]) for i in range(len(others))])
+                    own = np.concatenate([np.array(others[i], np.int32) for i in range(len(others))])
+                    rare = numbers >= n
+                    at = np.where(rare, numbers - n, 0)
+                    size = np.where(rare, own_sizes[at], common.sizes[np.where(rare, 0, numbers)] if n else 0)
+                    out, ends = np.empty(int(size.sum()), np.int32), np.cumsum(size)
+                    of_rare = np.repeat(rare, size)
+                    out[of_rare] = _gathered((np.cumsum(own_sizes) - own_sizes)[at[rare]], own_sizes[at[rare]], own)
+                    out[~of_rare] = _gathered(common.starts[numbers[~rare]], common.sizes[numbers[~rare]], common.values) if len(ends) else out
+                else:
+                    out = _gathered(common.starts[numbers], common.sizes[numbers], common.values)
+                sizes.append(len(out)), ids.append(out), spelled.append(int(is_byte[out].sum()))
+                back = spelling.text(out)
+                same.append(back is not None and md5(back).digest() == digest)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(ids))),
                                               pa.array(spelled, pa.int64()), pa.array(same, pa.bool_())], names=["_id", "_hash", "ids", "n_bytes", "round_trip"])
     return run
 
@@ -312,33 +370,42 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     text that holds U+2581 itself comes back with spaces there, as with any such model. Rows that repeat an id, or
     id and text, get a row each, null ids too. Words may be of any length. Other columns are ignored; an empty table gives no rows."""
     spark, pieces = docs.sparkSession, Pieces(model_file)
-    vocab = vocabulary(docs, text_col, pieces)
-    common = _common(vocab, frequent)
-    top = vocab.where(common).select("_word", "_ids").toArrow()  # at most `frequent` short words
+    cut = pieces.cutter()
+    counts = common_words(docs, text_col, pieces, frequent)
+    coded = vocabulary(counts.select("_word"), pieces).withColumnRenamed("_word", "_known")
+    # at most `frequent` short words, the most common with the smallest numbers
+    top = coded.join(counts, F.col("_known") == F.col("_word")).orderBy(F.desc("_count"), "_word").select("_word", "_ids").toArrow()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, top.schema) as out:
-        out.write_table(top)
-    packed, cut = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), pieces.cutter()
+    with pa.ipc.new_stream(sink, top.schema) as to:
+        to.write_table(top)
+    packed = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
     kind = texts.schema["_id"].dataType.simpleString()
     asked = texts.mapInArrow(_askers(packed, cut), f"_id {kind}, _hash bigint, _at int, _word string")
-    rest = vocab.where(~common).select(F.col("_word").alias("_known"), "_ids")
+    rest = vocabulary(asked.select("_word"), pieces).select(F.col("_word").alias("_known"), "_ids")
     told = asked.join(rest, F.col("_word") == F.col("_known")).groupBy("_id", "_hash").agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_ids").alias("ids"))).alias("_found"))
     told = told.withColumnRenamed("_id", "_tid").withColumnRenamed("_hash", "_thash")
-    whole = texts.mapInArrow(_pack, f"_id {kind}, _hash bigint, _packed binary")
-    met = whole.join(told, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_hash") == F.col("_thash")), "left").select("_id", "_hash", "_packed", "_found")
-    out = met.mapInArrow(_assembler(packed, cut, pieces.spelling(), list(pieces.byte_ids.values())), f"_id {kind}, _hash bigint, ids array<int>, n_bytes bigint, round_trip boolean")
+    whole = texts.mapInArrow(_pack(packed, cut), f"_id {kind}, _hash bigint, _packed binary, _digest binary")
+    met = whole.join(told, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_hash") == F.col("_thash")), "left").select("_id", "_hash", "_packed", "_digest", "_found")
+    out = met.mapInArrow(_assembler(packed, pieces.spelling(), list(pieces.byte_ids.values())), f"_id {kind}, _hash bigint, ids array<int>, n_bytes bigint, round_trip boolean")
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_hash", "text_hash")
 
 
+def _utf8(text: bytes) -> str | None:
+    try:
+        return text.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str | None = None) -> DataFrame:
     """id_col and text: the inverse of encode, a row each; null where the ids are no UTF-8 or name no piece. Null ids are an empty text."""
     spelling = Pieces(model_file).spelling()
 
     def run(batches):
         for batch in batches:
-            texts = [spell(np.array(x or (), np.int64), spelling) for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(texts, pa.string())], names=["_id", "text"])
+            found = [spelling.text(np.array(x or (), np.int64)) for x in batch.column("_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([None if t is None else _utf8(t) for t in found], pa.string())], names=["_id", "text"])
     rows = coded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, text string").withColumnRenamed("_id", id_col)
 
