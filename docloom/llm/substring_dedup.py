@@ -1,7 +1,7 @@
 """Removal of passages that repeat across documents: bytes covered by a 50-byte string that starts in an earlier document.
 
-Every 50-byte string is represented by its minimizer, the least hashed 32-byte string in it, so equal strings meet under an
-equal key at about a tenth of all places. First the places whose key occurs in two documents are found; only these
+Every 50-byte string is represented by its minimizer, the least hashed KEY-byte string in it, so equal strings meet under an
+equal key at about a sixteenth of all places. First the places whose key occurs in two documents are found; only these
 send their surroundings (all 50-byte strings that hold the key) on, and the least document of each string
 is found among equal hashes. Rows between tasks are packed blobs of thousands of places, dealt by ranges of the hash. Whatever
 repeats within a batch is settled there and sent on once, so that a passage or copy in a third of all documents
@@ -10,6 +10,7 @@ costs one entry a batch.
 
 from __future__ import annotations
 
+import zlib
 from hashlib import sha256
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 from .textbytes import Chunk, _byte_values, _powers, chunks, mix64, utf8
 
-LENGTH, KEY = 50, 32
+LENGTH, KEY = 50, 20
 SPAN = LENGTH - KEY + 1  # keys in a string
 AROUND = SPAN - 1 + LENGTH  # bytes of the strings that hold a key
 BUCKET_BYTES, STRING_BUCKET_BYTES = 8 << 20, 2 << 20  # of text for each bucket of places, and of surroundings
@@ -72,11 +73,22 @@ _PLACES = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.in
 _PLACES_DDL = "bucket int, doc bigint, mark bigint, at array<int>, docs binary, marks binary, owners binary, places binary, hashes binary"
 
 
+def _deflate(batches):
+    """Texts as they travel: compressed."""
+    for batch in batches:
+        packed = pa.array([zlib.compress(t, 1) for t in utf8(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+
+
+def _inflated(column) -> list[bytes]:
+    return [zlib.decompress(t) for t in column.to_pylist()]
+
+
 def _texts(batches, *more: str):
     """Chunks of about BATCH_BYTES at a time, with what belongs to their texts: lists of (chunk, doc, mark, other columns)."""
     held, size = [], 0
     for batch in batches:
-        texts = utf8(batch.column("text"))
+        texts = _inflated(batch.column("text")) if more else utf8(batch.column("text"))  # what comes with more has travelled
         doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
         other = [batch.column(m).to_pylist() for m in more]
         for c in chunks(texts):
@@ -115,7 +127,7 @@ def _pack(schema, n: int, keys, doc, mark, owner, place, more: dict, direct: lis
         at = order[a:b]
         _, first, index = np.unique(owner[at], return_index=True, return_inverse=True)
         rows.append({"bucket": int(bucket[at[0]]), "docs": doc[at[first]].tobytes(), "marks": mark[at[first]].tobytes(), "owners": _planes(index.astype(np.uint32)),
-                     "places": _planes(place[at].astype(np.uint32)), **{k: (_planes(v[at], 6) if k == "hashes" else v[at].tobytes()) for k, v in more.items()}})
+                     "places": _planes(place[at].astype(np.uint32)), **{k: (_planes(v[at].astype(np.uint32)) if k == "hashes" else v[at].tobytes()) for k, v in more.items()}})
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema)
     if len(direct[0]):
@@ -160,7 +172,8 @@ _FOUND = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(p
 
 def _shared_places(t: pa.Table) -> pa.Table:
     doc, mark, place = _unpack(t)
-    keys = np.concatenate([np.empty(0, np.uint64), *(_numbers(x, np.uint64, 6) for x in t.column("hashes").to_pylist() if x is not None)])  # 48 bits: a chance match only sends a place on
+    # the lower 32 bits; the upper ones chose the bucket, of which there are as many as the text needs. A chance match only sends a place on
+    keys = np.concatenate([np.empty(0, np.uint32), *(_numbers(x, np.uint32) for x in t.column("hashes").to_pylist() if x is not None)])
     order, _, shared = _groups(keys, doc)
     at = order[shared]
     found = pa.Table.from_arrays(_lists(doc[at], mark[at], place[at]), schema=_FOUND)
@@ -251,7 +264,7 @@ def _cut(text: bytes, low: list[int], high: list[int]) -> tuple[int, list[bytes]
 def _results(batches):
     for batch in batches:
         out = []
-        for t, low, high in zip(utf8(batch.column("text")), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
+        for t, low, high in zip(_inflated(batch.column("text")), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
             spans, left = _cut(t, low or [], high or [])
             kept = b"".join(left)
             out.append((len(t), len(t) - len(kept), spans, sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
@@ -273,10 +286,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = flat.mapInArrow(_send_places(n), _PLACES_DDL).groupBy("bucket").applyInArrow(_shared_places, "doc bigint, mark bigint, at array<int>")
     gather = lambda df, *cols: df.groupBy("doc", "mark").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in cols])
     there = gather(places, "at").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
-    met = flat.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc", "mark", "text", "at")
+    sent = flat.mapInArrow(_deflate, "doc bigint, mark bigint, text binary")
+    met = sent.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc", "mark", "text", "at")
     ranges = met.mapInArrow(_send_strings(m), _STRINGS_DDL).groupBy("bucket").applyInArrow(_repeated, "doc bigint, mark bigint, low array<int>, high array<int>")
     cuts = gather(ranges, "low", "high").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
-    whole = base.join(cuts, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left").select("id", "text", "low", "high")
+    sent = base.mapInArrow(_deflate, f"id {kind}, doc bigint, text binary, mark bigint")
+    whole = sent.join(cuts, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left").select("id", "text", "low", "high")
     out = whole.mapInArrow(_results, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
 
