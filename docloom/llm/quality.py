@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table, text_of
@@ -20,18 +20,23 @@ from .textbytes import chunks, utf8, windows
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: The transformed statistics and the least spread that counts, so that a statistic that is constant in most texts rejects nothing by itself.
+#: The transformed statistics and the least spread that counts: a small part of the range, so that a statistic that is the same in most texts doesn't reject the first that differs.
 FEATURES = {
-    "_x1": ("log1p(n_words)", 1.0),
-    "_x2": ("log1p(word_chars / greatest(1, n_words))", 0.25),
-    "_x3": ("sqrt(n_symbols / greatest(1, word_chars))", 0.15),
-    "_x4": ("sqrt(n_repeat_words / greatest(1, n_words))", 0.3),
+    "_x1": ("log1p(n_words)", 0.5),
+    "_x2": ("log1p(word_chars / greatest(1, n_words))", 0.1),
+    "_x3": ("sqrt(n_symbols / greatest(1, word_chars))", 0.05),
+    "_x4": ("sqrt(n_repeat_words / greatest(1, n_words))", 0.06),
+    "_x5": ("log1p(n_dup_lines)", 0.35),
 }
-#: Squared distance from which a text is an outlier: seven standard deviations along any one direction.
-CUTOFF = 49.0
-STEPS = 4
+#: Starts: all rows, quartiles, and quartiles with few symbols, repeats and repeated lines.
+STARTS = 3
+LOW = {"_x3", "_x4", "_x5"}
+#: The share of a normal sample beyond the cut-off; texts aren't normal, and clean ones with odd lengths must stay.
+TAIL = 1e-9
+STEPS = 20  # a start that hasn't settled by then is judged as it is
 MIN_GROUP = 50
-_BINS = 64  # a factor of e has so many bins
+LEAST_ROWS = 11
+_BINS = 16  # a factor of e has so many bins
 
 
 def _stats(batches):
@@ -110,7 +115,8 @@ def _factor(moments: DataFrame, floors: list[float], scale: float) -> DataFrame:
         for j in range(i + 1):
             c = F.lit(1.0) if i == j else -sum((F.col(f"_g{i}{k}") * F.col(f"_l{k}{j}") for k in range(j, i)), F.lit(0.0))
             out = out.withColumn(f"_l{i}{j}", c / F.col(f"_g{i}{i}"))
-    return out.select("_group", *[f"_m{i}" for i in range(p)], *[f"_l{i}{j}" for i in range(p) for j in range(i + 1)])
+    size = sum((F.ln(f"_g{i}{i}") for i in range(p)), F.lit(0.0))  # half the logarithm of the determinant
+    return out.select("_group", "_start", *[f"_m{i}" for i in range(p)], *[f"_l{i}{j}" for i in range(p) for j in range(i + 1)], size.alias("_det"))
 
 
 def _moments(names: list[str]) -> list[Column]:
@@ -119,56 +125,82 @@ def _moments(names: list[str]) -> list[Column]:
             *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_s{i}{j}") for j in range(p) for i in range(j + 1)]]
 
 
-def robust_distance(stats: DataFrame, group: Column, features: dict = FEATURES, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds distance2, the squared Mahalanobis distance under the group's robust estimate.
+def _quartile_starts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """For each group the mean and moments of an uncorrelated normal variable by quartiles, as _moments gives them; in the second the LOW features lie low."""
+    q = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_h"), *[F.percentile_approx(n, [0.1, 0.25, 0.5, 0.75]).alias(f"_q{i}") for i, n in enumerate(names)])
+    out = []
+    for start in range(1, STARTS):
+        mid = [F.element_at(f"_q{i}", 1 if start == 2 and n in LOW else 3) for i, n in enumerate(names)]
+        var = [F.pow((F.element_at(f"_q{i}", 4) - F.element_at(f"_q{i}", 2)) / 1.349, 2) for i in range(len(names))]
+        sums = [(m * F.col("_h")).alias(f"_s{i}") for i, m in enumerate(mid)]
+        products = [((mid[i] * mid[j] + (var[i] if i == j else 0.0)) * F.col("_h")).alias(f"_s{i}{j}") for j in range(len(names)) for i in range(j + 1)]
+        out.append(q.select("_group", F.lit(start).alias("_start"), "_h", *sums, *products))
+    return out[0].unionByName(out[1])
 
-    Starts from all rows of the group and takes `steps` concentration steps: the half of the rows that lie
-    nearest under the estimate gives the next one, with its covariance scaled for the half that was left out.
-    Groups of fewer than min_group rows share one estimate; distance2 is null where even these are fewer than
-    min_group. stats must be cheap to read again (staged)."""
+
+def robust_distance(stats: DataFrame, lang: Column, source: Column, features: dict = FEATURES, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """Adds distance2, the squared Mahalanobis distance under the robust estimate of the row's language and source.
+
+    From each start, concentration steps are taken until the halves no longer change: the half of the rows that lie
+    nearest under the estimate gives the next one, with its covariance scaled for the half that was left out. Of the starts the one with
+    the least determinant counts. Sources of fewer than min_group rows share the estimate of their language, languages of fewer
+    share one; distance2 is null where even these are fewer than LEAST_ROWS. stats must be cheap to read again (staged)."""
     names = list(features)
     floors = [f for _, f in features.values()]
-    rows = stats.withColumns({n: F.expr(e).cast("double") for n, (e, _) in features.items()}).withColumn("_own", F.coalesce(group, F.lit("")))
-    sizes = stage(rows.groupBy("_own").agg(F.count(F.lit(1)).alias("_rows")).select(
-        F.col("_own").alias("_o"), F.when(F.col("_rows") >= min_group, F.concat(F.lit("g:"), F.col("_own"))).otherwise("small").alias("_group")), "mcd-groups")
-    rows = stage(rows.join(sizes, F.col("_own") == F.col("_o")).drop("_own", "_o"), "mcd-rows")
-    scale = 1.0
-    kept = rows
+    rows = stats.withColumns({n: F.expr(e).cast("double") for n, (e, _) in features.items()}).withColumn("_la", lang).withColumn("_so", source)
+    sizes = rows.groupBy("_la", "_so").agg(F.count(F.lit(1)).alias("_rows"))
+    rest = sizes.where(F.col("_rows") < min_group).groupBy(F.col("_la").alias("_lr")).agg(F.sum("_rows").alias("_more"))
+    sizes = stage(sizes.join(rest, F.col("_la") == F.col("_lr"), "left").select(F.col("_la").alias("_l2"), F.col("_so").alias("_s2"), F.when(F.col("_rows") >= min_group, F.concat_ws("|", F.lit("s"), "_la", "_so"))
+                                        .when(F.col("_more") >= min_group, F.concat_ws("|", F.lit("l"), "_la")).otherwise("all").alias("_group")), "mcd-groups")
+    rows = stage(rows.join(sizes, (F.col("_la") == F.col("_l2")) & (F.col("_so") == F.col("_s2"))).drop("_la", "_so", "_l2", "_s2"), "mcd-rows")
+    whole = rows.groupBy("_group").agg(*_moments(names)).withColumn("_start", F.lit(0))
+    moments, scale, before = whole.unionByName(_quartile_starts(rows, names)).where(f"_h >= {LEAST_ROWS}"), 1.0, None
     for step in range(steps + 1):
-        # the covariance of a normal variable's nearer half is smaller by a factor that depends on the dimension
-        estimate = stage(_factor(kept.groupBy("_group").agg(*_moments(names)).where(f"_h >= {min_group // 2 if step else min_group}"), floors, scale), "mcd-estimate")
-        far = rows.join(estimate, "_group", "left").withColumn("distance2", _solved(names)).drop(*[c for c in estimate.columns if c != "_group"])
-        if step == steps:
-            return far.drop("_group", *names)
-        binned = far.withColumn("_bin", F.floor(F.ln(F.col("distance2") + 1e-9) * _BINS).cast("int"))
-        counts = binned.groupBy("_group", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-        # at most a few thousand bins a group
-        half = counts.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_bin", "_n"))).alias("_c"), F.sum("_n").alias("_all"))
-        half = stage(half.select(F.col("_group").alias("_hg"), F.expr(
+        estimate = stage(_factor(moments, floors, scale), "mcd-estimate")
+        far = rows.join(estimate.drop("_det"), "_group").withColumn("distance2", _solved(names))
+        # at most a few hundred bins a group and start
+        binned = far.withColumn("_bin", F.floor(F.ln(F.greatest(F.lit(1e-3), F.least(F.lit(1e6), F.col("distance2")))) * _BINS).cast("int"))
+        counts = binned.groupBy("_group", "_start", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+        half = counts.groupBy("_group", "_start").agg(F.array_sort(F.collect_list(F.struct("_bin", "_n"))).alias("_c"), F.sum("_n").alias("_all"))
+        half = stage(half.select(F.col("_group").alias("_hg"), F.col("_start").alias("_hs"), F.expr(
             "aggregate(_c, named_struct('run', 0L, 'at', CAST(NULL AS INT)), (a, x) -> named_struct('run', a.run + x._n,"
             " 'at', CASE WHEN a.at IS NULL AND 2 * (a.run + x._n) >= _all THEN x._bin ELSE a.at END)).at").alias("_at")), "mcd-half")
-        kept = binned.join(half, F.col("_group") == F.col("_hg")).where("_bin <= _at")
-        scale = _half_scale(len(names))
+        now = half.agg(F.count(F.lit(1)), F.sum(F.hash("_hg", "_hs", "_at").cast("long"))).collect()[0]  # one row
+        if now == before or step == steps:
+            break
+        before = now
+        kept = binned.join(half, (F.col("_group") == F.col("_hg")) & (F.col("_start") == F.col("_hs"))).where("_bin <= _at")
+        # the covariance of a normal variable's nearer half is smaller by a factor that depends on the dimension
+        moments, scale = kept.groupBy("_group", "_start").agg(*_moments(names)), _half_scale(len(names))
+    best = stage(estimate.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy("_det", "_start"))).where("_rank = 1").drop("_rank", "_det", "_start"), "mcd-best")  # STARTS rows a group
+    return rows.join(best, "_group", "left").withColumn("distance2", _solved(names)).drop("_group", *names, *[c for c in best.columns if c != "_group"])
+
+
+def _chi2(x: float, k: int) -> float:
+    """The chi-square distribution function with k degrees of freedom, by its series."""
+    return sum(math.exp(-x / 2 + (k / 2 + i) * math.log(x / 2) - math.lgamma(k / 2 + i + 1)) for i in range(400))
+
+
+def chi2_quantile(p: float, k: int) -> float:
+    low, high = 1e-6, 300.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi2(mid, k) < p else (low, mid)
+    return low
 
 
 def _half_scale(p: int) -> float:
     """What makes the covariance of the nearer half of a p-dimensional normal sample consistent: 0.5 / P(chi2 with p + 2 <= median of chi2 with p)."""
-    cdf = lambda x, k: sum(  # noqa: E731  series for the chi-square distribution
-        math.exp(-x / 2 + (k / 2 + i) * math.log(x / 2) - math.lgamma(k / 2 + i + 1)) for i in range(200))
-    low, high = 1e-6, 10.0 * p
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid, p) < 0.5 else (low, mid)
-    return 0.5 / cdf(low, p + 2)
+    return 0.5 / _chi2(chi2_quantile(0.5, p), p + 2)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  cutoff: float = CUTOFF) -> DataFrame:
+                  tail: float = TAIL) -> DataFrame:
     """One row for each row of docs: id_col, text_hash, the base statistics, base_failed, distance2 and kept.
 
     A text fails the base rules with fewer than 10 words, or with more than a fifth of its words in repeated
     5-word windows; null and empty texts fail. Those that pass are kept unless their transformed statistics lie
-    beyond cutoff in the robust estimate of their language and source, which only passing texts enter. Null languages
+    beyond the chi-square quantile of `tail` in the robust estimate of their language and source, which only passing texts enter. Null languages
     and sources are groups of their own. Repeated rows get a row each; other columns are ignored; an empty table gives no rows."""
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"),
                         F.xxhash64(text_of(text_col)).alias("text_hash"))
@@ -176,10 +208,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     name = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
-    passed = robust_distance(stats.where(~F.col("base_failed")), F.concat_ws("|", name("_lang"), name("_source")))
+    passed = robust_distance(stats.where(~F.col("base_failed")), name("_lang"), name("_source"))
     out = passed.unionByName(stats.where("base_failed").withColumn("distance2", F.lit(None).cast("double")))
     return out.select(F.col("_id").alias(id_col), "text_hash", *STATS, "base_failed", "distance2",
-                      (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"))
+                      (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(1 - tail, len(FEATURES)))).alias("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,32 +109,60 @@ def test_quality_statistics(spark):
         assert r.base_failed == (n < 10 or 100 * repeats > 20 * n) and (not r.kept or not r.base_failed)
 
 
-def plain_mcd(x, floors, steps, bins):
-    """Concentration steps in numpy, with the same fixed bins for the median distance."""
-    scale, use = 1.0, np.ones(len(x), bool)
+def plain_mcd(x, floors, steps, low=()):
+    """Starts and concentration steps in numpy, with the same fixed bins for the median distance."""
+    q = np.percentile(x, [10, 25, 50, 75], axis=0, method="inverted_cdf")
+    starts = [(x.mean(axis=0), np.cov(x.T, bias=True))]
+    for j in (1, 2):
+        mid = np.array([q[0 if j == 2 and i in low else 2, i] for i in range(x.shape[1])])
+        starts.append((mid, np.diag(((q[3] - q[1]) / 1.349) ** 2)))
+    found, at = {}, {}
+    scale, before = 1.0, None
     for step in range(steps + 1):
-        mean = x[use].mean(axis=0)
-        cov = np.cov(x[use].T, bias=True) * scale + np.diag(np.square(floors))
-        d = x - mean
-        dist = np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
-        if step == steps:
-            return dist
-        at = np.floor(np.log(dist + 1e-9) * bins).astype(int)
-        order = np.sort(at)
-        use = at <= order[-(-len(x) // 2) - 1]
-        scale = quality._half_scale(x.shape[1])
-
-
-def test_robust_distances(spark):
+        for j, (mean, cov) in enumerate(starts):
+            cov = cov * scale + np.diag(np.square(floors))
+            d = x - mean
+            dist = np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
+            found[j] = np.linalg.slogdet(cov)[1], j, dist
+            b = np.floor(np.log(np.clip(dist, 1e-3, 1e6)) * quality._BINS).astype(int)
+            at[j] = np.sort(b)[-(-len(x) // 2) - 1]
+            use = x[b <= at[j]]
+            starts[j] = use.mean(axis=0), np.cov(use.T, bias=True)
+        if dict(at) == before:
+            break
+        before, scale = dict(at), quality._half_scale(x.shape[1])
+    return min(found.values(), key=lambda f: f[:2])[2]
+
+
+@pytest.mark.parametrize("junk", [0.1, 0.4])
+def test_robust_distances(spark, junk):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 2)) @ np.array([[1.0, 0.4], [0.0, 0.7]])
-    x[:60] += 9
-    rows = [(i, float(a), float(b), "g" if i < 390 else "tiny") for i, (a, b) in enumerate(x)]
-    df = spark.createDataFrame(rows, "i int, a double, b double, g string")
-    got = {r.i: r.distance2 for r in quality.robust_distance(df, F.col("g"), {"_x1": ("a", 0.2), "_x2": ("b", 0.1)}, steps=3).collect()}
-    want = plain_mcd(x[:390], [0.2, 0.1], 3, quality._BINS)
-    assert np.allclose([got[i] for i in range(390)], want, rtol=1e-6)
-    assert all(got[i] is None for i in range(390, 400)) and min(want[:60]) > 49
+    many = int(400 * junk)
+    x[:many] += 9
+    rows = [(i, float(a), float(b), "g") for i, (a, b) in enumerate(x)]
+    features = {"_x1": ("a", 0.2), "_x2": ("b", 0.1)}
+    far = lambda rows: {r.i: r.distance2 for r in quality.robust_distance(spark.createDataFrame(rows, "i int, a double, b double, g string"), F.lit("x"), F.col("g"), features, steps=6).collect()}
+    got, want = far(rows), plain_mcd(x, [0.2, 0.1], 6)
+    assert np.allclose([got[i] for i in range(400)], want, rtol=1e-6)
+    limit = quality.chi2_quantile(1 - quality.TAIL, 2)
+    assert min(want[:many]) > limit > max(want[many:])
+    if junk == 0.1:  # small sources share an estimate; a handful of rows has none
+        tiny = [(500 + i, float(i % 3), float(i % 2), f"tiny{i}") for i in range(20)]
+        assert all(d is not None for d in far(rows + tiny).values()) and all(d is None for d in far(tiny[:10]).values())
+
+
+def test_odd_texts_are_rejected_and_clean_ones_stay(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    clean = [(i, "\n".join(say(rng.randrange(6, 14)) for _ in range(rng.randrange(2, 30))), "en", f"s{i % 2}") for i in range(300)]
+    symbols = [(1000 + i, " ".join("#*$%&|<>"[rng.randrange(8)] * rng.randrange(2, 9) for _ in range(80)), "en", "s1") for i in range(20)]
+    lines = [(2000 + i, "\n".join([say(14) for _ in range(40)] + ["menu home next"] * 25), "en", "s0") for i in range(20)]
+    same = [clean[0], (None, None, None, None), (None, clean[1][1], "en", None)]
+    got = quality.quality_rules(frame(spark, clean + symbols + lines + same)).collect()
+    kept = lambda low, high: [r.kept for r in got if r.doc_id is not None and low <= r.doc_id < high]
+    assert len(got) == 343 and all(kept(0, 1000)) and not any(kept(1000, 2000)) and not any(kept(2000, 3000))
+    assert quality.quality_rules(frame(spark, clean).limit(0)).count() == 0
 
 
 def test_language_model_scores(spark):
