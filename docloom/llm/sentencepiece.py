@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from functools import lru_cache
 from hashlib import md5
+from heapq import nlargest
 from importlib.util import find_spec
 from pathlib import Path
 
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import stage, table, text_of
 
 SPACE_MARK = "▁"
-FREQUENT = 524_288
-TOP = 131_072  # words that a task names as common
+FREQUENT = 262_144
+TOP = 98_304  # words that a task names as common
 COMMON_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 FEW_JOINED = 3
 BLOCK = 128  # places of a word that are folded together
-HELD = 400_000  # entries of a task's tables of tokens
+HELD = 150_000  # entries of a task's tables of tokens
 
 
 def default_model() -> str:
@@ -139,7 +140,8 @@ def _counter(cut, top: int):
                 for w in cut(t):
                     words[w] += n
             held.clear()
-            most = [(w, n) for w, n in words.most_common(top) if len(w) <= COMMON_CHARS]
+            most = [(w, n) for w, n in words.items() if len(w) <= COMMON_CHARS]
+            most = nlargest(top, most, key=lambda x: x[1]) if len(most) > top else most
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["_word", "_count"])
 
         for batch in batches:
@@ -162,7 +164,7 @@ _BEST = ("greatest(named_struct('w', a[size(a) - 1].w + x.w1, 'n', 1, 'p', -1),
 def _fold(start: str, places: str) -> str:
     """SQL: best nodes of the places in order, appended to those of start; node size(a) - n is n characters back."""
     return (f"aggregate({places}, {start}, (a, x) -> concat(a, transform(array({_BEST}), b -> named_struct('w', b.w,"
-            " 'path', concat(a[size(a) - b.n].path, IF(b.n = 1, x.c1, array(b.p))), 'land', a[size(a) - b.n].land))))")
+            " 'path', concat(a[size(a) - b.n].path, IF(b.n > 1, array(b.p), IF(x.p1 IS NOT NULL, array(x.p1), SPELLED))), 'land', a[size(a) - b.n].land))))")
 
 
 def _best_path(longest: int) -> str:
@@ -197,17 +199,17 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     for n in (1, 2, 3):
         at = at.join(F.broadcast(pieces.by_size(spark, n)), until(n) == F.col(f"_t{n}"), "left").drop(f"_t{n}")
     at = at.join(F.broadcast(pieces.longer(spark)), until(4) == F.col("_t4"), "left")
-    ids = F.array(*[F.lit(pieces.byte_ids.get(b, pieces.unknown_id)) for b in range(256)])
-    code = F.hex(F.encode("_c", "UTF-8"))
-    spelled = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda k: F.get(ids, F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int")))
+    # the bytes of a character that is no piece
+    ids = "array(" + ",".join(str(pieces.byte_ids.get(b, pieces.unknown_id)) for b in range(256)) + ")"
+    spelled = f"transform(sequence(1, octet_length(x.c)), k -> {ids}[CAST(conv(substring(hex(encode(x.c, 'UTF-8')), 2 * k - 1, 2), 16, 10) AS INT)])"
     more = F.expr("filter(_more, m -> m.n <= _i AND substring(_part, _i - m.n + 1, m.n) = m.t)")
-    place = F.struct((F.col("_k") * BLOCK + F.col("_j")).alias("i"), F.coalesce("_w1", F.lit(pieces.unknown_score)).alias("w1"), F.when(F.col("_p1").isNull(), spelled).otherwise(F.array("_p1")).alias("c1"),
+    place = F.struct((F.col("_k") * BLOCK + F.col("_j")).alias("i"), F.coalesce("_w1", F.lit(pieces.unknown_score)).alias("w1"), F.col("_p1").alias("p1"), F.when(F.col("_p1").isNull(), F.col("_c")).alias("c"),
                      F.col("_w2").alias("w2"), F.col("_p2").alias("p2"), F.col("_w3").alias("w3"), F.col("_p3").alias("p3"),
                      F.when(F.col("_more").isNotNull(), F.transform(more, lambda m: F.struct(m["n"].alias("n"), m["p"].alias("p"), m["w"].alias("w")))).alias("more"),
                      F.when(F.col("_j") == 1, F.substring("_part", F.col("_i"), F.lit(BLOCK))).alias("t"))
     lattice = at.groupBy("_key", "_row").agg(F.sort_array(F.collect_list(place)).alias("_places"))
     word = F.array_join(F.transform(F.filter("_places", lambda x: x["t"].isNotNull()), lambda x: x["t"]), "")
-    return lattice.select(word.alias("_word"), F.expr(_best_path(pieces.longest)).alias("_ids"))
+    return lattice.select(word.alias("_word"), F.expr(_best_path(pieces.longest).replace("SPELLED", spelled)).alias("_ids"))
 
 
 def vocabulary(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -239,7 +241,7 @@ class Common:
         offsets = ids.offsets.to_numpy().astype(np.int64)
         self.starts, self.sizes = offsets[:-1], np.diff(offsets)
         self.values = ids.values.to_numpy().astype(np.int32)
-        self.number = {w: i for i, w in enumerate(table.column("_word").to_pylist())}
+        self.number = {w: i.to_bytes(4, "little") for i, w in enumerate(table.column("_word").to_pylist())}
 
 
 @lru_cache(1)
@@ -254,28 +256,28 @@ class _Coder:
         self.number, self.cut, self.tokens = common.number, cut, {}
 
     def missing(self, tokens) -> tuple[list[str], list[str]]:
-        """The words that aren't common, and the tokens that have such, both in order."""
+        """The words that aren't common, in order, and the tokens that have such or found no room in the table."""
         number, words, rare = self.number, set(), []
-        if len(self.tokens) > HELD:
-            self.tokens.clear()
+        room = HELD - len(self.tokens)
         for t in set(tokens).difference(self.tokens):
             parts = self.cut(t)
             other = [w for w in parts if w not in number]
-            if other:
-                words.update(other)
+            words.update(other)
+            if other or room <= 0:
                 rare.append(t)
             else:
-                self.tokens[t] = np.array([number[w] for w in parts], np.uint32).tobytes()
+                self.tokens[t] = b"".join([number[w] for w in parts])
+                room -= 1
         return sorted(words), rare
 
     def numbers(self, tokens) -> np.ndarray:
         words, rare = self.missing(tokens)
         found = list(map(self.tokens.get, tokens))
         if rare:
-            own = {w: len(self.number) + i for i, w in enumerate(words)}
-            made = {t: np.array([own[w] if w in own else self.number[w] for w in self.cut(t)], np.uint32).tobytes() for t in rare}
+            own = {w: (len(self.number) + i).to_bytes(4, "little") for i, w in enumerate(words)}
+            made = {t: b"".join([own[w] if w in own else self.number[w] for w in self.cut(t)]) for t in rare}
             found = [made[t] if x is None else x for t, x in zip(tokens, found, strict=True)]
-        return np.frombuffer(b"".join(found), np.uint32)
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def _askers(packed, cut):
