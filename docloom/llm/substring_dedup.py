@@ -26,6 +26,7 @@ SPAN = LENGTH - KEY + 1  # keys in a string
 AROUND = SPAN - 1 + LENGTH  # bytes of the strings that hold a key
 BUCKET_BYTES, STRING_BUCKET_BYTES = 8 << 20, 2 << 20  # of text for each bucket of places, and of surroundings
 BATCH_BYTES = 4 << 20
+ROWS = 8192  # entries handled together where each takes many numbers
 NO_ID = 2**63 - 1
 
 
@@ -198,14 +199,15 @@ def _send_strings(n: int):
                     continue
                 pairs = np.unique(np.stack([owner, np.fromiter((p for x in lists for p in x), np.int64, len(owner))]), axis=1)
                 owner, place = pairs
-                begin = c.begin[owner] + place - (SPAN - 1)
-                where = begin[:, None] + np.arange(AROUND)
-                inside = (where >= c.begin[owner][:, None]) & (where < c.end[owner][:, None])
-                around = np.where(inside, c.data[np.clip(where, 0, len(c.data) - 1)], 0).astype(np.uint8)
-                valid = np.stack([inside.argmax(axis=1), AROUND - inside[:, ::-1].argmax(axis=1)], axis=1).astype(np.uint8)
-                at = c.begin[owner] + place
-                same = mix64((_byte_values()[around] * _powers(AROUND)[0][:AROUND]).sum(axis=1) + valid[:, 0] * np.uint64(977) + valid[:, 1] * np.uint64(131071))
-                parts.append((c.hashes(c.sums(), at, at + KEY), d[owner], m[owner], place, valid, around, owner + base, same))
+                sums = c.sums()
+                for a in range(0, len(owner), ROWS):  # a part at a time, as each entry takes AROUND numbers on the way
+                    o, at = owner[a : a + ROWS], c.begin[owner[a : a + ROWS]] + place[a : a + ROWS]
+                    where = (at - (SPAN - 1))[:, None] + np.arange(AROUND)
+                    inside = (where >= c.begin[o][:, None]) & (where < c.end[o][:, None])
+                    around = np.where(inside, c.data[np.clip(where, 0, len(c.data) - 1)], 0).astype(np.uint8)
+                    valid = np.stack([inside.argmax(axis=1), AROUND - inside[:, ::-1].argmax(axis=1)], axis=1).astype(np.uint8)
+                    same = mix64((_byte_values()[around] * _powers(AROUND)[0][:AROUND]).sum(axis=1) + valid[:, 0] * np.uint64(977) + valid[:, 1] * np.uint64(131071))
+                    parts.append((c.hashes(sums, at, at + KEY), d[o], m[o], place[a : a + ROWS], valid, around, o + base, same))
             if not parts:
                 continue
             keys, doc, mark, place, valid, around, text, same = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -225,17 +227,21 @@ def _repeated(t: pa.Table) -> pa.Table:
     doc, mark, place = _unpack(t)
     valid, around = _unpacked(t, "valid", np.uint8).reshape(-1, 2), _unpacked(t, "bytes", np.uint8).reshape(-1, AROUND)
     up, down = _powers(AROUND)
-    prints = np.empty((len(doc), SPAN), np.uint64)
-    for a in range(0, len(doc), 20_000):
-        sums = np.zeros((len(around[a : a + 20_000]), AROUND + 1), np.uint64)
-        np.cumsum(_byte_values()[around[a : a + 20_000]] * up[:AROUND], axis=1, out=sums[:, 1:])
-        prints[a : a + 20_000] = mix64((sums[:, LENGTH:] - sums[:, :SPAN]) * down[:SPAN])
-    start = np.arange(SPAN)
-    row, s = np.nonzero((start >= valid[:, :1]) & (start + LENGTH <= valid[:, 1:]))
-    order, low, _ = _groups(prints[row, s], doc[row])
-    again = order[doc[row[order]] > low]
-    at = place[row[again]].astype(np.int64) - (SPAN - 1) + s[again]
-    merged = _merge(doc[row[again]], mark[row[again]], at, at + LENGTH)
+    prints = np.empty((SPAN, len(doc)), np.uint64)
+    for a in range(0, len(doc), ROWS):
+        sums = np.zeros((len(around[a : a + ROWS]), AROUND + 1), np.uint64)
+        np.cumsum(_byte_values()[around[a : a + ROWS]] * up[:AROUND], axis=1, out=sums[:, 1:])
+        prints[:, a : a + ROWS] = mix64((sums[:, LENGTH:] - sums[:, :SPAN]) * down[:SPAN]).T
+    # equal strings have their minimizer at the same place, so they stand at the same place around it
+    rows, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in range(SPAN):
+        here = np.flatnonzero((start >= valid[:, 0]) & (start + LENGTH <= valid[:, 1]))
+        order, low, _ = _groups(prints[start, here], doc[here])
+        again = here[order[doc[here[order]] > low]]
+        rows.append(again), starts.append(np.full(len(again), start))
+    row = np.concatenate(rows)
+    at = place[row].astype(np.int64) - (SPAN - 1) + np.concatenate(starts)
+    merged = _merge(doc[row], mark[row], at, at + LENGTH)
     through = t.filter(pa.compute.is_valid(t.column("low"))).select(["doc", "mark", "low", "high"]).cast(_RANGES)
     return pa.concat_tables([pa.Table.from_arrays(_lists(*merged), schema=_RANGES), through])
 
