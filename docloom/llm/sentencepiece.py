@@ -39,7 +39,7 @@ COMMON_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 FEW_JOINED = 3
 BLOCK = 128  # places of a word that are folded together
-HELD = 150_000  # entries of a task's tables of tokens
+HELD = 100_000  # entries of a task's tables of tokens
 
 
 def default_model() -> str:
@@ -129,9 +129,17 @@ def tokens_of(text: str) -> list[str]:
     return [t[1:] for t in re.findall(f"{SPACE_MARK}+[^{SPACE_MARK}]*", SPACE_MARK + text.replace(" ", SPACE_MARK))] if text else []
 
 
+def _slices(batches, rows: int = 256):
+    """Smaller batches: texts as Python strings take more room than in Arrow."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _counter(cut, top: int):
     """The words that are most common in what a task has read, HELD different tokens at a time, with their counts there."""
     def run(batches):
+        _table.cache_clear()  # of an earlier query
         held: Counter = Counter()
 
         def close():
@@ -144,7 +152,7 @@ def _counter(cut, top: int):
             most = nlargest(top, most, key=lambda x: x[1]) if len(most) > top else most
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["_word", "_count"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column("_text").to_pylist():
                 if text:
                     held.update(tokens_of(text))
@@ -283,7 +291,7 @@ class _Coder:
 def _askers(packed, cut):
     def run(batches):
         coder = _Coder(_table(packed), cut)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, words = [], []
             for text in batch.column("_text").to_pylist():
                 found = coder.missing(tokens_of(text))[0] if text else []
@@ -300,7 +308,7 @@ def _pack(packed, cut):
     """Numbers of each text's words, byte by byte of higher order, compressed; and a digest of the text."""
     def run(batches):
         coder = _Coder(_table(packed), cut)
-        for batch in batches:
+        for batch in _slices(batches):
             blobs, digests = [], []
             for text in batch.column("_text").to_pylist():
                 numbers = coder.numbers(tokens_of(text or ""))
@@ -340,7 +348,7 @@ def _assembler(packed, spelling: Spelling, byte_ids):
         n = len(common.number)
         is_byte = np.zeros(len(spelling.sizes) + 1, np.int64)
         is_byte[list(byte_ids)] = 1
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, ids, spelled, same = [0], [np.empty(0, np.int32)], [], []
             for blob, digest, found in zip(batch.column("_packed").to_pylist(), batch.column("_digest").to_pylist(), batch.column("_found").to_pylist(), strict=True):
                 numbers = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32).astype(np.int64)
