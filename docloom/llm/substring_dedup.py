@@ -25,7 +25,7 @@ LENGTH, KEY = 50, 20
 SPAN = LENGTH - KEY + 1  # keys in a string
 AROUND = SPAN - 1 + LENGTH  # bytes of the strings that hold a key
 BUCKET_BYTES, STRING_BUCKET_BYTES = 8 << 20, 2 << 20  # of text for each bucket of places, and of surroundings
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 ROWS = 8192  # entries handled together where each takes many numbers
 NO_ID = 2**63 - 1
 
@@ -74,9 +74,16 @@ _PLACES = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.in
 _PLACES_DDL = "bucket int, doc bigint, mark bigint, at array<int>, docs binary, marks binary, owners binary, places binary, hashes binary"
 
 
+def _slices(batches, rows: int = 256):
+    """Smaller batches, as Python objects take more room than Arrow's values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _deflate(batches):
     """Texts as they travel: compressed."""
-    for batch in batches:
+    for batch in _slices(batches):
         packed = pa.array([zlib.compress(t, 1) for t in utf8(batch.column("text"))], pa.binary())
         yield pa.RecordBatch.from_arrays([packed if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
@@ -88,7 +95,7 @@ def _inflated(column) -> list[bytes]:
 def _texts(batches, *more: str):
     """Chunks of about BATCH_BYTES at a time, with what belongs to their texts: lists of (chunk, doc, mark, other columns)."""
     held, size = [], 0
-    for batch in batches:
+    for batch in _slices(batches):
         texts = _inflated(batch.column("text")) if more else utf8(batch.column("text"))  # what comes with more has travelled
         doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
         other = [batch.column(m).to_pylist() for m in more]
@@ -268,7 +275,7 @@ def _cut(text: bytes, low: list[int], high: list[int]) -> tuple[int, list[bytes]
 
 
 def _results(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for t, low, high in zip(_inflated(batch.column("text")), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
             spans, left = _cut(t, low or [], high or [])
