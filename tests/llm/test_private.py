@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import heapq
+import math
 import random
 import re
 
@@ -46,6 +47,13 @@ def test_disclosing_terms(spark):
     got = {r.doc_id: r for r in pii.private_spans(docs).collect()}
     text = dict(rows)
     assert {text[0][t.start : t.end] for t in got[0].terms} == {"note", "secretplan"}
+    # against plain counts
+    whole = {i: set(re.findall(r"\w+", (t or "").lower())) for i, t in rows}
+    for term in ("note", "secretplan", "ask", "soon", "about"):
+        both, dt = sum("boss@" in (text[i] or "") and term in w for i, w in whole.items()), sum(term in w for w in whole.values())
+        share = math.log2(both * len(rows) / (5 * dt)) / math.log2(len(rows) / 5)
+        assert (share >= pii.GENERALISE) == (term in ("note", "secretplan"))
+        assert all(t.disclosed == pytest.approx(share) for t in got[0].terms if text[0][t.start : t.end] == term)
     assert all(not got[i].terms and not got[i].base for i in (10, 40, 90, 91)) and not got[92].terms
     clean = dict(pii.sanitised(docs.drop("base")).select("doc_id", "text").collect())
     assert clean[0] == " 0  ask <EMAIL> soon about thing0" and clean[10] == text[10]
@@ -54,6 +62,10 @@ def test_disclosing_terms(spark):
 
 def test_repeated_rows_keep_their_own_spans(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "1.1.1.1")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in pii.sanitised(docs).collect()) == [(0, "<IP>"), (1, "<EMAIL>"), (1, "<EMAIL>")]
+    far = [(i, f"call a@b.cd, (falcon)! {'word ' * 30} falcon. {i}") for i in range(3)] + [(9 + i, "other text") for i in range(50)]
+    got = {r.doc_id: r for r in pii.private_spans(spark.createDataFrame(far, "doc_id long, text string")).collect()}
+    assert [far[0][1][t.start : t.end] for t in got[0].terms] == ["call", "falcon", *["word"] * 30, "falcon"] and not got[9].terms
     assert sorted((r.doc_id or 0, len(r.base)) for r in pii.private_spans(docs).collect()) == [(0, 1), (1, 1), (1, 1)]
 
 
