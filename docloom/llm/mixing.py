@@ -21,6 +21,7 @@ from .common import WORD, stage, table, text_of
 MAX_BLOCKS = 4096
 MAX_REPEATS = 3
 SHARD_WORDS = 4_000_000
+LEAST_SHARDS = 16
 SEED = 0
 
 
@@ -104,11 +105,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
 def plan_draws(rows: DataFrame, max_repeats: int = MAX_REPEATS, max_blocks: int = MAX_BLOCKS,
                shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """rows: _id, _size, _source and more. Adds _source_size, _target and _draws: array of (shard, epoch, words, key).
+    """rows: _id, _size, _source, _mark (a hash that orders rows of one id, may be absent) and more. Adds _source_size, _target and _draws: array of (shard, epoch, words, key).
 
     Each source's words over all draws are its target, rounded: whole passes, then whole blocks of a last
     pass, then documents of one block in hash order, of which the last is cut. A document without words is
     never drawn."""
+    if "_mark" not in rows.columns:
+        rows = rows.withColumn("_mark", F.lit(0))
     rows = rows.withColumn("_h", _key(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     sources = stage(source_targets(rows, max_repeats).withColumn("_goal", F.round("_target").cast("long")).withColumn(
         "_blocks", F.greatest(F.lit(1), F.least(F.col("_docs"), F.lit(max_blocks)))).withColumn(
@@ -124,7 +127,7 @@ def plan_draws(rows: DataFrame, max_repeats: int = MAX_REPEATS, max_blocks: int
     draws = draws.withColumn("_t", F.row_number().over(Window.partitionBy("_s").orderBy(_key(F.lit(seed + 1), F.col("_s"), F.col("_block"), F.col("_epoch")), "_block", "_epoch")) - 1)
     draws = stage(draws, "mix-draws")
     words = sources.agg(F.sum("_goal")).collect()[0][0] or 0  # one row
-    quotas = split_quotas(draws.groupBy("_s").agg(F.count(F.lit(1)).alias("_draws")), max(1, -(-words // shard_words)), seed)
+    quotas = split_quotas(draws.groupBy("_s").agg(F.count(F.lit(1)).alias("_draws")), max(LEAST_SHARDS, -(-words // shard_words)), seed)
     ends = quotas.withColumn("_to", F.sum("_quota").over(Window.partitionBy("_s").orderBy("_shard")))
     seats = ends.select(F.col("_s").alias("_s2"), "_shard", F.explode(F.expr("sequence(_to - _quota, _to - 1)")).alias("_t2"))
     dealt = draws.join(seats, (F.col("_s") == F.col("_s2")) & (F.col("_t") == F.col("_t2"))).groupBy("_s", "_block").agg(
@@ -132,7 +135,7 @@ def plan_draws(rows: DataFrame, max_repeats: int = MAX_REPEATS, max_blocks: int
     cut = blocks.where("_part > 0 AND _part < _words").select("_s", "_block", "_part")
     dealt = stage(dealt.join(cut, ["_s", "_block"], "left").select(F.col("_s").alias("_ds"), F.col("_block").alias("_dblock"), "_dealt", F.col("_part").alias("_cut")), "mix-dealt")
     met = placed.join(dealt, (F.col("_s") == F.col("_ds")) & (F.col("_block") == F.col("_dblock")), "left")
-    before = Window.partitionBy("_s").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_s").orderBy("_h", "_id", "_mark").rowsBetween(Window.unboundedPreceding, -1)
     partial = met.where("_cut IS NOT NULL").withColumn("_last", F.least(F.col("_size"), F.greatest(
         F.lit(0), F.col("_cut") - F.coalesce(F.sum("_size").over(before), F.lit(0)))))
     whole = met.where("_cut IS NULL").withColumn("_last", F.col("_size"))
@@ -140,11 +143,11 @@ def plan_draws(rows: DataFrame, max_repeats: int = MAX_REPEATS, max_blocks: int
     made = F.expr("filter(transform(coalesce(_dealt, array()), d -> named_struct('shard', d.shard, 'epoch', d.epoch, 'words',"
                   " CAST(CASE WHEN d.epoch < _full THEN _size ELSE _last END AS BIGINT), 'key',"
                   f" CAST(conv(substring(md5(concat_ws(':', '{seed + 2}', _h, d.epoch)), 1, 15), 16, 10) AS BIGINT))), d -> d.words > 0)")
-    return out.withColumn("_draws", made).drop("_name", "_s", "_docs", "_goal", "_blocks", "_full", "_left", "_block", "_ds", "_dblock", "_dealt", "_cut", "_last", "_h")
+    return out.withColumn("_draws", made).drop("_name", "_s", "_docs", "_goal", "_blocks", "_full", "_left", "_block", "_ds", "_dblock", "_dealt", "_cut", "_last", "_h", "_mark")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
-    return [F.col(id_col).alias("_id"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size"), F.col(source_col).alias("_source")]
+    return [F.col(id_col).alias("_id"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size"), F.col(source_col).alias("_source"), F.xxhash64(text_of(text_col)).alias("_mark")]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
