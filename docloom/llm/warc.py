@@ -2,8 +2,8 @@
 
 Each task writes one or more gzipped archives and hands on, for each, a capture run: its index lines sorted by
 URL key, time and page. The runs are merged externally. A range partitioning cuts the key space into
-ranges of bounded size at full keys, so that captures of one URL may span ranges; within a range a loser
-tree merges the slices of the runs. Ranges in order are the globally ordered capture histories.
+ranges of bounded size at full keys, so that captures of one URL may span ranges; within a range the slice of each run is
+written as a sorted file, and a loser tree merges the files with a bounded buffer for each. Ranges in order are the globally ordered capture histories.
 
 Archives lie in the shared folder and are reached by its URI through pyarrow's file systems (file, hdfs, s3, gs).
 """
@@ -17,10 +17,11 @@ import re
 import zlib
 from datetime import UTC, datetime, timedelta
 from hashlib import sha1
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stage, table, text_of
@@ -29,6 +30,9 @@ ARCHIVE_BYTES = 64 << 20  # of records before compression; bounds what a task ho
 RANGE_ROWS = 200_000  # index lines that a merging task holds, about
 MIN_PAYLOAD = 0
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+SPREAD = 10**9  # seconds over which capture times spread
+BUFFER_ROWS = 512  # lines of each run that a merging task holds
+MANY_RUNS = 128  # runs merged at once; more are merged in passes
 PAGE_ID = "urn:docloom:page:"
 
 _INDEX = pa.schema([("run", pa.string()), ("seq", pa.int64()), ("url_key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()),
@@ -89,7 +93,7 @@ def _writer(folder: str):
         for batch in batches:
             for r in batch.to_pylist():
                 payload = (r["html"] or "").encode()
-                when = EPOCH + timedelta(seconds=r["at"] or 0)
+                when = EPOCH + timedelta(seconds=(r["at"] or 0) % SPREAD)
                 digest = base64.b32encode(sha1(payload).digest()).decode()
                 member = gzip.compress(_record(r["page_id"], r["url"], when, payload, digest, r["refers_to"]), 6, mtime=0)
                 lines.append({"url_key": url_key(r["url"]), "stamp": f"{when:%Y%m%d%H%M%S}", "page_id": r["page_id"], "offset": out.tell(), "length": len(member),
@@ -108,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of pages with equal payloads of at least min_payload bytes the one with the smallest id is written as a response and the others as revisits of it;
     smaller payloads are all responses. Null html is an empty payload. A null url is about:blank, a null id is
-    written as such and never referred to. Pages that repeat id and payload are all responses where theirs is the smallest id. Capture times are EPOCH plus the id in seconds."""
+    written as such and never referred to. Pages that repeat id and payload are all responses where theirs is the smallest id. Capture times are EPOCH plus the id in seconds, modulo SPREAD."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     src = src.withColumn("_digest", F.unhex(F.sha1("html"))).withColumn("_bytes", F.octet_length("html"))
     first = src.where((F.col("_bytes") >= min_payload)).groupBy(F.col("_digest").alias("_d"), F.col("_bytes").alias("_b")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -145,22 +149,58 @@ def loser_tree(runs: list):
         tree[0] = r
 
 
-def _merger(batches):
-    """The rows of a range come run by run, each slice in order."""
-    slices: dict[str, list] = {}
-    for batch in batches:
-        for i, r in enumerate(batch.to_pylist()):
-            page = r["page_id"]
-            slices.setdefault(r["run"], []).append(((r["url_key"], r["stamp"], -1 if page is None else page, r["run"], r["seq"]), r))
-    part = TaskContext.get().partitionId()
-    held = []
-    for at, (_, r) in enumerate(loser_tree([iter(s) for s in slices.values()])):
-        held.append(r | {"range_no": part, "range_at": at})
-        if len(held) == 5000:
+def _key(r: dict) -> tuple:
+    return r["url_key"], r["stamp"], -1 if r["page_id"] is None else r["page_id"], r["run"], r["seq"]
+
+
+def _lines(store, path: str):
+    """The lines of a sorted file, a batch of BUFFER_ROWS at a time."""
+    with store.open_input_stream(path) as f, pa.ipc.open_stream(f) as stream:
+        for batch in stream:
+            for r in batch.to_pylist():
+                yield _key(r), r
+
+
+def _write(store, path: str, rows) -> str:
+    with store.open_output_stream(path) as f, pa.ipc.new_stream(f, _INDEX) as out:
+        held = []
+        for r in rows:
+            held.append(r)
+            if len(held) == BUFFER_ROWS:
+                out.write_batch(pa.RecordBatch.from_pylist(held, _INDEX))
+                held = []
+        if held:
+            out.write_batch(pa.RecordBatch.from_pylist(held, _INDEX))
+    return path
+
+
+def _merger(folder: str):
+    """The rows of a range come run by run, each slice in order: they go to a file each in the shared folder, and the files are merged and removed."""
+    def run(batches):
+        context = TaskContext.get()
+        part = context.partitionId()
+        store, top = _filesystem(folder)
+        top = f"{top}/range-{part:06d}-{context.taskAttemptId()}"
+        rows = (r for batch in batches for at in range(0, batch.num_rows, BUFFER_ROWS) for r in batch.slice(at, BUFFER_ROWS).to_pylist())
+        files, held = [], []
+        for i, (_, slice_) in enumerate(groupby(rows, key=lambda r: r["run"])):
+            if not i:
+                store.create_dir(top, recursive=True)
+            files.append(_write(store, f"{top}/{i}", slice_))
+        made, some = len(files), bool(files)
+        while len(files) > MANY_RUNS:
+            files = [*files[MANY_RUNS:], _write(store, f"{top}/{made}", (r for _, r in loser_tree([_lines(store, f) for f in files[:MANY_RUNS]])))]
+            made += 1
+        for at, (_, r) in enumerate(loser_tree([_lines(store, f) for f in files])):
+            held.append(r | {"range_no": part, "range_at": at})
+            if len(held) == 5000:
+                yield pa.RecordBatch.from_pylist(held, _MERGED)
+                held = []
+        if held:
             yield pa.RecordBatch.from_pylist(held, _MERGED)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, _MERGED)
+        if some:
+            store.delete_dir(top)
+    return run
 
 
 _MERGED = _INDEX.append(pa.field("range_no", pa.int32())).append(pa.field("range_at", pa.int64()))
@@ -170,12 +210,10 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The capture histories in global order: index lines with history_at, their place from 0 on."""
     n = max(1, -(-runs.count() // range_rows))
     cut = runs.repartitionByRange(n, "url_key", "stamp", F.coalesce("page_id", F.lit(-1)), "run", "seq").sortWithinPartitions("run", "seq")
-    merged = stage(cut.mapInArrow(_merger, _INDEX_DDL + ", range_no int, range_at bigint"), "warc-merged")
-    sizes = merged.groupBy(F.col("range_no").alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row a range
-    starts = stage(sizes.select(F.explode(F.expr(
-        "aggregate(array_sort(collect_list(struct(_range, _n))), named_struct('n', 0L, 'out', CAST(array() AS ARRAY<STRUCT<r: INT, s: BIGINT>>)),"
-        " (a, x) -> named_struct('n', a.n + x._n, 'out', concat(a.out, array(named_struct('r', x._range, 's', a.n)))), a -> a.out)")).alias("x")).select("x.*"), "warc-starts")
+    merged = stage(cut.mapInArrow(_merger(new_path(runs.sparkSession, "warc-merge")), _INDEX_DDL + ", range_no int, range_at bigint"), "warc-merged")
+    sizes = merged.groupBy(F.col("range_no").alias("r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = stage(sizes.select("r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("s")), "warc-starts")
     return merged.join(starts, F.col("range_no") == F.col("r")).withColumn("history_at", F.col("s") + F.col("range_at")).drop("r", "s", "range_no", "range_at")
 
 
@@ -215,21 +253,28 @@ def _reader(folder: str):
                             raise ValueError(f"{archive} at {offset}: the payload doesn't match its digest")
                         found.append({"archive": archive, "offset": offset, "page_id": ident(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": told,
                                       "record_type": fields["WARC-Type"], "refers_to": None if seen else ident(fields["WARC-Refers-To"])})
+                        if len(found) == 5000:
+                            yield pa.RecordBatch.from_pylist(found, _READ)
+                            found = []
                 yield pa.RecordBatch.from_pylist(found, _READ)
     return run
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """What the named archives hold: a row a record, its payload checked against its digest. archives: a column archive of distinct names."""
-    return archives.mapInArrow(_reader(folder), _READ_DDL)
+    """What the named archives hold: a row a record, its payload checked against its digest. archives: a column archive of distinct names.
+
+    Each archive is a partition of its own, as far as hashing tells them apart; a number given outright is kept by adaptive execution."""
+    n = max(1, archives.count())
+    return archives.repartition(n, "archive").mapInArrow(_reader(folder), _READ_DDL)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     runs = write_archives(table(spark, sf_dir, "pages"), folder)
     histories = merge_runs(runs).select(F.col("archive").alias("_a"), F.col("offset").alias("_o"))
-    found = read_archives(runs.select("archive").distinct(), folder)
-    return histories.join(found, (F.col("_a") == F.col("archive")) & (F.col("_o") == F.col("offset"))).select(
+    found = read_archives(stage(runs.select("archive").distinct(), "warc-archives"), folder)
+    # both sides are large and of one size: by archive and offset, merged
+    return histories.hint("merge").join(found, (F.col("_a") == F.col("archive")) & (F.col("_o") == F.col("offset"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

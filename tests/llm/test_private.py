@@ -118,3 +118,23 @@ def test_small_payloads_are_no_revisits(spark, tmp_path):
     runs = warc.write_archives(pages, str(tmp_path / "w"), min_payload=3)
     assert dict(runs.select("page_id", "record_type").collect()) == {1: "response", 2: "response", 3: "response", 4: "revisit"}
     assert runs.where(F.col("length") <= 0).count() == 0
+
+
+def test_archives_of_any_ids_and_many_runs(spark, tmp_path, monkeypatch):
+    rows = [(10**12, "http://a.b/", "x"), (-(10**12), "http://a.b/", "x"), (2**62, None, None), (None, "http://c.d/e", "y"), (7, "http://a.b/", "z" * 300_000), (7, "http://a.b/", "z" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "archives")
+    runs = warc.write_archives(pages.repartition(6), folder)
+    found = warc.read_archives(runs.select("archive").distinct(), folder).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes) for r in found) == sorted((i or 0, len(h or "")) for i, _, h in rows)
+    history = sorted(warc.merge_runs(runs).collect(), key=lambda r: r.history_at)
+    keys = [(r.url_key, r.stamp, -1 if r.page_id is None else r.page_id) for r in history]
+    assert keys == sorted(keys) and [r.history_at for r in history] == list(range(len(rows)))
+    # passes over more files than are merged at once
+    lines = [{"url_key": f"k{i % 7}", "stamp": "0", "page_id": i, "archive": "a", "offset": i, "length": 1, "digest": "d", "record_type": "response"} for i in range(400)]
+    monkeypatch.setattr(warc, "MANY_RUNS", 3)
+    monkeypatch.setattr(warc.TaskContext, "get", staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 0})()))
+    runs = [sorted(lines[r::11], key=lambda x: (x["url_key"], x["stamp"], x["page_id"])) for r in range(11)]
+    batch = warc.pa.RecordBatch.from_pylist([x | {"run": f"r{i:02d}", "seq": j} for i, run in enumerate(runs) for j, x in enumerate(run)], warc._INDEX)
+    got = [r for b in warc._merger(str(tmp_path / "merge"))([batch]) for r in b.to_pylist()]
+    assert [(r["url_key"], r["page_id"]) for r in got] == sorted((x["url_key"], x["page_id"]) for x in lines)
