@@ -4,28 +4,117 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Name, specification, threshold, weights (text, structural, visual, design, technical), required headings, fields (type after the colon; ? is optional).
+#: Name, specification, threshold, weights (text, structural, visual, design, technical), required headings, fields (name, type, required).
 FORMATS = (
-    ("abnt_artigo", "ABNT NBR 6022:2018", 0.85, (0.3, 0.25, 0.1, 0.1, 0.25), "Resumo Abstract Introducao Conclusao Referencias",
-     "TITULO:freetext AUTORES:freetext RESUMO:freetext PALAVRAS_CHAVE:freetext ABSTRACT:freetext KEYWORDS:freetext INTRODUCAO:freetext REFERENCIAS:freetext"),
-    ("abnt_referencia", "ABNT NBR 6023:2018", 0.9, (0.4, 0.1, 0.05, 0.05, 0.4), "REFERENCIAS",
-     "AUTOR:freetext TITULO:freetext EDICAO:freetext? LOCAL:freetext EDITORA:freetext ANO:integer PAGINAS:freetext?"),
-    ("abnt_relatorio_tecnico", "ABNT NBR 10719:2015", 0.85, (0.3, 0.25, 0.1, 0.1, 0.25), "RESUMO OBJETIVO METODOLOGIA RESULTADOS CONCLUSAO REFERENCIAS",
-     "TITULO:freetext AUTORES:freetext INSTITUICAO:freetext RELATORIO_N:doc_code DATA:iso_date LOCAL:freetext RESUMO:freetext PALAVRAS_CHAVE:freetext OBJETIVO:freetext CONCLUSAO:freetext"),
-    ("abnt_tcc", "ABNT NBR 14724:2024", 0.85, (0.25, 0.3, 0.1, 0.1, 0.25), "RESUMO ABSTRACT SUMARIO INTRODUCAO CONCLUSAO REFERENCIAS",
-     "TITULO:freetext AUTOR:fullname ORIENTADOR:fullname INSTITUICAO:freetext CURSO:freetext ANO:integer LOCAL:freetext RESUMO:freetext ABSTRACT:freetext PALAVRAS_CHAVE:freetext KEYWORDS:freetext"),
-    ("ata_reuniao", "generico", 0.85, (0.35, 0.2, 0.05, 0.05, 0.35), "PARTICIPANTES PAUTA DELIBERACOES",
-     "ATA_NUMERO:doc_code DATA:iso_date HORA_INICIO:freetext HORA_FIM:freetext LOCAL:freetext ASSUNTO:freetext PARTICIPANTES:freetext PAUTA:freetext DELIBERACOES:freetext PROXIMA_REUNIAO:iso_date?"),
-    ("contrato_simples", "generico", 0.85, (0.3, 0.2, 0.05, 0.05, 0.4), "OBJETO VALOR VIGENCIA FORO",
-     "TITULO_CONTRATO:freetext CONTRATANTE:freetext CNPJ_CONTRATANTE:freetext CONTRATADA:freetext CNPJ_CONTRATADA:freetext OBJETO:freetext VALOR:decimal_br VIGENCIA:freetext FORO:freetext DATA_ASSINATURA:iso_date"),
-    ("laudo_nr12", "NR-12 (Portaria MTE)", 0.9, (0.2, 0.25, 0.05, 0.05, 0.45), "IDENTIFICACAO EQUIPAMENTO INSPECAO CONCLUSAO",
-     "EMPRESA:freetext CNPJ_EMPRESA:freetext ENDERECO:freetext EQUIPAMENTO:freetext TAG_EQUIPAMENTO:doc_code FABRICANTE:freetext NS_EQUIPAMENTO:doc_code DATA_INSPECAO:iso_date RESPONSAVEL:fullname CREA:doc_code CONCLUSAO:freetext"),
-    ("nr13", "NR-13 (Portaria MTE)", 0.9, (0.2, 0.25, 0.05, 0.05, 0.45), "IDENTIFICACAO EQUIPAMENTO INSPECAO CONCLUSAO",
-     "EMPRESA:freetext CNPJ_EMPRESA:freetext CATEGORIA:freetext CALDEIRA_TAG:doc_code PRESSAO_OPERACAO:freetext PMTA:freetext DATA_INSPECAO:iso_date PROXIMA_INSPECAO:iso_date RESPONSAVEL:fullname CREA:doc_code CONCLUSAO:freetext"),
-    ("nr35", "NR-35 (Portaria MTE)", 0.9, (0.2, 0.2, 0.05, 0.05, 0.5), "IDENTIFICACAO LOCAL EQUIPE RISCO ASSINATURAS",
-     "EMPRESA:freetext PT_NUMERO:doc_code DATA_EMISSAO:iso_date VALIDADE:freetext LOCAL_TRABALHO:freetext ALTURA:freetext DESCRICAO_TAREFA:freetext EXECUTANTE:fullname MATRICULA:doc_code SUPERVISOR:fullname TREINAMENTO_VALIDO_ATE:iso_date"),
-    ("procuracao_simples", "generico", 0.9, (0.25, 0.15, 0.05, 0.05, 0.5), "PODERES PRAZO",
-     "OUTORGANTE:fullname CPF_OUTORGANTE:cpf RG_OUTORGANTE:freetext ENDERECO_OUTORGANTE:freetext OUTORGADO:fullname CPF_OUTORGADO:cpf PODERES:freetext PRAZO:freetext LOCAL:freetext DATA:iso_date"),
+    ("abnt_artigo", "ABNT NBR 6022:2018", 0.85, (0.3, 0.25, 0.1, 0.1, 0.25), ("Resumo", "Abstract", "Introducao", "Conclusao", "Referencias"), (
+      ("TITULO", "freetext", True),
+      ("AUTORES", "freetext", True),
+      ("RESUMO", "freetext", True),
+      ("PALAVRAS_CHAVE", "freetext", True),
+      ("ABSTRACT", "freetext", True),
+      ("KEYWORDS", "freetext", True),
+      ("INTRODUCAO", "freetext", True),
+      ("REFERENCIAS", "freetext", True))),
+    ("abnt_referencia", "ABNT NBR 6023:2018", 0.9, (0.4, 0.1, 0.05, 0.05, 0.4), ("REFERENCIAS",), (
+      ("AUTOR", "freetext", True),
+      ("TITULO", "freetext", True),
+      ("EDICAO", "freetext", False),
+      ("LOCAL", "freetext", True),
+      ("EDITORA", "freetext", True),
+      ("ANO", "integer", True),
+      ("PAGINAS", "freetext", False))),
+    ("abnt_relatorio_tecnico", "ABNT NBR 10719:2015", 0.85, (0.3, 0.25, 0.1, 0.1, 0.25), ("RESUMO", "OBJETIVO", "METODOLOGIA", "RESULTADOS", "CONCLUSAO", "REFERENCIAS"), (
+      ("TITULO", "freetext", True),
+      ("AUTORES", "freetext", True),
+      ("INSTITUICAO", "freetext", True),
+      ("RELATORIO_N", "doc_code", True),
+      ("DATA", "iso_date", True),
+      ("LOCAL", "freetext", True),
+      ("RESUMO", "freetext", True),
+      ("PALAVRAS_CHAVE", "freetext", True),
+      ("OBJETIVO", "freetext", True),
+      ("CONCLUSAO", "freetext", True))),
+    ("abnt_tcc", "ABNT NBR 14724:2024", 0.85, (0.25, 0.3, 0.1, 0.1, 0.25), ("RESUMO", "ABSTRACT", "SUMARIO", "INTRODUCAO", "CONCLUSAO", "REFERENCIAS"), (
+      ("TITULO", "freetext", True),
+      ("AUTOR", "fullname", True),
+      ("ORIENTADOR", "fullname", True),
+      ("INSTITUICAO", "freetext", True),
+      ("CURSO", "freetext", True),
+      ("ANO", "integer", True),
+      ("LOCAL", "freetext", True),
+      ("RESUMO", "freetext", True),
+      ("ABSTRACT", "freetext", True),
+      ("PALAVRAS_CHAVE", "freetext", True),
+      ("KEYWORDS", "freetext", True))),
+    ("ata_reuniao", "generico", 0.85, (0.35, 0.2, 0.05, 0.05, 0.35), ("PARTICIPANTES", "PAUTA", "DELIBERACOES"), (
+      ("ATA_NUMERO", "doc_code", True),
+      ("DATA", "iso_date", True),
+      ("HORA_INICIO", "freetext", True),
+      ("HORA_FIM", "freetext", True),
+      ("LOCAL", "freetext", True),
+      ("ASSUNTO", "freetext", True),
+      ("PARTICIPANTES", "freetext", True),
+      ("PAUTA", "freetext", True),
+      ("DELIBERACOES", "freetext", True),
+      ("PROXIMA_REUNIAO", "iso_date", False))),
+    ("contrato_simples", "generico", 0.85, (0.3, 0.2, 0.05, 0.05, 0.4), ("OBJETO", "VALOR", "VIGENCIA", "FORO"), (
+      ("TITULO_CONTRATO", "freetext", True),
+      ("CONTRATANTE", "freetext", True),
+      ("CNPJ_CONTRATANTE", "freetext", True),
+      ("CONTRATADA", "freetext", True),
+      ("CNPJ_CONTRATADA", "freetext", True),
+      ("OBJETO", "freetext", True),
+      ("VALOR", "decimal_br", True),
+      ("VIGENCIA", "freetext", True),
+      ("FORO", "freetext", True),
+      ("DATA_ASSINATURA", "iso_date", True))),
+    ("laudo_nr12", "NR-12 (Portaria MTE)", 0.9, (0.2, 0.25, 0.05, 0.05, 0.45), ("IDENTIFICACAO", "EQUIPAMENTO", "INSPECAO", "CONCLUSAO"), (
+      ("EMPRESA", "freetext", True),
+      ("CNPJ_EMPRESA", "freetext", True),
+      ("ENDERECO", "freetext", True),
+      ("EQUIPAMENTO", "freetext", True),
+      ("TAG_EQUIPAMENTO", "doc_code", True),
+      ("FABRICANTE", "freetext", True),
+      ("NS_EQUIPAMENTO", "doc_code", True),
+      ("DATA_INSPECAO", "iso_date", True),
+      ("RESPONSAVEL", "fullname", True),
+      ("CREA", "doc_code", True),
+      ("CONCLUSAO", "freetext", True))),
+    ("nr13", "NR-13 (Portaria MTE)", 0.9, (0.2, 0.25, 0.05, 0.05, 0.45), ("IDENTIFICACAO", "EQUIPAMENTO", "INSPECAO", "CONCLUSAO"), (
+      ("EMPRESA", "freetext", True),
+      ("CNPJ_EMPRESA", "freetext", True),
+      ("CATEGORIA", "freetext", True),
+      ("CALDEIRA_TAG", "doc_code", True),
+      ("PRESSAO_OPERACAO", "freetext", True),
+      ("PMTA", "freetext", True),
+      ("DATA_INSPECAO", "iso_date", True),
+      ("PROXIMA_INSPECAO", "iso_date", True),
+      ("RESPONSAVEL", "fullname", True),
+      ("CREA", "doc_code", True),
+      ("CONCLUSAO", "freetext", True))),
+    ("nr35", "NR-35 (Portaria MTE)", 0.9, (0.2, 0.2, 0.05, 0.05, 0.5), ("IDENTIFICACAO", "LOCAL", "EQUIPE", "RISCO", "ASSINATURAS"), (
+      ("EMPRESA", "freetext", True),
+      ("PT_NUMERO", "doc_code", True),
+      ("DATA_EMISSAO", "iso_date", True),
+      ("VALIDADE", "freetext", True),
+      ("LOCAL_TRABALHO", "freetext", True),
+      ("ALTURA", "freetext", True),
+      ("DESCRICAO_TAREFA", "freetext", True),
+      ("EXECUTANTE", "fullname", True),
+      ("MATRICULA", "doc_code", True),
+      ("SUPERVISOR", "fullname", True),
+      ("TREINAMENTO_VALIDO_ATE", "iso_date", True))),
+    ("procuracao_simples", "generico", 0.9, (0.25, 0.15, 0.05, 0.05, 0.5), ("PODERES", "PRAZO"), (
+      ("OUTORGANTE", "fullname", True),
+      ("CPF_OUTORGANTE", "cpf", True),
+      ("RG_OUTORGANTE", "freetext", True),
+      ("ENDERECO_OUTORGANTE", "freetext", True),
+      ("OUTORGADO", "fullname", True),
+      ("CPF_OUTORGADO", "cpf", True),
+      ("PODERES", "freetext", True),
+      ("PRAZO", "freetext", True),
+      ("LOCAL", "freetext", True),
+      ("DATA", "iso_date", True))),
 )
 
 
@@ -41,9 +130,8 @@ def load_format(name: str) -> dict:
     """The format's parts: fields as (name, type, required)."""
     for n, spec, threshold, weights, headings, fields in FORMATS:
         if n == name:
-            split = [f.split(":") for f in fields.split()]
             return {"name": n, "spec": spec, "threshold": threshold, "weights": dict(zip(("text", "structural", "visual", "design", "technical"), weights, strict=True)),
-                    "required_headings": headings.split(), "fields": [(f, t.rstrip("?"), not t.endswith("?")) for f, t in split]}
+                    "required_headings": list(headings), "fields": list(fields)}
     raise FormatNotFound(name)
 
 

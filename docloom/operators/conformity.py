@@ -30,14 +30,13 @@ def severity_filter(rows: DataFrame, least: str = "warning") -> DataFrame:
 def technical_failures(mapping: DataFrame, schema: list[tuple[str, str, bool]], rendered: DataFrame | None = None) -> DataFrame:
     """mapping: doc_id, field, value, source. schema: (field, type, required). Required fields missing, values that their type's validator rejects, tokens left over."""
     required = [f for f, _, r in schema if r]
-    missing = mapping.where(F.col("field").isin(required) & ((F.col("source") == "missing") | F.col("value").isNull() | (F.col("value") == ""))).select(
-        "doc_id", F.col("field").alias("field_or_excerpt"), F.lit("filled").alias("expected"), F.lit("missing").alias("actual"), F.lit("required field not extracted").alias("note"))
-    out = missing
-    for field, kind, _ in schema:
+    value = F.coalesce("value", F.lit(""))
+    row = lambda expected, actual, note: F.struct(F.lit(expected).alias("expected"), actual.alias("actual"), F.lit(note).alias("note"))
+    bad = F.when(F.col("field").isin(required) & ((F.col("source") == "missing") | (value == "")), row("filled", F.lit("missing"), "required field not extracted"))
+    for field, kind, _ in schema:  # a field has one type, and what is empty is not judged by it
         if kind in FIELD_VALIDATORS:
-            wrong = mapping.where((F.col("field") == field) & (F.col("value") != "") & ~FIELD_VALIDATORS[kind](F.col("value")))
-            out = out.unionByName(wrong.select("doc_id", F.col("field").alias("field_or_excerpt"), F.lit(f"valid {kind}").alias("expected"), F.col("value").alias("actual"),
-                                               F.lit("format validator rejected value").alias("note")))
+            bad = bad.when((F.col("field") == field) & (value != "") & ~FIELD_VALIDATORS[kind](F.col("value")), row(f"valid {kind}", F.col("value"), "format validator rejected value"))
+    out = mapping.select("doc_id", F.col("field").alias("field_or_excerpt"), bad.alias("_b")).where("_b IS NOT NULL").select("doc_id", "field_or_excerpt", "_b.*")
     if rendered is not None:
         left = orphan_summary(rendered)
         out = out.unionByName(left.select("doc_id", F.lit("orphan_placeholders").alias("field_or_excerpt"), F.lit("0").alias("expected"), F.col("n_orphans").cast("string").alias("actual"),

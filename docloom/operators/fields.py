@@ -37,9 +37,12 @@ def example_labels(golds: DataFrame, examples: DataFrame) -> DataFrame:
     """golds: gold_no, text. examples: field, example_no, example. The label before each example's first labelled place: field, label, example_no, gold_no.
 
     Example i is looked for in gold text i, or in all where there is none of that number."""
-    n = golds.agg(F.count(F.lit(1)).alias("_n"))
-    met = examples.crossJoin(F.broadcast(n)).join(golds, (F.col("example_no") == F.col("gold_no")) | (F.col("example_no") >= F.col("_n")))
-    met = met.withColumn("_p", F.concat(F.lit(r"(?s)^.*?:\s*\Q"), F.col("example"), F.lit(r"\E(?=\s|$|[.,;)])")))
+    n = golds.count()
+    own = examples.join(golds, F.col("example_no") == F.col("gold_no"))
+    spare = examples.where(F.col("example_no") >= n)  # more examples than gold texts: each is looked for in all of them
+    met = own.unionByName(spare.withColumn("_k", F.lit(1)).join(golds.withColumn("_k", F.lit(1)), "_k").drop("_k").select(*own.columns))
+    literal = F.replace("example", F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    met = met.withColumn("_p", F.concat(F.lit(r"(?s)^.*?:\s*\Q"), literal, F.lit(r"\E(?=\s|$|[.,;)])")))
     met = met.withColumn("_upto", F.expr("nullif(regexp_extract(text, _p, 0), '')")).where("_upto IS NOT NULL")
     before = F.right(F.substring(F.col("_upto"), F.lit(1), F.char_length("_upto") - F.char_length("example")), F.lit(LABEL_REACH))
     label = strip(F.substring_index(F.substring_index(F.substring(before, F.lit(1), F.char_length(before) - F.char_length(F.substring_index(before, ":", -1)) - 1), "\n", -1), "\r", -1))
@@ -116,17 +119,23 @@ def mapping_summary(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), of("regex"), of("llm"), of("missing"), F.round(F.avg("confidence"), 3).alias("average_confidence"))
 
 
-def tier_by_doc(mapping: DataFrame, required: list[str], discrepancies: DataFrame | None = None) -> DataFrame:
-    """doc_id, tier: low with a required field missing or a critical discrepancy, medium with a provider's value or a warning, else high."""
-    if not required and not mapping.columns:
-        raise ValueError("a template without fields has no tiers")
+def tier_by_doc(mapping: DataFrame, required: list[str], discrepancies: DataFrame | None = None, docs: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """doc_id, tier: low with a required field missing or a critical discrepancy, medium with a provider's value or a warning, else high.
+
+    docs: all documents; those without a field to map are low. errors: documents that broke; their tier is error."""
     by = mapping.groupBy("doc_id").agg(F.bool_or((F.col("source") == "missing") & F.col("field").isin(required)).alias("_low"), F.bool_or(F.col("source") == "llm").alias("_mid"))
+    if docs is not None:
+        by = docs.select("doc_id").distinct().join(by, "doc_id", "left").withColumn("_low", F.coalesce("_low", F.lit(True)))
     if discrepancies is not None:
         bad = discrepancies.groupBy("doc_id").agg(F.bool_or(F.col("severity") == "critical").alias("_crit"), F.bool_or(F.col("severity") == "warning").alias("_warn"))
         by = by.join(bad, "doc_id", "left")
     else:
         by = by.withColumn("_crit", F.lit(False)).withColumn("_warn", F.lit(False))
-    return by.select("doc_id", F.when(F.col("_low") | F.coalesce("_crit", F.lit(False)), "low").when(F.col("_mid") | F.coalesce("_warn", F.lit(False)), "medium").otherwise("high").alias("tier"))
+    tier = F.when(F.col("_low") | F.coalesce("_crit", F.lit(False)), "low").when(F.col("_mid") | F.coalesce("_warn", F.lit(False)), "medium").otherwise("high")
+    if errors is None:
+        return by.select("doc_id", tier.alias("tier"))
+    by = by.join(errors.select("doc_id", F.lit(True).alias("_broke")).distinct(), "doc_id", "full")
+    return by.select("doc_id", F.when(F.col("_broke"), "error").otherwise(tier).alias("tier"))
 
 
 def tier_counts(tiers: DataFrame) -> DataFrame:

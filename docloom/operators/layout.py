@@ -48,12 +48,12 @@ def layout_table_bands(grid: DataFrame) -> DataFrame:
     For each row how far its band would reach, then a fold over the page that takes a band where none is open. A band
     that would start in the last four rows of a page is not looked for."""
     pages = grid.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("row", density(F.col("line")).alias("d")))).alias("_rows"))
-    reach = f"""transform(_rows, (x, i) -> aggregate(slice(_rows, i + 1, size(_rows)), named_struct('open', true, 'n', 0), (a, y) ->
-        CASE WHEN a.open AND abs(y.d - x.d) <= {BAND_SPREAD} THEN named_struct('open', true, 'n', a.n + 1) ELSE named_struct('open', false, 'n', a.n) END).n)"""
-    fold = f"""aggregate(sequence(0, size(_rows) - 1), named_struct('free', 0, 'out', CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>)), (s, i) ->
-        CASE WHEN i >= s.free AND i < size(_rows) - {BAND_ROWS} AND _rows[i].d >= {BAND_LEAST} AND _reach[i] >= {BAND_ROWS}
-             THEN named_struct('free', i + _reach[i], 'out', concat(s.out, array(named_struct('a', CAST(_rows[i].row AS INT), 'b', CAST(_rows[i + _reach[i] - 1].row AS INT))))) ELSE s END, s -> s.out)"""
-    bands = pages.withColumn("_reach", F.expr(reach)).select("doc_id", "page", F.explode(F.expr(fold)).alias("b"))
+    starts = (f"i < size(_rows) - {BAND_ROWS} AND _rows[i].d >= {BAND_LEAST} AND forall(slice(_rows, i + 1, {BAND_ROWS}), y -> abs(y.d - _rows[i].d) <= {BAND_SPREAD})")
+    band = "array(named_struct('a', CAST(_rows[s.from].row AS INT), 'b', CAST(_rows[i - 1].row AS INT)))"
+    fold = f"""aggregate(sequence(0, size(_rows)), named_struct('from', -1, 'out', CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>)), (s, i) ->
+        CASE WHEN s.from >= 0 AND i < size(_rows) AND abs(get(_rows, i).d - _rows[s.from].d) <= {BAND_SPREAD} THEN s
+             ELSE named_struct('from', CASE WHEN {starts} THEN i ELSE -1 END, 'out', CASE WHEN s.from >= 0 THEN concat(s.out, {band}) ELSE s.out END) END, s -> s.out)"""
+    bands = pages.select("doc_id", "page", F.explode(F.expr(fold)).alias("b"))
     return bands.select("doc_id", "page", F.col("b.a").alias("row_start"), F.col("b.b").alias("row_end"))
 
 

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 
 def letters(n: Column) -> Column:
-    """1 as a, 26 as z, 27 as aa ... up to three letters; beyond, the number."""
-    char = lambda k: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (k + 1).cast("int"), F.lit(1))
-    one, two = n - 1, n - 27
-    three = n - 703
-    return (F.when(n <= 26, char(one)).when(n <= 702, F.concat(char(F.floor(two / 26)), char(two % 26)))
-            .when(n <= 18278, F.concat(char(F.floor(three / 676)), char(F.floor(three / 26) % 26), char(three % 26))).otherwise(n.cast("string")))
+    """1 as a, 26 as z, 27 as aa and so on."""
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("s"))
+    step = lambda a, _: F.when(a["n"] <= 0, a).otherwise(F.struct(F.floor((a["n"] - 1) / 26).cast("long").alias("n"), F.concat(F.char(F.lit(97) + (a["n"] - 1) % 26), a["s"]).alias("s")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["s"])  # 26 to the 14th is beyond any long
 
 
 def roman(n: Column) -> Column:
@@ -26,14 +24,14 @@ def format_count(n: Column, fmt: Column) -> Column:
 
 
 def numbering_markers(blocks: DataFrame, levels: DataFrame, depth: int = 3) -> DataFrame:
-    """blocks: doc_id, idx, num_id, ilvl; levels: num_id, ilvl, num_fmt, lvl_text, start (a style sheet, broadcast). doc_id, idx, marker of numbered paragraphs.
+    """blocks: doc_id, idx, num_id, ilvl; levels: num_id, ilvl, num_fmt, lvl_text, start, and doc_id where each document has a style sheet of its own. doc_id, idx, marker of numbered paragraphs.
 
     A level counts within the stretch since a higher level of its list last counted; a bullet level also since a paragraph of another format. Levels below
     the paragraph's don't show. All windows share one partitioning."""
-    named = levels.select(F.col("num_id").alias("_n"), F.col("ilvl").alias("_l"), "num_fmt", "lvl_text", "start")
-    wide = levels.groupBy(F.col("num_id").alias("_wn")).agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct(F.col("num_fmt").alias("f"), F.col("start").alias("s"))))).alias("_levels"))
-    rows = blocks.where("num_id IS NOT NULL").withColumn("ilvl", F.coalesce("ilvl", F.lit(0))).join(F.broadcast(named), (F.col("num_id") == F.col("_n")) & (F.col("ilvl") == F.col("_l")))
-    rows = rows.join(F.broadcast(wide), F.col("num_id") == F.col("_wn"))
+    own = ["doc_id"] if "doc_id" in levels.columns else []
+    named = levels.select(*own, "num_id", "ilvl", "num_fmt", "lvl_text", "start")
+    wide = levels.groupBy(*own, "num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct(F.col("num_fmt").alias("f"), F.col("start").alias("s"))))).alias("_levels"))
+    rows = blocks.where("num_id IS NOT NULL").withColumn("ilvl", F.coalesce("ilvl", F.lit(0))).join(named, [*own, "num_id", "ilvl"]).join(wide, [*own, "num_id"])
     document = Window.partitionBy("doc_id").orderBy("idx")
     rows = rows.withColumn("_broken", F.coalesce(F.sum(F.when(F.col("num_fmt") != "bullet", 1).otherwise(0)).over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     this = Window.partitionBy("doc_id", "num_id").orderBy("idx")

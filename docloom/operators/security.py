@@ -73,14 +73,13 @@ def pii_counts(masked: DataFrame) -> DataFrame:
 
 def injection_hits(docs: DataFrame, rules=INJECTIONS) -> DataFrame:
     """Every match of every rule: doc_id, rule, snippet (its first characters), position (from 0)."""
-    out = None
+    before = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
+    found = []
     for name, pattern in rules:
-        rows = docs.select("doc_id", F.split("text", pattern, -1).alias("_g"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("_m")).where(F.size("_m") > 0)
-        rows = rows.select("doc_id", "_g", "_m", F.posexplode("_m").alias("_i", "_x"))
-        before = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
-        rows = rows.select("doc_id", F.lit(name).alias("rule"), F.left(F.col("_x"), F.lit(SNIPPET)).alias("snippet"), (before(F.col("_g"), F.col("_i") + 1) + before(F.col("_m"), F.col("_i"))).alias("position"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        gaps, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), 0)
+        one = lambda name, gaps, hits: lambda x, i: F.struct(F.lit(name).alias("rule"), F.left(x, F.lit(SNIPPET)).alias("snippet"), (before(gaps, i + 1) + before(hits, i)).alias("position"))
+        found.append(F.transform(hits, one(name, gaps, hits)))
+    return docs.select("doc_id", F.explode(F.concat(*found)).alias("h")).select("doc_id", "h.*")
 
 
 def reject_injections(docs: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def _pick(field: str) -> str:
     return f"nullif(trim(regexp_extract(text, '{PATTERNS[field]}', 1)), '')"
 
 
-WIDE = f"wide AS (SELECT doc_id, text, {', '.join(f'{_pick(f)} AS {f}' for f in PATTERNS)} FROM forms)"
-LONG = "mapping AS (" + " UNION ALL ".join(
+WIDE = f"wide AS MATERIALIZED (SELECT doc_id, text, {', '.join(f'{_pick(f)} AS {f}' for f in PATTERNS)} FROM forms)"
+LONG = "mapping AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT doc_id, '{f}' AS field, {f} AS value, CASE WHEN {f} IS NULL THEN 'missing' ELSE 'regex' END AS source, CASE WHEN {f} IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM wide" for f in PATTERNS) + ")"
 TIERS = ("tiers AS (SELECT doc_id, CASE WHEN bool_or(source = 'missing' AND field IN ('codigo', 'data', 'cliente', 'valor')) THEN 'low' WHEN bool_or(source = 'llm') THEN 'medium' ELSE 'high' END AS tier FROM mapping GROUP BY doc_id)")
 BASE = f"WITH {FORMS}, {WIDE}, {LONG}, {TIERS} "
@@ -118,18 +118,17 @@ def orphan_placeholders(spark, sf_dir):
 
 
 def _golds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The first orders as gold texts, with their codes, dates and customers as examples."""
-    gold = forms(spark, sf_dir).where("doc_id <= 60").withColumn("gold_no", (F.col("doc_id") - 1).cast("int")).select("gold_no", "text", "doc_id")
+    """All forms as gold texts, with their codes, dates and customers as examples."""
+    gold = forms(spark, sf_dir).withColumn("gold_no", (F.col("doc_id") - 1).cast("int")).select("gold_no", "text", "doc_id")
     wide = fields.extract_wide(gold, PATTERNS)
     examples = wide.select("gold_no", F.explode(F.create_map(F.lit("codigo"), "codigo", F.lit("data"), "data", F.lit("cliente"), "cliente", F.lit("status"), "status")).alias("field", "example"))
     return gold.select("gold_no", "text"), examples.where("example IS NOT NULL").select("field", F.col("gold_no").alias("example_no"), "example")
 
 
-_LABELS = """, g AS (SELECT CAST(doc_id - 1 AS INT) AS no, * FROM wide WHERE doc_id <= 60),
+_LABELS = """, g AS (SELECT CAST(doc_id - 1 AS INT) AS no, * FROM wide),
 ex AS (SELECT 'codigo' AS field, no, codigo AS example, text FROM g UNION ALL SELECT 'data', no, data, text FROM g UNION ALL SELECT 'cliente', no, cliente, text FROM g UNION ALL SELECT 'status', no, status, text FROM g),
 gx AS (SELECT * FROM ex WHERE example IS NOT NULL),
-n AS (SELECT count(*) AS golds FROM g),
-met AS (SELECT e.field, e.no, g.no AS gold, e.example, g.text FROM gx e CROSS JOIN n JOIN g ON e.no = g.no OR e.no >= golds),
+met AS (SELECT e.field, e.no, g.no AS gold, e.example, g.text FROM gx e JOIN g ON e.no = g.no),
 lines AS (SELECT field, no, gold, example, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM met),
 hit AS (SELECT field, no, gold, string_split(line, ':')[1] AS label, row_number() OVER (PARTITION BY field, no, gold ORDER BY pos) AS r FROM lines WHERE ends_with(line, ': ' || example)),
 l AS (SELECT field, label, count(*) AS n, min((no, gold)) AS first FROM hit WHERE r = 1 GROUP BY field, label)
@@ -496,7 +495,10 @@ def layout_runs(spark, sf_dir):
     return layout.layout_runs(_grid(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_GRID}, d AS (SELECT doc_id, page, row, n / 10.0::DOUBLE AS d, row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS size FROM grid),
+r AS (SELECT x.*, coalesce((SELECT min(y.i) FROM d AS y WHERE y.doc_id = x.doc_id AND y.i > x.i AND abs(y.d - x.d) > {layout.BAND_SPREAD}::DOUBLE), x.size) - x.i AS reach FROM d AS x),
+s AS (SELECT doc_id, page, min(i) AS i FROM r WHERE d >= {layout.BAND_LEAST}::DOUBLE AND reach >= 4 AND i < size - 4 GROUP BY doc_id, page)
+SELECT s.doc_id, s.page, r.row AS row_start, e.row AS row_end FROM s JOIN r USING (doc_id, i) JOIN d AS e ON e.doc_id = s.doc_id AND e.i = s.i + r.reach - 1""")
 def layout_table_bands(spark, sf_dir):
     return layout.layout_table_bands(_grid(spark, sf_dir))
 
