@@ -33,7 +33,7 @@ STARTS = 3
 LOW = {"_x3", "_x4", "_x5"}
 #: The share of a normal sample beyond the cut-off; texts aren't normal, and clean ones with odd lengths must stay.
 TAIL = 1e-9
-STEPS = 20  # a start that hasn't settled by then is judged as it is
+STEPS = 6  # a start that hasn't settled by then is judged as it is
 MIN_GROUP = 50
 LEAST_ROWS = 11
 _BINS = 16  # a factor of e has so many bins

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table, text_of
+from .textbytes import give_back
 
 SPACE_MARK = "▁"
 FREQUENT = 262_144
@@ -39,7 +40,7 @@ COMMON_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 FEW_JOINED = 3
 BLOCK = 128  # places of a word that are folded together
-HELD = 100_000  # entries of a task's tables of tokens
+HELD = 60_000  # entries of a task's tables of tokens
 
 
 def default_model() -> str:
@@ -134,6 +135,8 @@ def _slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        give_back()
+    give_back()
 
 
 def _counter(cut, top: int):

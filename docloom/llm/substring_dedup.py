@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
-from .textbytes import Chunk, _byte_values, _powers, chunks, mix64, utf8
+from .textbytes import Chunk, _byte_values, _powers, chunks, give_back, mix64, utf8
 
 LENGTH, KEY = 50, 20
 SPAN = LENGTH - KEY + 1  # keys in a string
@@ -79,6 +79,8 @@ def _slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        give_back()
+    give_back()
 
 
 def _deflate(batches):
@@ -186,6 +188,7 @@ def _shared_places(t: pa.Table) -> pa.Table:
     at = order[shared]
     found = pa.Table.from_arrays(_lists(doc[at], mark[at], place[at]), schema=_FOUND)
     through = t.filter(pa.compute.is_valid(t.column("at"))).select(["doc", "mark", "at"]).cast(_FOUND)
+    give_back()
     return pa.concat_tables([found, through])
 
 
@@ -250,6 +253,8 @@ def _repeated(t: pa.Table) -> pa.Table:
     at = place[row].astype(np.int64) - (SPAN - 1) + np.concatenate(starts)
     merged = _merge(doc[row], mark[row], at, at + LENGTH)
     through = t.filter(pa.compute.is_valid(t.column("low"))).select(["doc", "mark", "low", "high"]).cast(_RANGES)
+    del prints, around, order, low, again, rows, starts
+    give_back()
     return pa.concat_tables([pa.Table.from_arrays(_lists(*merged), schema=_RANGES), through])
 
 

@@ -7,14 +7,26 @@ powers of an odd number, summed modulo 2**64; the hash of any substring comes fr
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def give_back() -> None:
+    """Return what was freed to the system: workers live on between tasks, and allocators keep their largest size otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
