@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
