@@ -237,35 +237,40 @@ def _repeated(t: pa.Table) -> pa.Table:
     doc, mark, place = _unpack(t)
     valid, around = _unpacked(t, "valid", np.uint8).reshape(-1, 2), _unpacked(t, "bytes", np.uint8).reshape(-1, AROUND)
     up, down = _powers(AROUND)
-    prints = np.empty((SPAN, len(doc)), np.uint64)
+    # sums of the LENGTH bytes from a start, carried on from one start to the next
+    whole = np.empty(len(doc), np.uint64)
     for a in range(0, len(doc), ROWS):
-        sums = np.zeros((len(around[a : a + ROWS]), AROUND + 1), np.uint64)
-        np.cumsum(_byte_values()[around[a : a + ROWS]] * up[:AROUND], axis=1, out=sums[:, 1:])
-        prints[:, a : a + ROWS] = mix64((sums[:, LENGTH:] - sums[:, :SPAN]) * down[:SPAN]).T
+        whole[a : a + ROWS] = (_byte_values()[around[a : a + ROWS, :LENGTH]] * up[:LENGTH]).sum(axis=1)
     # equal strings have their minimizer at the same place, so they stand at the same place around it
-    rows, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    first, last = np.full(len(doc), -1, np.int16), np.full(len(doc), -1, np.int16)
     for start in range(SPAN):
         here = np.flatnonzero((start >= valid[:, 0]) & (start + LENGTH <= valid[:, 1]))
-        order, low, _ = _groups(prints[start, here], doc[here])
+        order, low, _ = _groups(mix64(whole[here] * down[start]), doc[here])
+        if start + 1 < SPAN:
+            whole += _byte_values()[around[:, start + LENGTH]] * up[start + LENGTH] - _byte_values()[around[:, start]] * up[start]
         again = here[order[doc[here[order]] > low]]
-        rows.append(again), starts.append(np.full(len(again), start))
-    row = np.concatenate(rows)
-    at = place[row].astype(np.int64) - (SPAN - 1) + np.concatenate(starts)
-    merged = _merge(doc[row], mark[row], at, at + LENGTH)
+        first[again] = np.where(first[again] < 0, start, first[again])
+        last[again] = start
+    row = np.flatnonzero(last >= 0)  # starts are less than LENGTH apart, so their strings overlap
+    at = place[row].astype(np.int64) - (SPAN - 1)
+    merged = _merge(doc[row], mark[row], at + first[row], at + last[row] + LENGTH)
     through = t.filter(pa.compute.is_valid(t.column("low"))).select(["doc", "mark", "low", "high"]).cast(_RANGES)
-    del prints, around, order, low, again, rows, starts
+    del whole, around, order, low, again, first, last, row, at
     give_back()
     return pa.concat_tables([pa.Table.from_arrays(_lists(*merged), schema=_RANGES), through])
 
 
 def _merge(doc, mark, low, high):
-    """Union of overlapping ranges of equal length within each text."""
+    """Union of overlapping ranges within each text."""
     order = np.lexsort((low, mark, doc))
     doc, mark, low, high = doc[order], mark[order], low[order], high[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (low[1:] > high[:-1]))) if len(doc) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-    return doc[first], mark[first], low[first], high[last]
+    if not len(doc):
+        return doc, mark, low, high
+    base = np.concatenate(([0], np.cumsum((doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))) << 40
+    top = np.maximum.accumulate(high + base)
+    first = np.flatnonzero(np.concatenate(([True], low[1:] + base[1:] > top[:-1])))
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], mark[first], low[first], (top - base)[last]
 
 
 def _cut(text: bytes, low: list[int], high: list[int]) -> tuple[int, list[bytes]]:
