@@ -263,7 +263,7 @@ def test_encoding_of_repeated_null_and_long(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0]), (0, TEXTS[0]), (0, "other"), (None, "null id"), (None, None), (50, long[:700]), (51, long[:129] + " " + long[:128])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     other = library()
-    for frequent in (0, 3, 1000):
+    for frequent in (0, 1000):
         found = sentencepiece.encode(docs, frequent=frequent).collect()
         assert len(found) == len(rows)
         key = lambda i, ids: (-1 if i is None else i, list(ids))
