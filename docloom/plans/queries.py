@@ -125,13 +125,12 @@ def _golds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return gold.select("gold_no", "text"), examples.where("example IS NOT NULL").select("field", F.col("gold_no").alias("example_no"), "example")
 
 
-_LABELS = """, g AS (SELECT CAST(doc_id - 1 AS INT) AS no, * FROM wide),
+_LABELS = r""", g AS (SELECT CAST(doc_id - 1 AS INT) AS no, * FROM wide),
 ex AS (SELECT 'codigo' AS field, no, codigo AS example, text FROM g UNION ALL SELECT 'data', no, data, text FROM g UNION ALL SELECT 'cliente', no, cliente, text FROM g UNION ALL SELECT 'status', no, status, text FROM g),
 gx AS (SELECT * FROM ex WHERE example IS NOT NULL),
-met AS (SELECT e.field, e.no, g.no AS gold, e.example, g.text FROM gx e JOIN g ON e.no = g.no),
-lines AS (SELECT field, no, gold, example, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM met),
-hit AS (SELECT field, no, gold, string_split(line, ':')[1] AS label, row_number() OVER (PARTITION BY field, no, gold ORDER BY pos) AS r FROM lines WHERE ends_with(line, ': ' || example)),
-l AS (SELECT field, label, count(*) AS n, min((no, gold)) AS first FROM hit WHERE r = 1 GROUP BY field, label)
+met AS (SELECT e.field || '' AS field, e.no, g.no AS gold, e.example || '' AS example, g.text || '' AS text FROM gx e JOIN g ON e.no = g.no),
+hit AS (SELECT * FROM (SELECT field, no, gold, regexp_extract(text, '(?:^|\n)([^\n:]*): ' || regexp_escape(example) || '(?:\n|$)', 1) AS label FROM met) WHERE label <> ''),
+l AS (SELECT field, label, count(*) AS n, min((no, gold)) AS first FROM hit GROUP BY field, label)
 """
 
 
