@@ -137,7 +137,7 @@ def _pack(schema, n: int, keys, doc, mark, owner, place, more: dict, direct: lis
         at = order[a:b]
         _, first, index = np.unique(owner[at], return_index=True, return_inverse=True)
         rows.append({"bucket": int(bucket[at[0]]), "docs": doc[at[first]].tobytes(), "marks": mark[at[first]].tobytes(), "owners": _planes(index.astype(np.uint32)),
-                     "places": _planes(place[at].astype(np.uint32)), **{k: (_planes(v[at].astype(np.uint32)) if k == "hashes" else v[at].tobytes()) for k, v in more.items()}})
+                     "places": _planes(place[at].astype(np.uint32)), **{k: (_planes(v[at].astype(np.uint32)) if k == "hashes" else zlib.compress(v[at].tobytes(), 1)) for k, v in more.items()}})
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema)
     if len(direct[0]):
@@ -174,7 +174,7 @@ def _send_places(n: int):
 
 
 def _unpacked(t: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in t.column(column).to_pylist() if x is not None), kind)
+    return np.frombuffer(b"".join(zlib.decompress(x) for x in t.column(column).to_pylist() if x is not None), kind)
 
 
 _FOUND = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32()))])
