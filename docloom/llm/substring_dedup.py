@@ -15,6 +15,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,7 +188,7 @@ def _shared_places(t: pa.Table) -> pa.Table:
     order, _, shared = _groups(keys, doc)
     at = order[shared]
     found = pa.Table.from_arrays(_lists(doc[at], mark[at], place[at]), schema=_FOUND)
-    through = t.filter(pa.compute.is_valid(t.column("at"))).select(["doc", "mark", "at"]).cast(_FOUND)
+    through = t.filter(pc.is_valid(t.column("at"))).select(["doc", "mark", "at"]).cast(_FOUND)
     give_back()
     return pa.concat_tables([found, through])
 
@@ -254,7 +255,7 @@ def _repeated(t: pa.Table) -> pa.Table:
     row = np.flatnonzero(last >= 0)  # starts are less than LENGTH apart, so their strings overlap
     at = place[row].astype(np.int64) - (SPAN - 1)
     merged = _merge(doc[row], mark[row], at + first[row], at + last[row] + LENGTH)
-    through = t.filter(pa.compute.is_valid(t.column("low"))).select(["doc", "mark", "low", "high"]).cast(_RANGES)
+    through = t.filter(pc.is_valid(t.column("low"))).select(["doc", "mark", "low", "high"]).cast(_RANGES)
     del whole, around, order, low, again, first, last, row, at
     give_back()
     return pa.concat_tables([pa.Table.from_arrays(_lists(*merged), schema=_RANGES), through])

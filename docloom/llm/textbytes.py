@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -127,3 +128,39 @@ def windows(word_hash: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray
     for j in range(k):
         out = out * np.uint64(0xA24BAED4963EE407) + word_hash[first + j]
     return mix64(out), first
+
+
+def _fold(solid: str) -> np.ndarray:
+    """For each byte the byte it counts as in a term, 0 if it ends one: ASCII only where named, A-Z lower-cased, all of other characters."""
+    out = np.zeros(256, np.uint8)
+    out[128:] = np.arange(128, 256)
+    for c in solid.encode():
+        out[c] = c
+        out[ord(chr(c).upper())] = c
+    return out
+
+
+LETTERS = _fold("abcdefghijklmnopqrstuvwxyz")
+LETTERS_DIGITS = _fold("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def terms_of(texts: list[bytes], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each term's text number and its place among the distinct terms, and these."""
+    data = fold[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
+    solid = data != 0
+    edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
+    begin, end = edges[::2], edges[1::2]
+    offsets = np.concatenate(([0], np.cumsum(end - begin)))
+    raw = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+    first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    return np.searchsorted(first, begin, "right") - 1, raw.indices.to_numpy().astype(np.int64), raw.dictionary.cast(pa.binary()).cast(pa.string())
+
+
+def batches_by_bytes(batch: pa.RecordBatch, column: str, size: int = 8 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in the column have about so many bytes together, one row at least."""
+    used = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(used, (used[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
