@@ -10,6 +10,9 @@ DARK = "█▓"
 HEADING_DENSITY, HEADING_DROP = 0.55, 0.6
 BREAK_DENSITY, BREAK_ROWS = 0.05, 2
 BAND_LEAST, BAND_SPREAD, BAND_ROWS = 0.10, 0.08, 4
+RAMP = "█▓▒░ "  # from dark to light
+EDGE_ROWS, EDGE_COLUMNS = 5, 2
+
 
 def _page():
     return Window.partitionBy("doc_id", "page").orderBy("row")
@@ -60,3 +63,91 @@ def layout_table_bands(grid: DataFrame) -> DataFrame:
 def page_summary(grid: DataFrame) -> DataFrame:
     """Pages, rows and mean density of each document."""
     return grid.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("rows"), F.round(F.avg(density(F.col("line"))), 3).alias("mean_density"))
+
+
+def vertical_edges(grid: DataFrame, least_rows: int = EDGE_ROWS, ramp: str = RAMP, dense: bool = False) -> DataFrame:
+    """doc_id, page, col, row_start, row_end: the longest run of edge characters down each column, the first on ties, of at least so many rows.
+
+    Edges are all characters of the ramp but the lightest and the blank, or only the darker half of the ramp (dense). A line that doesn't reach a column has none there.
+    The runs are islands of consecutive rows within a column; pages are dealt out once, and all windows keep that partitioning."""
+    edges = ramp[: max(1, len(ramp) // 2)] if dense else "".join(sorted(set(ramp) - {ramp[-1], " "}))
+    marks = grid.repartition("doc_id", "page").select("doc_id", "page", "row", F.posexplode(F.split(F.coalesce("line", F.lit("")), "")).alias("col", "_c")).where(F.contains(F.lit(edges), F.col("_c")) & (F.col("_c") != ""))
+    island = F.col("row") - F.row_number().over(Window.partitionBy("doc_id", "page", "col").orderBy("row"))
+    runs = marks.withColumn("_g", island).groupBy("doc_id", "page", "col", "_g").agg(F.min("row").alias("row_start"), F.max("row").alias("row_end"))
+    longest = F.max(F.struct((F.col("row_end") - F.col("row_start") + 1).alias("n"), (-F.col("row_start")).alias("up"), "row_end")).alias("b")
+    best = runs.groupBy("doc_id", "page", "col").agg(longest).where(F.col("b.n") >= least_rows)
+    return best.select("doc_id", "page", "col", (-F.col("b.up")).alias("row_start"), F.col("b.row_end").alias("row_end"))
+
+
+def layout_sparse_tables(grid: DataFrame, least_rows: int = EDGE_ROWS, least_columns: int = EDGE_COLUMNS, ramp: str = RAMP, dense: bool = False) -> DataFrame:
+    """Tables of which only the borders show: doc_id, page, row_start, row_end, columns.
+
+    A sweep over a page's edges from left to right: each joins the first band whose common rows it shares, which shrinks to what all have in common, or opens one. Bands of
+    enough edges and rows are tables. The state is a page's bands, at most as many as its columns."""
+    edges = vertical_edges(grid, least_rows, ramp, dense).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("col", F.col("row_start").cast("int").alias("a"), F.col("row_end").cast("int").alias("b")))).alias("_e"))
+    shared = "greatest(x.a, e.a) <= least(x.b, e.b)"
+    sweep = f"""aggregate(_e, CAST(array() AS ARRAY<STRUCT<a: INT, b: INT, n: INT>>), (s, e) -> CASE WHEN exists(s, x -> {shared})
+        THEN transform(s, (x, i) -> IF(i + 1 = array_position(transform(s, x -> {shared}), true), named_struct('a', greatest(x.a, e.a), 'b', least(x.b, e.b), 'n', x.n + 1), x))
+        ELSE concat(s, array(named_struct('a', e.a, 'b', e.b, 'n', 1))) END)"""
+    bands = edges.select("doc_id", "page", F.explode(F.expr(sweep)).alias("t")).where(f"t.n >= {least_columns} AND t.b - t.a + 1 >= {least_rows}")
+    return bands.select("doc_id", "page", F.col("t.a").alias("row_start"), F.col("t.b").alias("row_end"), F.col("t.n").alias("columns"))
+
+
+def page_features(grid: DataFrame, ramp: str = RAMP) -> DataFrame:
+    """All features of each page: doc_id, page, rows, cols, density, headings (row, density, width_ratio), tables (row_start, row_end, columns), breaks (row, blank_rows), placeholders (row, col, pattern).
+
+    Tables are the dense bands and the sparse ones, merged where they overlap or touch. A document without lines has no rows here."""
+    from .reports import merge_hints, width_ratio
+
+    listed = lambda df, name, *cols: df.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    dark = F.char_length(F.regexp_replace("line", f"[^{DARK}]", ""))
+    pages = grid.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("rows"), F.max(F.char_length("line")).alias("cols"), F.round(F.sum(dark) / F.greatest(F.sum(F.char_length("line")), F.lit(1)), 3).alias("density"))
+    heads = layout_headings(grid).join(grid, ["doc_id", "page", "row"]).withColumn("width_ratio", F.round(width_ratio(F.col("line"), ramp[-1]), 3))
+    dense = layout_table_bands(grid).withColumn("columns", F.lit(0))
+    tables = merge_hints(dense.unionByName(layout_sparse_tables(grid, ramp=ramp)))
+    breaks = layout_breaks(grid).select("doc_id", "page", F.col("row_start").alias("row"), (F.col("row_end") - F.col("row_start") + 1).alias("blank_rows"))
+    marks = layout_runs(grid).select("doc_id", "page", "row", "col", F.expr("repeat(char, length)").alias("pattern"))
+    out = pages
+    for df, name, cols in ((heads, "headings", ("row", "density", "width_ratio")), (tables, "tables", ("row_start", "row_end", "columns")), (breaks, "breaks", ("row", "blank_rows")), (marks, "placeholders", ("row", "col", "pattern"))):
+        out = out.join(listed(df, name, *cols), ["doc_id", "page"], "left")
+    return out
+
+
+_LISTS = ("headings", "tables", "breaks", "placeholders")
+
+
+def _size(name: str) -> Column:
+    return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+
+
+def document_features(pages: DataFrame) -> DataFrame:
+    """page_features by document: doc_id, page_count, the total of each kind, average_density, pages (array in order)."""
+    sizes = [_size(n).cast("long").alias(n) for n in _LISTS]
+    page = F.struct("page", "rows", "cols", "density", *sizes)
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"), *[F.sum(_size(n)).cast("long").alias(n) for n in _LISTS], F.round(F.avg("density"), 3).alias("average_density"),
+                                       F.array_sort(F.collect_list(page)).alias("pages"))
+
+
+def document_summary(documents: DataFrame, fmt: str = "text") -> DataFrame:
+    """document_features as doc_id, summary: some lines of text, or a JSON object with all counts."""
+    if fmt not in ("text", "json"):
+        raise ValueError(f"unknown format of a summary: {fmt}")
+    if fmt == "json":
+        totals = F.struct(*[F.col(n).alias(n if n != "breaks" else "section_breaks") for n in _LISTS]).alias("totals")
+        return documents.select("doc_id", F.to_json(F.struct("page_count", totals, "average_density", "pages")).alias("summary"))
+    head = F.format_string("Document: %d pages, avg density=%.2f\nTotals — headings=%d tables=%d section_breaks=%d placeholders=%d\n\n", "page_count", "average_density", *_LISTS)
+    line = lambda p: F.format_string("Page %d: H=%d T=%d S=%d P=%d d=%.2f", p["page"], *[p[n] for n in _LISTS], p["density"])
+    return documents.select("doc_id", F.concat(head, F.array_join(F.transform("pages", line), "\n")).alias("summary"))
+
+
+def page_summary_text(pages: DataFrame, most: int = 10) -> DataFrame:
+    """page_features as doc_id, page, summary: size, density, and up to so many lines for each kind of feature."""
+    lines = {"headings": ("Headings detected", lambda x: F.format_string("  row=%3d density=%.2f width=%.2f", x["row"], x["density"], x["width_ratio"])),
+             "tables": ("Tables detected", lambda x: F.format_string("  rows %d-%d", x["row_start"], x["row_end"])),
+             "breaks": ("Section breaks", lambda x: F.format_string("  row=%d blank_rows=%d", x["row"], x["blank_rows"])),
+             "placeholders": ("Placeholders", lambda x: F.format_string("  row=%d col=%d pattern='%s'", x["row"], x["col"], F.left(x["pattern"], F.lit(20))))}
+    parts = [F.array(F.format_string("Grid: %dx%d, density=%.2f", "rows", "cols", "density"))]
+    for name, (title, line) in lines.items():
+        some = F.coalesce(F.transform(F.slice(name, 1, most), line), F.array().cast("array<string>"))
+        parts.append(F.concat(F.array(F.format_string(title + ": %d", _size(name))), some))
+    return pages.select("doc_id", "page", F.array_join(F.concat(*parts), "\n").alias("summary"))

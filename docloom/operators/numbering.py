@@ -23,11 +23,26 @@ def format_count(n: Column, fmt: Column) -> Column:
     return F.when(fmt == "lowerLetter", letters(n)).when(fmt == "upperLetter", F.upper(letters(n))).when(fmt == "lowerRoman", F.lower(roman(n))).when(fmt == "upperRoman", roman(n)).otherwise(n.cast("string"))
 
 
-def numbering_markers(blocks: DataFrame, levels: DataFrame, depth: int = 3) -> DataFrame:
+def numbering_levels(nums: DataFrame, abstracts: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """doc_id, num_id, ilvl, num_fmt, lvl_text, start: what the lists of each document come to.
+
+    nums: doc_id, num_id, abstract_id, of which the greatest counts where a list points twice; abstracts: doc_id, abstract_id, ilvl, num_fmt, lvl_text, start; overrides: doc_id,
+    num_id, ilvl and what a list changes, null where it keeps. A list that points nowhere has no levels but those it brings itself. Formats default to decimal, texts to nothing,
+    starts to 1."""
+    what = ["num_fmt", "lvl_text", "start"]
+    lists = nums.groupBy("doc_id", "num_id").agg(F.max("abstract_id").alias("abstract_id"))
+    made = lists.join(abstracts, ["doc_id", "abstract_id"]).select("doc_id", "num_id", "ilvl", *what)
+    if overrides is not None:
+        own = overrides.join(lists.select("doc_id", "num_id"), ["doc_id", "num_id"], "left_semi").groupBy("doc_id", "num_id", "ilvl").agg(*[F.max(c).alias(f"_{c}") for c in what])
+        made = made.join(own, ["doc_id", "num_id", "ilvl"], "full").select("doc_id", "num_id", "ilvl", *[F.coalesce(f"_{c}", c).alias(c) for c in what])
+    return made.select("doc_id", "num_id", "ilvl", F.coalesce("num_fmt", F.lit("decimal")).alias("num_fmt"), F.coalesce("lvl_text", F.lit("")).alias("lvl_text"), F.coalesce("start", F.lit(1)).alias("start"))
+
+
+def numbering_markers(blocks: DataFrame, levels: DataFrame, depth: int = 3, bullet_letters: bool = False) -> DataFrame:
     """blocks: doc_id, idx, num_id, ilvl; levels: num_id, ilvl, num_fmt, lvl_text, start, and doc_id where each document has a style sheet of its own. doc_id, idx, marker of numbered paragraphs.
 
     A level counts within the stretch since a higher level of its list last counted; a bullet level also since a paragraph of another format. Levels below
-    the paragraph's don't show. All windows share one partitioning."""
+    the paragraph's don't show. With bullet_letters, bullets of the first level count as a., b. and so on. All windows share one partitioning."""
     own = ["doc_id"] if "doc_id" in levels.columns else []
     named = levels.select(*own, "num_id", "ilvl", "num_fmt", "lvl_text", "start")
     wide = levels.groupBy(*own, "num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct(F.col("num_fmt").alias("f"), F.col("start").alias("s"))))).alias("_levels"))
@@ -44,4 +59,6 @@ def numbering_markers(blocks: DataFrame, levels: DataFrame, depth: int = 3) -> D
         info = F.element_at("_levels", F.lit(level))
         count = F.when(F.col(f"_c{level}") > 0, F.col(f"_c{level}") + F.coalesce(info["s"], F.lit(1)) - 1).otherwise(F.coalesce(info["s"], F.lit(1)))
         marker = F.replace(marker, F.lit(f"%{level + 1}"), format_count(count, F.coalesce(info["f"], F.lit("decimal"))))
+    if bullet_letters:
+        marker = F.when((F.col("num_fmt") == "bullet") & (F.col("ilvl") == 0), F.concat(letters(F.greatest(F.col("_c0") + F.coalesce(F.element_at("_levels", F.lit(0))["s"], F.lit(1)) - 1, F.lit(1))), F.lit("."))).otherwise(marker)
     return rows.select("doc_id", "idx", marker.alias("marker"))

@@ -143,3 +143,38 @@ def collapse_blank(blocks: DataFrame) -> DataFrame:
     empty = strip(F.col("text")) == ""
     before = F.lag(empty).over(Window.partitionBy("doc_id").orderBy("idx"))
     return blocks.withColumn("_e", empty).withColumn("_b", F.coalesce(before, F.lit(False))).where("NOT (_e AND _b)").drop("_e", "_b")
+
+
+def target_sections(blocks: DataFrame) -> DataFrame:
+    """blocks: doc_id, idx, text, and style and is_bold where known. doc_id, seq, name, raw_heading, number, level, heading_idx, content_idx (paragraphs up to the next heading, blank ones too).
+
+    Paragraphs before the first heading belong to no section."""
+    extra = [F.col(c) if c in blocks.columns else None for c in ("style", "is_bold")]
+    rows = blocks.withColumn("_h", heading(F.coalesce("text", F.lit("")), *extra))
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    rows = rows.withColumn("seq", F.sum(F.when(F.col("_h").isNotNull(), 1).otherwise(0)).over(order).cast("int")).where("seq > 0")
+    by = rows.groupBy("doc_id", "seq").agg(F.max("_h").alias("_h"), F.max(F.when(F.col("_h").isNotNull(), strip(F.col("text")))).alias("raw_heading"), F.min("idx").alias("heading_idx"),
+                                           F.array_sort(F.collect_list(F.when(F.col("_h").isNull(), F.col("idx")))).alias("content_idx"))
+    return by.select("doc_id", "seq", "_h.name", "raw_heading", "_h.number", "_h.level", "heading_idx", "content_idx")
+
+
+def source_sections(blocks: DataFrame, levels: DataFrame, bullet_letters: bool = True) -> DataFrame:
+    """Sections of documents whose numbers are set by their lists: doc_id, seq, name, raw_heading, number, level, content.
+
+    blocks: doc_id, idx, text, num_id, ilvl, and style where known; levels as in numbering_markers. Every paragraph with a number gets its marker before its text. Headings are told by
+    style and text; else a paragraph of the first level whose marker begins with a digit is one of level 1, and its marker its number. Blank paragraphs don't count, nor do those before
+    the first heading."""
+    from .numbering import numbering_markers
+    from .rendering import section_clean_up
+
+    rows = blocks.withColumn("_t", strip(F.coalesce("text", F.lit("")))).where("_t <> ''")
+    markers = numbering_markers(rows.select("doc_id", "idx", "num_id", "ilvl"), levels, bullet_letters=bullet_letters)
+    rows = rows.join(markers, ["doc_id", "idx"], "left").withColumn("_m", F.coalesce("marker", F.lit("")))
+    told = heading(F.col("_t"), F.col("style") if "style" in blocks.columns else None)
+    numbered = (F.coalesce("ilvl", F.lit(0)) == 0) & F.col("num_id").isNotNull() & F.col("_m").rlike("^[0-9]")
+    rows = rows.withColumn("_h", F.coalesce(told, F.when(numbered, F.struct(heading_key(F.col("_t")).alias("name"), F.regexp_replace("_m", r"[.]+$", "").alias("number"), F.lit(1).alias("level")))))
+    rows = rows.withColumn("_line", F.when(F.col("_m") == "", F.col("_t")).otherwise(F.concat("_m", F.lit(" "), "_t")))
+    rows = rows.withColumn("seq", F.sum(F.when(F.col("_h").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("idx")).cast("int")).where("seq > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_h").isNull(), F.struct("idx", "_line")))), lambda x: x["_line"]), "\n")
+    by = rows.groupBy("doc_id", "seq").agg(F.max("_h").alias("_h"), F.max(F.when(F.col("_h").isNotNull(), F.col("_line"))).alias("raw_heading"), body.alias("content"))
+    return section_clean_up(by.select("doc_id", "seq", "_h.name", "raw_heading", "_h.number", "_h.level", "content"))

@@ -47,3 +47,56 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, part, run_no, paragraph, text: the runs of a header."""
     return _read(spark, sf_dir, RUNS_SQL)
+
+
+def _grid_sql() -> str:
+    """Two pages of twelve rows for each customer, of four kinds: edges down some columns, a dense row with blank ones below it."""
+    edges = {0: [(2, 1, 6, "█"), (7, 2, 8, "▒")], 1: [(2, 1, 6, "█"), (7, 2, 8, "▓"), (12, 1, 9, "█")], 2: [(2, 1, 4, "█"), (7, 1, 4, "█")],
+             3: [(1, 0, 4, "█"), (3, 0, 4, "░"), (5, 0, 5, "█"), (9, 6, 11, "▒"), (11, 5, 11, "█"), (13, 6, 10, "▓")]}
+    cols = []
+    for c in range(14):
+        marks = [f"WHEN k = {k} AND row BETWEEN {a} AND {b} THEN '{ch}'" for k, e in edges.items() for col, a, b, ch in e if col == c]
+        cols.append(f"CASE WHEN k = 2 AND row = 7 THEN '{'█' if c < 10 else '░'}' {' '.join(marks)} ELSE ' ' END")
+    rows = ", ".join(f"({r})" for r in range(12))
+    return f"""
+SELECT doc_id, page, row, concat({', '.join(cols)}) AS line FROM (SELECT c_custkey AS doc_id, CAST(p AS INT) AS page, CAST(r AS INT) AS row, (c_custkey + p) % 4 AS k
+FROM {{customer}} CROSS JOIN (VALUES (1), (2)) AS p(p) CROSS JOIN (VALUES {rows}) AS r(r)) AS g"""
+
+
+GRID_SQL = _grid_sql()
+
+#: Numbering definitions by customer: lists that point at abstract lists, and levels that a list changes.
+NUMS_SQL = """SELECT c_custkey AS doc_id, CAST(n AS INT) AS num_id, CAST(CASE WHEN n = 9 THEN 77 ELSE (c_custkey + n) % 2 END AS INT) AS abstract_id FROM {customer} CROSS JOIN (VALUES (1), (2), (9)) AS t(n)"""
+ABSTRACTS_SQL = """SELECT c_custkey AS doc_id, CAST(a AS INT) AS abstract_id, CAST(l AS INT) AS ilvl, f AS num_fmt, t AS lvl_text, CAST(s AS INT) AS start FROM {customer} CROSS JOIN (VALUES (0, 0, 'decimal', '%1.', 1),
+  (0, 1, 'lowerLetter', '%1.%2)', 1), (0, 2, 'upperRoman', '%3', 1), (1, 0, 'upperLetter', '%1 -', 3), (1, 1, 'decimal', '%1.%2', 1)) AS t(a, l, f, t, s)"""
+OVERRIDES_SQL = """SELECT c_custkey AS doc_id, CAST(2 AS INT) AS num_id, CAST(l AS INT) AS ilvl, f AS num_fmt, t AS lvl_text, CAST(s AS INT) AS start FROM {customer} CROSS JOIN (VALUES (0, NULL, NULL, 5), (1, 'lowerRoman', '(%2)', NULL), (5, 'decimal', '%6', 1)) AS t(l, f, t, s)
+WHERE c_custkey % 3 <> l"""
+
+#: Cells with grid spans of one to three columns, and merges down three rows.
+SPANS_SQL = """SELECT c_custkey AS doc_id, CAST(0 AS INT) AS table_no, CAST(r AS INT) AS row, CAST(c AS INT) AS cell_no, CAST(1 + (CASE WHEN c = 0 THEN c_custkey ELSE c_custkey + r + c END) % 3 AS INT) AS span,
+  CASE WHEN c = 0 AND r BETWEEN 1 AND 3 THEN CASE WHEN r = 1 THEN 'restart' ELSE 'continue' END WHEN c = 3 AND r = 2 AND c_custkey % 2 = 0 THEN 'continue' END AS vmerge, concat('r', CAST(r AS STRING), 'c', CAST(c AS STRING), ' ', c_mktsegment) AS text
+FROM {customer} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS r(r) CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(c)"""
+
+#: A paragraph whose tokens lie in one run or across several, by the customer's key.
+SPLIT_SQL = """SELECT c_custkey AS doc_id, 'body' AS part, CAST(0 AS INT) AS paragraph, CAST(n AS INT) AS run_no, CASE WHEN c_custkey % 2 = 1 AND n IN (4, 5) THEN CASE n WHEN 4 THEN ' e ' ELSE '{{{{NOME_' END ELSE v END AS text, c_name AS name
+FROM {customer} CROSS JOIN (VALUES (0, 'Codigo: {{{{CO'), (1, 'DIGO}}}}'), (2, ' de {{{{NOME}}}}, '), (3, ''), (4, ' e {{{{NO'), (5, 'ME_'), (6, 'COMPLETO}}}} fim {{{{NOME')) AS t(n, v)"""
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, row, line."""
+    return _read(spark, sf_dir, GRID_SQL)
+
+
+def numbering(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lists, levels of abstract lists, and what lists change of these."""
+    return tuple(_read(spark, sf_dir, t) for t in (NUMS_SQL, ABSTRACTS_SQL, OVERRIDES_SQL))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, table_no, row, cell_no, span, vmerge, text."""
+    return _read(spark, sf_dir, SPANS_SQL)
+
+
+def split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, part, paragraph, run_no, text, name."""
+    return _read(spark, sf_dir, SPLIT_SQL)
