@@ -139,9 +139,12 @@ def line_kind(line: Column) -> Column:
 
 
 def collapse_blank(blocks: DataFrame) -> DataFrame:
-    """blocks: doc_id, idx, text. Of runs of empty paragraphs only the first."""
+    """blocks: doc_id, idx, text, and anchor (tables before the paragraph) where known. Of runs of empty paragraphs only the first; a table parts runs."""
     empty = strip(F.col("text")) == ""
-    before = F.lag(empty).over(Window.partitionBy("doc_id").orderBy("idx"))
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    before = F.lag(empty).over(order)
+    if "anchor" in blocks.columns:
+        before = before & F.lag("anchor").over(order).eqNullSafe(F.col("anchor"))
     return blocks.withColumn("_e", empty).withColumn("_b", F.coalesce(before, F.lit(False))).where("NOT (_e AND _b)").drop("_e", "_b")
 
 
