@@ -85,12 +85,10 @@ def infer_patterns(golds: DataFrame, examples: DataFrame) -> list[FieldPattern]:
 
 def pattern_coverage(golds: DataFrame, examples: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Share of a field's examples that its pattern finds in some gold text, to three places: field, coverage."""
-    hits = None
-    for field, p in patterns.items():
-        some = golds.select(F.lit(field).alias("_f"), F.explode(F.regexp_extract_all("text", F.lit(p), 1)).alias("_v")).select("_f", strip(F.col("_v")).alias("_v"))
-        hits = some if hits is None else hits.unionByName(some)
-    if hits is None:
+    if not patterns:
         return examples.select("field").distinct().withColumn("coverage", F.lit(0.0))
+    named = lambda f: lambda v: F.struct(F.lit(f).alias("_f"), strip(v).alias("_v"))
+    hits = golds.select(F.explode(F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), named(f)) for f, p in patterns.items()])).alias("h")).select("h.*")
     met = examples.join(hits.distinct(), (F.col("field") == F.col("_f")) & (strip(F.col("example")) == F.col("_v")), "left")
     return met.groupBy("field").agg(F.round(F.avg(F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0)), 3).alias("coverage"))
 
@@ -158,3 +156,52 @@ def confidence(tokens_filled: Column, tokens: Column, sections_filled: Column, s
 
 def confidence_label(score: Column) -> Column:
     return F.when(score >= 0.9, "high").when(score >= 0.7, "medium").otherwise("low")
+
+
+#: Classes of characters from the finest to the coarsest level: a run of each is one step of a value, any other character stands for itself.
+LEVELS = (("fine", (("d", "[0-9]", r"\d"), ("u", "[A-ZÀ-ÖØ-Þ]", "[A-ZÀ-ÖØ-Þ]"), ("l", "[a-zß-öø-ÿ]", "[a-zß-öø-ÿ]"), ("s", "[ ]", " "))),
+          ("letters", (("d", "[0-9]", r"\d"), ("w", "[A-Za-zÀ-ÖØ-öø-ÿ]", "[A-Za-zÀ-ÖØ-öø-ÿ]"), ("s", "[ ]", " "))),
+          ("words", (("w", "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", "[0-9A-Za-zÀ-ÖØ-öø-ÿ]"), ("s", "[ ]", " "))))
+LONGEST_EXAMPLE = 30
+
+
+def pattern_synthesis(examples: DataFrame) -> DataFrame:
+    """The narrowest pattern that all examples of a field have in common: field, level, pattern, n_examples, specific.
+
+    examples: field, example. At each level an example is a row of runs of one class; the finest level at which all examples of a field have the same row gives the pattern: per run its
+    text where all agree, else the class with the least and greatest length. Where no level fits, an example is longer than 30 characters or holds a line break, the level is 'free' and the
+    pattern a whole line. specific: the pattern holds digits or punctuation, so that it can be looked for without a label. Null examples don't count; examples are only grouped, never gathered."""
+    rows = examples.where("example IS NOT NULL").select("field", "example").groupBy("field", "example").agg(F.count(F.lit(1)).alias("_n"))
+    steps = []
+    for depth, (level, classes) in enumerate(LEVELS):
+        run = "|".join(f"{c}+" for _, c, _ in classes) + "|(?s:.)"
+        kind = F.lit(None).cast("string")
+        for key, c, _ in reversed(classes):
+            kind = F.when(F.col("_x").rlike(f"^{c}"), key).otherwise(kind)
+        runs = rows.select("field", "example", F.regexp_extract_all("example", F.lit(f"({run})"), 1).alias("_r")).select("field", "example", F.size("_r").alias("_size"), F.posexplode("_r").alias("_at", "_x"))
+        steps.append(runs.select(F.lit(depth).alias("_depth"), "field", "_size", "_at", "_x", F.coalesce(kind, F.col("_x")).alias("_kind")))
+    each = steps[0].unionByName(steps[1]).unionByName(steps[2])
+    by = each.groupBy("_depth", "field", "_at").agg(F.min("_kind").alias("_k"), F.max("_kind").alias("_k2"), F.min("_x").alias("_x"), F.max("_x").alias("_x2"), F.min("_size").alias("_size"), F.max("_size").alias("_size2"),
+                                                   F.min(F.char_length("_x")).alias("_a"), F.max(F.char_length("_x")).alias("_b"))
+    known = F.create_map(*[v for depth, (_, classes) in enumerate(LEVELS) for key, _, c in classes for v in (F.lit(f"{depth}{key}"), F.lit(c))])
+    often = F.when((F.col("_a") == 1) & (F.col("_b") == 1), "").when(F.col("_a") == F.col("_b"), F.format_string("{%d}", "_a")).otherwise(F.format_string("{%d,%d}", "_a", "_b"))
+    escaped = F.regexp_replace("_x", r"([^\p{L}\p{N} ])", r"\\$1")
+    part = F.when(F.col("_x") == F.col("_x2"), escaped).otherwise(F.concat(F.element_at(known, F.concat("_depth", "_k")), often))
+    fits = by.groupBy("_depth", "field").agg(F.bool_and((F.col("_k") == F.col("_k2")) & (F.col("_size") == F.col("_size2"))).alias("_ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", part.alias("p")))), lambda x: x["p"]), "").alias("pattern"),
+                                             F.max((F.col("_k") == "d") | F.col("_k").rlike(r"^[^\p{L}\p{N}\s]$")).alias("specific"))
+    best = fits.where("_ok").groupBy("field").agg(F.min(F.struct("_depth", "pattern", "specific")).alias("b"))
+    whole = rows.groupBy("field").agg(F.sum("_n").alias("n_examples"), F.bool_or((F.char_length("example") > LONGEST_EXAMPLE) | F.contains("example", F.lit("\n")) | (F.col("example") == "")).alias("_wide"))
+    met = whole.join(best, "field", "left")
+    narrow = F.col("b").isNotNull() & ~F.col("_wide")
+    level = F.get(F.array(*[F.lit(n) for n, _ in LEVELS]), F.col("b._depth"))
+    return met.select("field", F.when(narrow, level).otherwise("free").alias("level"), F.when(narrow, F.col("b.pattern")).otherwise(FREE[1]).alias("pattern"), "n_examples", F.coalesce(narrow & F.col("b.specific"), F.lit(False)).alias("specific"))
+
+
+def has_class(pattern: Column) -> Column:
+    """Whether a pattern generalises at all: it holds a class of characters."""
+    return pattern.rlike(r"\\[dws]|(?<!\\)\[[^\]]+\]")
+
+
+def has_anchor(pattern: Column) -> Column:
+    """Whether a pattern holds what sets it apart from words: digits or escaped punctuation."""
+    return pattern.rlike(r"\\[-./()_:;,]|\\d")

@@ -111,7 +111,8 @@ def fill_tables(cells: DataFrame, records: DataFrame) -> DataFrame:
     """Blank rows of tables filled from records, then new rows: doc_id, table_no, row, col, text.
 
     records: doc_id, table_no, record_no, rec (map from header to text). Values go under their headers, by the second row's where the first repeats one; a table's
-    blank rows after the first are filled in order, other records are appended. Texts that a record lacks are empty."""
+    blank rows after the first are filled in order, other records are appended. Texts that a record lacks are empty; of headers with
+    one key the record's last counts."""
     from .rendering import header_order
 
     heads = header_order(cells).select("doc_id", "table_no", "col", "header")
@@ -122,8 +123,8 @@ def fill_tables(cells: DataFrame, records: DataFrame) -> DataFrame:
     placed = numbered.join(free, ["doc_id", "table_no", "_n"], "left").join(last, ["doc_id", "table_no"])
     appended = F.row_number().over(Window.partitionBy("doc_id", "table_no", F.col("_free").isNull()).orderBy("_n"))
     placed = placed.withColumn("row", F.coalesce("_free", (F.col("_last") + appended).cast("int")))
-    values = placed.select("doc_id", "table_no", "row", F.explode("rec").alias("_h", "_v")).select("doc_id", "table_no", "row", table_key(F.col("_h")).alias("header"), "_v")
-    values = values.groupBy("doc_id", "table_no", "row", "header").agg(F.max("_v").alias("_v"))
+    values = placed.select("doc_id", "table_no", "row", F.posexplode("rec").alias("_i", "_h", "_v")).select("doc_id", "table_no", "row", table_key(F.col("_h")).alias("header"), "_i", "_v")
+    values = values.groupBy("doc_id", "table_no", "row", "header").agg(F.max_by("_v", "_i").alias("_v"))
     made = placed.select("doc_id", "table_no", "row").join(heads, ["doc_id", "table_no"]).join(values, ["doc_id", "table_no", "row", "header"], "left")
     made = made.select("doc_id", "table_no", "row", "col", F.coalesce("_v", F.lit("")).alias("text"))
     kept = cells.join(made.select("doc_id", "table_no", "row").distinct(), ["doc_id", "table_no", "row"], "left_anti").select("doc_id", "table_no", "row", "col", "text")

@@ -26,7 +26,7 @@ SYNONYMS = {
     "INTRODUCAO": ["APRESENTACAO"],
     "CONCLUSAO": ["CONCLUSOES", "CONSIDERACOES FINAIS"],
 }
-FOOTER = r"(?im)^\s*(?:FORM\.[\w./-]+|REPRODUCAO\s+PROIBIDA|REPRODUÇÃO\s+PROIBIDA|FL\.\s*\d+\s*/\s*\d+|INTERNA\s+P[áa]gina\s+\d+\s+de\s+\d+|Refer[êe]ncias\s+e\s+Anexos|Dados\s+da\s+Refer[êe]ncia)"
+FOOTER = r"(?imU)^\s*(?:FORM\.[\w./-]+|REPRODUCAO\s+PROIBIDA|REPRODUÇÃO\s+PROIBIDA|FL\.\s*\d+\s*/\s*\d+|INTERNA\s+P[áa]gina\s+\d+\s+de\s+\d+|Refer[êe]ncias\s+e\s+Anexos|Dados\s+da\s+Refer[êe]ncia)"
 TABULAR = ["RESPONSABILIDADE", "RESPONSABILIDADES", "ATRIBUICOES", "ATRIBUICOES E RESPONSABILIDADES", "HISTORICO", "HISTORICO DE REVISOES"]
 LEAST_OVERLAP, LEAST_COSINE, LEAST_COVERAGE = 0.5, 0.55, 0.6
 

@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.text import weave
 
-#: Detectors of personal data in the order in which they are applied.
+#: Detectors of personal data in the order in which they are applied. Java reads classes and cases as Unicode with the flag U only.
 DETECTORS = (
-    ("CNPJ", r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b"),
-    ("CPF", r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"),
+    ("CNPJ", r"(?U)\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b"),
+    ("CPF", r"(?U)\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"),
     ("EMAIL", r"(?U)\b[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    ("PHONE", r"\(\d{2}\)\s?9?\d{4,5}-\d{4}|\+55\s?\d{2}\s?9?\d{4,5}-?\d{4}|\b\d{2}\s9?\d{4,5}-\d{4}\b|(?i:(?:tel|telefone|fone|celular|whats|whatsapp)[^\d]{0,4})\d{10,11}\b"),
-    ("RG", r"\b\d{1,2}\.\d{3}\.\d{3}-[\dXx]\b"),
-    ("CEP", r"\b\d{5}-\d{3}\b|(?i:cep[^\d]{0,4})\d{8}\b"),
+    ("PHONE", r"(?U)\(\d{2}\)\s?9?\d{4,5}-\d{4}|\+55\s?\d{2}\s?9?\d{4,5}-?\d{4}|\b\d{2}\s9?\d{4,5}-\d{4}\b|(?i:(?:tel|telefone|fone|celular|whats|whatsapp)[^\d]{0,4})\d{10,11}\b"),
+    ("RG", r"(?U)\b\d{1,2}\.\d{3}\.\d{3}-[\dXx]\b"),
+    ("CEP", r"(?U)\b\d{5}-\d{3}\b|(?i:cep[^\d]{0,4})\d{8}\b"),
 )
 #: Rules against injected instructions.
 INJECTIONS = (
-    ("ignore_instructions", r"(?i)\b(?:ignore|disregard|forget)\s+(?:(?:all|every|the|previous|prior|above|earlier|original)\s+){1,3}(?:instructions?|prompts?|context|messages?|rules?)"),
-    ("ignore_instructions_pt", r"(?i)\b(?:ignore|esqueça|desconsidere|despreze)\s+(?:(?:as?|todas?|todos?|os?|tudo)\s+)?(?:instru[cç][õo]es?|comandos?|regras?|prompts?|mensagens?)(?:\s+(?:acima|anteriores|originais?|prévia))?"),
-    ("force_response", r"(?i)\b(?:respond|reply|return|output|print|say)\s+(?:only|just|exclusively)(?:\s+(?:with|using|as))?\s*['\"`][^'\"`]{1,40}['\"`]"),
-    ("force_response_pt", r"(?i)\b(?:responda|retorne|imprima|escreva|diga)\s+(?:apenas|somente|exclusivamente|s[óo])(?:\s+(?:com|usando|como))?\s*['\"`][^'\"`]{1,40}['\"`]"),
-    ("system_override", r"(?i)\b(?:system|admin|root|developer|sudo)\s*[:=]\s*['\"`]?(?:override|bypass|disable|jailbreak|new\s+instructions?)"),
-    ("role_hijack", r"(?i)\byou\s+are\s+(?:now|actually|really)\s+(?:a|an)\s+\w+|\bact\s+as\s+(?:a|an)\s+\w+\s+who"),
-    ("delimiter_injection", r"(?i)<<<(?:UNTRUSTED|SYSTEM|ADMIN|END|STOP)[A-Z_]*>>>"),
+    ("ignore_instructions", r"(?iU)\b(?:ignore|disregard|forget)\s+(?:(?:all|every|the|previous|prior|above|earlier|original)\s+){1,3}(?:instructions?|prompts?|context|messages?|rules?)"),
+    ("ignore_instructions_pt", r"(?iU)\b(?:ignore|esqueça|desconsidere|despreze)\s+(?:(?:as?|todas?|todos?|os?|tudo)\s+)?(?:instru[cç][õo]es?|comandos?|regras?|prompts?|mensagens?)(?:\s+(?:acima|anteriores|originais?|prévia))?"),
+    ("force_response", r"(?iU)\b(?:respond|reply|return|output|print|say)\s+(?:only|just|exclusively)(?:\s+(?:with|using|as))?\s*['\"`][^'\"`]{1,40}['\"`]"),
+    ("force_response_pt", r"(?iU)\b(?:responda|retorne|imprima|escreva|diga)\s+(?:apenas|somente|exclusivamente|s[óo])(?:\s+(?:com|usando|como))?\s*['\"`][^'\"`]{1,40}['\"`]"),
+    ("system_override", r"(?iU)\b(?:system|admin|root|developer|sudo)\s*[:=]\s*['\"`]?(?:override|bypass|disable|jailbreak|new\s+instructions?)"),
+    ("role_hijack", r"(?iU)\byou\s+are\s+(?:now|actually|really)\s+(?:a|an)\s+\w+|\bact\s+as\s+(?:a|an)\s+\w+\s+who"),
+    ("delimiter_injection", r"(?iU)<<<(?:UNTRUSTED|SYSTEM|ADMIN|END|STOP)[A-Z_]*>>>"),
 )
 SNIPPET = 80
 

@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+#: Java reads classes and cases as Unicode with this flag only.
+UNICODE = "(?U)"
 #: Patterns by which templates mark what is to be filled in.
 CAPS = "A-ZÁÉÍÓÚÂÊÔÃÕÇ"
 MARKED = rf"\{{\{{[^}}]+\}}\}}|\[[A-Za-zÀ-ÿ_][^\]]{{0,40}}\]|<<[^>]+>>|\([{CAPS}_][{CAPS}_ ]{{2,40}}\)"
 LEADER = r"_{3,}|\.{6,}|/{2,}"
 MASK = r"X{3,}|0{4,}"
-ROLES = "Diretora?|Chefe|Gestora?|Gerente|Coordenadora?|Supervisora?|Reitora?|Pró-Reitora?|Pró-Reitoria|Vice-Reitora?|Secretári[oa]|Procuradora?|Superintendente|Departamento|Divisão|Unidade|Setor"
-ROLE_X = rf"(?i)^(?:{ROLES})[\w\s\-/À-ÿ]{{0,55}}\sX\s*$"
+ROLE_X = (r"(?i)^(?:Diretor[a]?|Chefe|Gestor[a]?|Gerente|Coordenador[a]?|Supervisor[a]?|Reitor[a]?|Pró-Reitor[a]?|Pró-Reitoria|Vice-Reitor[a]?|Secretári[oa]|Procurador[a]?|Superintendente|Departamento|Divisão|Unidade|Setor)"
+          r"[\w\s\-/áéíóúâêôãõçÁÉÍÓÚÂÊÔÃÕÇ]{0,55}\sX\s*$")
 LABEL = r"^[\w\sÀ-ÿ/]{2,40}:\s*$"
 LABEL_LEADER = r"^[\w\sÀ-ÿ/]{1,40}:\s*(?:_{3,}|\.{3,}|/+)\s*$"
-VERBS = ("Descrever|Identificar|Listar|Citar|Apontar|Indicar|Informar|Mencionar|Inserir|Detalhar|Especificar|Descreva|Cite|Liste|Aponte|Provê|Prover|Describe|List|Identify|State|Specify|Explain")
-INSTRUCTION = rf"(?i)^\s*(?:{VERBS})(?:[^\wÀ-ÿ]|$)"
+INSTRUCTION = r"(?i)^\s*(Descrever|Identificar|Listar|Citar|Apontar|Indicar|Informar|Mencionar|Inserir|Detalhar|Especificar|Descreva|Cite|Liste|Aponte|Provê|Prover|Describe|List|Identify|State|Specify|Explain)\b"
+CELL_INSTRUCTION = r"(?i)^\s*(Descrever|Identificar|Listar|Citar|Apontar|Indicar|Informar|Mencionar|Inserir|Detalhar|Especificar|Descreva|Cite|Liste|Aponte|Describe|List|Identify|State|Specify|Explain)\b"
 HINT = r"\([^)]{5,}\)"
 NUMBERED = rf"^\s*\d+(?:\.\d+)*[.:]?\s+[{CAPS}]"
 HEADING = rf"^\s*(?:\d+(?:\.\d+)*[.:]?\s+\S|[{CAPS}][{CAPS}\s\-—–:]{{3,80}})\s*$"
@@ -48,8 +50,8 @@ def kind_of(text: Column) -> Column:
     """empty, heading_with_hint, placeholder, label_value, instruction, heading or data; the first that fits."""
     t = strip(text)
     numbered = t.rlike(NUMBERED)
-    return (F.when(t == "", "empty").when(numbered & t.rlike(HINT), "heading_with_hint").when(t.rlike(MARKED), "placeholder").when(t.rlike(LABEL_LEADER) | t.rlike(LABEL), "label_value")
-            .when(t.rlike(INSTRUCTION), "instruction").when(t.rlike(LEADER) & (F.char_length(t) <= 80), "placeholder").when(t.rlike(MASK) | t.rlike(ROLE_X), "placeholder")
+    return (F.when(t == "", "empty").when(numbered & t.rlike(HINT), "heading_with_hint").when(t.rlike(MARKED), "placeholder").when(t.rlike(UNICODE + LABEL_LEADER) | t.rlike(UNICODE + LABEL), "label_value")
+            .when(t.rlike(UNICODE + INSTRUCTION), "instruction").when(t.rlike(LEADER) & (F.char_length(t) <= 80), "placeholder").when(t.rlike(MASK) | t.rlike(UNICODE + ROLE_X), "placeholder")
             .when(numbered, "heading").otherwise("data"))
 
 
@@ -119,7 +121,7 @@ def part_slots(runs: DataFrame, location: str = "header_para") -> DataFrame:
 def cell_fillable(text: Column) -> Column:
     """Empty, an instruction, a mask, a hint in brackets, a bare label or a stand-in name."""
     t = strip(F.coalesce(text, F.lit("")))
-    return (t == "") | t.rlike(INSTRUCTION.replace("|Provê|Prover", "")) | t.rlike(CELL_MASK) | (t.rlike(r"^\(.+\)$") & (F.char_length(t) <= 80)) | t.rlike(LABEL) | t.isin(*NAMES)
+    return (t == "") | t.rlike(UNICODE + CELL_INSTRUCTION) | t.rlike(CELL_MASK) | (t.rlike(r"^\(.+\)$") & (F.char_length(t) <= 80)) | t.rlike(UNICODE + LABEL) | t.isin(*NAMES)
 
 
 def empty_tables(cells: DataFrame) -> DataFrame:

@@ -61,11 +61,9 @@ def mapping_long(spark, sf_dir):
     return _mapping(spark, sf_dir)
 
 
-@query(BASE + """, answers AS (SELECT doc_id, field, CASE WHEN doc_id % 2 = 0 THEN upper(field) ELSE ' ' END AS answer, 0.5 + (doc_id % 10) / 10.0 AS c FROM mapping WHERE field IN ('codigo', 'data'))
-SELECT m.doc_id, m.field, coalesce(m.value, nullif(trim(answer), '')) AS value,
-       CASE WHEN m.value IS NOT NULL THEN 'regex' WHEN nullif(trim(answer), '') IS NULL THEN 'missing' ELSE 'llm' END AS source,
-       CASE WHEN m.value IS NOT NULL THEN 1.0 WHEN nullif(trim(answer), '') IS NULL THEN 0.0 ELSE CAST(least(1.0, c) AS DOUBLE) END AS confidence
-FROM mapping m LEFT JOIN answers USING (doc_id, field)""")
+@query(BASE + """, asked AS (SELECT *, CASE WHEN field IN ('codigo', 'data') AND doc_id % 2 = 0 THEN upper(field) END AS answer FROM mapping)
+SELECT doc_id, field, coalesce(value, answer) AS value, CASE WHEN value IS NOT NULL THEN 'regex' WHEN answer IS NULL THEN 'missing' ELSE 'llm' END AS source,
+       CASE WHEN value IS NOT NULL THEN 1.0 WHEN answer IS NULL THEN 0.0 ELSE least(1.0, 0.5 + (doc_id % 10) / 10.0) END::DOUBLE AS confidence FROM asked""")
 def mapping_with_answers(spark, sf_dir):
     """A table of answers stands in for the remote provider and fills what the patterns missed."""
     answers = forms(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("codigo"), F.lit("data"))).alias("field")).select(
@@ -507,7 +505,11 @@ def layout_summary(spark, sf_dir):
     return layout.page_summary(_grid(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f['name']}', '{f['spec']}', {f['threshold']}::DOUBLE, {len(f['fields'])}, {sum(r for _, _, r in f['fields'])}, {len(f['required_headings'])})"
-                                           for f in map(formats.load_format, formats.list_formats())) + ") AS t(name, spec, threshold, n_fields, n_required, n_headings)")
+@query("SELECT s_suppkey, name, spec, threshold, n_fields, n_required, n_headings FROM supplier JOIN (VALUES " + ", ".join(
+    f"({i}, '{f['name']}', '{f['spec']}', {f['threshold']}::DOUBLE, {len(f['fields'])}, {sum(r for _, _, r in f['fields'])}, {len(f['required_headings'])})" for i, f in enumerate(map(formats.load_format, formats.list_formats())))
+    + ") AS t(i, name, spec, threshold, n_fields, n_required, n_headings) ON s_suppkey % 10 = i")
 def format_catalog(spark, sf_dir):
-    return formats.catalogue(spark)
+    """Each supplier's documents have one of the ten formats, by name."""
+    chosen = F.get(F.array(*map(F.lit, formats.list_formats())), (F.col("s_suppkey") % 10).cast("int")).alias("name")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", chosen)
+    return suppliers.join(formats.catalogue(spark), "name").select("s_suppkey", "name", "spec", "threshold", "n_fields", "n_required", "n_headings")

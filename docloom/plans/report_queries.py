@@ -32,7 +32,7 @@ def parse_corrections(spark, sf_dir):
 
 
 @query(f"""WITH {CELLS}, t AS (SELECT *, trim(text) AS t FROM cells),
-f AS (SELECT doc_id, table_no, row, t, min(col) AS first_col, max(col) AS last_col FROM t WHERE t = '' OR {_has('t', slots.INSTRUCTION)} OR {_has('t', slots.CELL_MASK)} OR ({_has('t', '^[(].+[)]$')} AND length(t) <= 80)
+f AS (SELECT doc_id, table_no, row, t, min(col) AS first_col, max(col) AS last_col FROM t WHERE t = '' OR {_has('t', slots.CELL_INSTRUCTION)} OR {_has('t', slots.CELL_MASK)} OR ({_has('t', '^[(].+[)]$')} AND length(t) <= 80)
   OR {_has('t', slots.LABEL)} OR t IN ({', '.join(f"'{n}'" for n in slots.NAMES)}) GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY table_no, row, first_col) - 1 AS INT) AS line_no, table_no, row, first_col, last_col, t AS current FROM f""")
 def cell_checklist(spark, sf_dir):

@@ -22,7 +22,7 @@ def _kind(c: str) -> str:
     t = f"trim({c})"
     return (f"CASE WHEN {t} = '' THEN 'empty' WHEN {_has(t, slots.NUMBERED)} AND {_has(t, slots.HINT)} THEN 'heading_with_hint' WHEN {_has(t, slots.MARKED)} THEN 'placeholder'"
             f" WHEN {_has(t, slots.LABEL_LEADER)} OR {_has(t, slots.LABEL)} THEN 'label_value' WHEN {_has(t, slots.INSTRUCTION)} THEN 'instruction' WHEN {_has(t, slots.LEADER)} AND length({t}) <= 80 THEN 'placeholder'"
-            f" WHEN {_has(t, slots.MASK)} OR {_has(t, slots.ROLE_X.replace('Á', 'Á'))} THEN 'placeholder' WHEN {_has(t, slots.NUMBERED)} THEN 'heading' ELSE 'data' END")
+            f" WHEN {_has(t, slots.MASK)} OR {_has(t, slots.ROLE_X)} THEN 'placeholder' WHEN {_has(t, slots.NUMBERED)} THEN 'heading' ELSE 'data' END")
 
 
 @query(f"""WITH {BLOCKS}, k AS (SELECT doc_id, idx, trim(text) AS t, {_kind('text')} AS kind FROM blocks),
@@ -55,7 +55,7 @@ def part_slots(spark, sf_dir):
     return slots.part_slots(runs(spark, sf_dir))
 
 
-@query(f"""WITH {CELLS} SELECT doc_id, table_no, row, col, t = '' OR {_has('t', slots.INSTRUCTION)} OR {_has('t', slots.CELL_MASK)} OR ({_has('t', '^[(].+[)]$')} AND length(t) <= 80)
+@query(f"""WITH {CELLS} SELECT doc_id, table_no, row, col, t = '' OR {_has('t', slots.CELL_INSTRUCTION)} OR {_has('t', slots.CELL_MASK)} OR ({_has('t', '^[(].+[)]$')} AND length(t) <= 80)
   OR {_has('t', slots.LABEL)} OR t IN ({', '.join(f"'{n}'" for n in slots.NAMES)}) AS fillable FROM (SELECT *, trim(text) AS t FROM cells)""")
 def cell_fillable(spark, sf_dir):
     return cells(spark, sf_dir).select("doc_id", "table_no", "row", "col", slots.cell_fillable(F.col("text")).alias("fillable"))
