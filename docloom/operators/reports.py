@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +73,64 @@ def cache_key(template: Column, source: Column, version: str) -> Column:
 
 def load_plans(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """wanted: doc_id, key; cache: key, plan, saved_at. Plans that are cached (the latest of each key), and the documents that miss."""
-    last = cache.groupBy("key").agg(F.max_by("plan", "saved_at").alias("plan"))
+    last = cache.groupBy("key").agg(F.max(F.struct("saved_at", "plan"))["plan"].alias("plan"))
     return wanted.join(last, "key").select("doc_id", "key", "plan"), wanted.join(last, "key", "left_anti")
 
 
-def save_plans(plans: DataFrame, path: str) -> None:
-    """Append plans (key, plan) with the time to a cache table."""
-    plans.select("key", "plan", F.current_timestamp().alias("saved_at")).write.mode("append").parquet(path)
+_CACHE = "key string, plan string, saved_at timestamp"
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """One atomic rename, which fails where the target exists."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), spark._jsc.hadoopConfiguration())
+    files.mkdir(path(target).getParent(), getattr(jvm.org.apache.hadoop.fs.permission, "FsPermission").getDirDefault(), True)
+    files.rename(path(source), path(target), spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def save_plans(plans: DataFrame, path: str, commit: str | None = None) -> bool:
+    """Put plans (key, plan) into a cache with the time, all or none: they are written aside and moved in by one rename. False where the commit of that name is in already, so that a
+    retry after a lost driver changes nothing. What a writer that died has left aside is never read."""
+    spark = plans.sparkSession
+    commit, aside = commit or uuid.uuid4().hex, f"{path.rstrip('/')}/aside/{uuid.uuid4().hex}"
+    target = f"{path.rstrip('/')}/commits/{commit}"
+    if any(p.endswith(f"/{commit}") for p in _listed(spark, path)):
+        return False
+    plans.select("key", "plan", F.current_timestamp().alias("saved_at")).write.parquet(aside)
+    try:
+        _move(spark, aside, target)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):  # another writer of the same commit was faster
+            return False
+        raise
+    return True
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key string, plan string, saved_at timestamp").parquet(path)
+    """key, plan, saved_at of all commits; an empty cache has no rows."""
+    found = _listed(spark, path)
+    return spark.read.schema(_CACHE).parquet(*found) if found else spark.createDataFrame([], _CACHE)
+
+
+def compact_plans(spark: SparkSession, path: str) -> None:
+    """The latest plan of each key as one commit in place of those there are now. Readers find the old ones, both or the new one, which come to the same."""
+    old = _listed(spark, path)
+    if not old:
+        return
+    last = spark.read.schema(_CACHE).parquet(*old).groupBy("key").agg(F.max(F.struct("saved_at", "plan")).alias("l")).select("key", "l.plan", "l.saved_at")
+    aside = f"{path.rstrip('/')}/aside/{uuid.uuid4().hex}"
+    last.write.parquet(aside)
+    _move(spark, aside, f"{path.rstrip('/')}/commits/{uuid.uuid4().hex}")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for p in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
 
 
 def item_reports(mapping: DataFrame, tiers: DataFrame) -> DataFrame:
