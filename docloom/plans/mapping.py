@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,7 +91,9 @@ def map_sections(spark: SparkSession, template: bytes, sources: DataFrame, today
     plan = item(content, "section", seq=F.lit(0), key=F.col("target_name"), value=F.col("content")).unionByName(item(subs, "header", seq=F.col("seq"), key=F.col("s.placeholder"), value=F.col("s.replacement")))
     if items is not None:
         plan = plan.unionByName(item(items, "record", seq=F.col("seq"), table_no=F.col("table_no"), rec=F.col("rec")))
-    each = docs.join(F.broadcast(target.drop("doc_id")), how="cross")  # the template's blocks for each source
+    # the template's blocks for each source, from one literal
+    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in own], ensure_ascii=False)), f"array<{target.schema.simpleString()}>")
+    each = docs.select("doc_id", F.explode(listed).alias("b")).select("doc_id", *[f"b.{c}" for c in target.columns if c != "doc_id"])
     edits = docx_files.plan_edits(each, staged(plan)).where("step <> 4")  # substitutions stay in headers here
     copies = docs.select(F.col("doc_id").alias("path"), F.lit(bytearray(template)).alias("content"))
     files = staged(docx_files.apply_plans(copies, edits).unionByName(errors.select(F.col("doc_id").alias("path"), F.lit(None).cast("binary").alias("content"), "error")))
