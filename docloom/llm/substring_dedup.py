@@ -310,11 +310,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = flat.mapInArrow(_send_places(n), _PLACES_DDL).groupBy("bucket").applyInArrow(_shared_places, "doc bigint, mark bigint, at array<int>")
     gather = lambda df, *cols: df.groupBy("doc", "mark").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in cols])
     there = gather(places, "at").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
-    sent = flat.mapInArrow(_deflate, "doc bigint, mark bigint, text binary")
-    met = sent.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc", "mark", "text", "at")
+    # both joins take the same columns of this, none of them null, so that Spark shuffles the texts once and uses that twice
+    sent = base.mapInArrow(_deflate, f"id {kind}, doc bigint NOT NULL, text binary, mark bigint NOT NULL")
+    met = sent.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("id", "doc", "mark", "text", "at")
     ranges = met.mapInArrow(_send_strings(m), _STRINGS_DDL).groupBy("bucket").applyInArrow(_repeated, "doc bigint, mark bigint, low array<int>, high array<int>")
     cuts = gather(ranges, "low", "high").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
-    sent = base.mapInArrow(_deflate, f"id {kind}, doc bigint, text binary, mark bigint")
     whole = sent.join(cuts, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left").select("id", "text", "low", "high")
     out = whole.mapInArrow(_results, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
