@@ -25,7 +25,8 @@ from .textbytes import Chunk, _byte_values, _powers, chunks, give_back, mix64, u
 LENGTH, KEY = 50, 20
 SPAN = LENGTH - KEY + 1  # keys in a string
 AROUND = SPAN - 1 + LENGTH  # bytes of the strings that hold a key
-BUCKET_BYTES, STRING_BUCKET_BYTES = 8 << 20, 2 << 20  # of text for each bucket of places, and of surroundings
+BUCKET_BYTES, STRING_BUCKET_BYTES = 4 << 20, 2 << 20  # of text for each bucket of places, and of surroundings
+BIN_BYTES = 32 << 20  # of text whose shared places come together again
 BATCH_BYTES = 2 << 20
 ROWS = 8192  # entries handled together where each takes many numbers
 NO_ID = 2**63 - 1
@@ -193,6 +194,34 @@ def _shared_places(t: pa.Table) -> pa.Table:
     return pa.concat_tables([found, through])
 
 
+_BINS_DDL = "bin int, docs array<bigint>, marks array<bigint>, ats array<array<int>>"
+
+
+def _binned(bins: int):
+    """A bucket's shared places, packed by the bin of their texts: a row for each bin, not for each text."""
+    def run(t: pa.Table) -> pa.Table:
+        found = _shared_places(t).combine_chunks()
+        doc, mark = (found.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("doc", "mark"))
+        bin_ = (mix64(doc ^ mix64(mark)) % np.uint64(bins)).astype(np.int32)
+        order = np.argsort(bin_, kind="stable")
+        held, new = found.take(pa.array(order)).combine_chunks(), np.flatnonzero(np.diff(bin_[order], prepend=-1))
+        offsets = pa.array(np.append(new, len(order)).astype(np.int32))
+        whole = [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in held.columns]
+        return pa.table({"bin": pa.array(bin_[order][new], pa.int32())} | {n: pa.ListArray.from_arrays(offsets, x) for n, x in zip(("docs", "marks", "ats"), whole, strict=True)})
+
+    return run
+
+
+def _unbinned(t: pa.Table) -> pa.Table:
+    """The places of all texts of a bin, a row for each text."""
+    doc, mark = (np.concatenate([np.empty(0, np.int64), *(x.flatten().to_numpy() for x in t.column(c).chunks)]) for c in ("docs", "marks"))
+    ats = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(x.flatten() for x in t.column("ats").chunks)])
+    owner = np.repeat(np.arange(len(ats)), pc.list_value_length(ats).to_numpy())
+    out = pa.Table.from_arrays(_lists(doc[owner], mark[owner], ats.flatten().to_numpy()), names=["_d", "_m", "at"])
+    give_back()
+    return out
+
+
 _STRINGS = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())),
                       ("docs", pa.binary()), ("marks", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("valid", pa.binary()), ("bytes", pa.binary())])
 _STRINGS_DDL = "bucket int, doc bigint, mark bigint, low array<int>, high array<int>, docs binary, marks binary, owners binary, places binary, valid binary, bytes binary"
@@ -307,9 +336,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0  # one row
     n, m = max(1, size // BUCKET_BYTES), max(1, size // STRING_BUCKET_BYTES)
     flat = base.select("doc", "mark", "text")
-    places = flat.mapInArrow(_send_places(n), _PLACES_DDL).groupBy("bucket").applyInArrow(_shared_places, "doc bigint, mark bigint, at array<int>")
+    places = flat.mapInArrow(_send_places(n), _PLACES_DDL).groupBy("bucket").applyInArrow(_binned(max(1, size // BIN_BYTES)), _BINS_DDL)
     gather = lambda df, *cols: df.groupBy("doc", "mark").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in cols])
-    there = gather(places, "at").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
+    there = places.groupBy("bin").applyInArrow(_unbinned, "_d bigint, _m bigint, at array<int>")
     # both joins take the same columns of this, none of them null, so that Spark shuffles the texts once and uses that twice
     sent = base.mapInArrow(_deflate, f"id {kind}, doc bigint NOT NULL, text binary, mark bigint NOT NULL")
     met = sent.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("id", "doc", "mark", "text", "at")
