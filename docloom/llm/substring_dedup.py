@@ -194,32 +194,37 @@ def _shared_places(t: pa.Table) -> pa.Table:
     return pa.concat_tables([found, through])
 
 
-_BINS_DDL = "bin int, docs array<bigint>, marks array<bigint>, ats array<array<int>>"
+def _binned_ddl(lists: int) -> str:
+    return "bin int, docs array<bigint>, marks array<bigint>" + "".join(f", list{i} array<array<int>>" for i in range(lists))
 
 
-def _binned(bins: int):
-    """A bucket's shared places, packed by the bin of their texts: a row for each bin, not for each text."""
+def _binned(of, bins: int):
+    """What `of` finds in a bucket (texts and their lists), packed by the bin of the texts: a row for each bin, not for each text."""
     def run(t: pa.Table) -> pa.Table:
-        found = _shared_places(t).combine_chunks()
+        found = of(t).combine_chunks()
         doc, mark = (found.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("doc", "mark"))
         bin_ = (mix64(doc ^ mix64(mark)) % np.uint64(bins)).astype(np.int32)
         order = np.argsort(bin_, kind="stable")
         held, new = found.take(pa.array(order)).combine_chunks(), np.flatnonzero(np.diff(bin_[order], prepend=-1))
         offsets = pa.array(np.append(new, len(order)).astype(np.int32))
         whole = [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in held.columns]
-        return pa.table({"bin": pa.array(bin_[order][new], pa.int32())} | {n: pa.ListArray.from_arrays(offsets, x) for n, x in zip(("docs", "marks", "ats"), whole, strict=True)})
+        names = ["docs", "marks", *(f"list{i}" for i in range(len(whole) - 2))]
+        return pa.table({"bin": pa.array(bin_[order][new], pa.int32())} | {n: pa.ListArray.from_arrays(offsets, x) for n, x in zip(names, whole, strict=True)})
 
     return run
 
 
-def _unbinned(t: pa.Table) -> pa.Table:
-    """The places of all texts of a bin, a row for each text."""
-    doc, mark = (np.concatenate([np.empty(0, np.int64), *(x.flatten().to_numpy() for x in t.column(c).chunks)]) for c in ("docs", "marks"))
-    ats = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(x.flatten() for x in t.column("ats").chunks)])
-    owner = np.repeat(np.arange(len(ats)), pc.list_value_length(ats).to_numpy())
-    out = pa.Table.from_arrays(_lists(doc[owner], mark[owner], ats.flatten().to_numpy()), names=["_d", "_m", "at"])
-    give_back()
-    return out
+def _unbinned(*names: str):
+    """The lists of all texts of a bin, a row for each text."""
+    def run(t: pa.Table) -> pa.Table:
+        doc, mark = (np.concatenate([np.empty(0, np.int64), *(x.flatten().to_numpy() for x in t.column(c).chunks)]) for c in ("docs", "marks"))
+        lists = [pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(x.flatten() for x in t.column(f"list{i}").chunks)]) for i in range(len(names))]
+        owner = np.repeat(np.arange(len(doc)), pc.list_value_length(lists[0]).to_numpy())
+        out = pa.Table.from_arrays(_lists(doc[owner], mark[owner], *(x.flatten().to_numpy() for x in lists)), names=["_d", "_m", *names])
+        give_back()
+        return out
+
+    return run
 
 
 _STRINGS = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())),
@@ -336,14 +341,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0  # one row
     n, m = max(1, size // BUCKET_BYTES), max(1, size // STRING_BUCKET_BYTES)
     flat = base.select("doc", "mark", "text")
-    places = flat.mapInArrow(_send_places(n), _PLACES_DDL).groupBy("bucket").applyInArrow(_binned(max(1, size // BIN_BYTES)), _BINS_DDL)
-    gather = lambda df, *cols: df.groupBy("doc", "mark").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in cols])
-    there = places.groupBy("bin").applyInArrow(_unbinned, "_d bigint, _m bigint, at array<int>")
+    bins = max(1, size // BIN_BYTES)
+
+    def found(df, of, *names):
+        packed = df.groupBy("bucket").applyInArrow(_binned(of, bins), _binned_ddl(len(names)))
+        return packed.groupBy("bin").applyInArrow(_unbinned(*names), "_d bigint, _m bigint" + "".join(f", {n} array<int>" for n in names))
+
+    there = found(flat.mapInArrow(_send_places(n), _PLACES_DDL), _shared_places, "at")
     # both joins take the same columns of this, none of them null, so that Spark shuffles the texts once and uses that twice
     sent = base.mapInArrow(_deflate, f"id {kind}, doc bigint NOT NULL, text binary, mark bigint NOT NULL")
     met = sent.join(there, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("id", "doc", "mark", "text", "at")
-    ranges = met.mapInArrow(_send_strings(m), _STRINGS_DDL).groupBy("bucket").applyInArrow(_repeated, "doc bigint, mark bigint, low array<int>, high array<int>")
-    cuts = gather(ranges, "low", "high").withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
+    cuts = found(met.mapInArrow(_send_strings(m), _STRINGS_DDL), _repeated, "low", "high")
     whole = sent.join(cuts, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left").select("id", "text", "low", "high")
     out = whole.mapInArrow(_results, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
