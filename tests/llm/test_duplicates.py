@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -160,3 +162,15 @@ def test_repeats_in_odd_rows(spark):
     got = sorted((r.doc_id or 99, r.n_removed) for r in substring_dedup.remove_repeats(rows).collect())
     assert got == [(1, 0), (1, 0), (2, 0), (99, len(text))]
     assert substring_dedup.remove_repeats(rows.limit(0)).count() == 0
+
+
+def test_repeats_in_a_new_worker():
+    """What a worker runs first on an executor that has just started: only its own module's imports are there."""
+    script = """
+import numpy as np, pyarrow as pa
+from docloom.llm import substring_dedup as m
+empty = lambda schema: pa.table({f.name: pa.array([], f.type) for f in schema}, schema=schema)
+assert m._repeated(empty(m._STRINGS)).num_rows == 0 and m._shared_places(empty(m._PLACES)).num_rows == 0
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
