@@ -131,10 +131,12 @@ def tokens_of(text: str) -> list[str]:
 
 
 def _slices(batches, rows: int = 256):
-    """Smaller batches: texts as Python strings take more room than in Arrow."""
+    """Smaller batches: texts as Python strings take more room than in Arrow. They are copies, so that none keeps the whole batch while the next one is read."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        n = batch.num_rows
+        for at in range(0, n, rows):
+            yield batch.take(pa.array(np.arange(at, min(at + rows, n))))
+        del batch
         give_back()
     give_back()
 
