@@ -104,3 +104,31 @@ def verdicts(scores: DataFrame, weights: dict[str, float] | None = None, thresho
     score = F.when(F.col("_all") > 0, F.round(F.col("_s") / F.col("_all"), 4)).otherwise(0.0)
     critical = F.col("_c") + F.when(F.col("_n") == 0, 1).otherwise(0)
     return by.select("doc_id", score.alias("score"), critical.alias("n_critical"), ((score >= threshold) & (critical == 0)).alias("conforms"))
+
+
+def field_status(mapping: DataFrame) -> DataFrame:
+    """mapping: field, type, required, value and more. Adds status: ok, missing (required), absent (optional), invalid (its type's validator rejects it)."""
+    wrong = F.lit(False)
+    for kind, valid in FIELD_VALIDATORS.items():
+        wrong = F.when(F.col("type") == kind, ~valid(F.col("value"))).otherwise(wrong)
+    return mapping.withColumn("status", F.when(F.col("value").isNull(), F.when(F.col("required"), "missing").otherwise("absent")).when(wrong, "invalid").otherwise("ok"))
+
+
+def format_verdicts(docs: DataFrame, statuses: DataFrame, formats: list[dict], key: str = "doc_id") -> DataFrame:
+    """docs: key, name, text; statuses: key, status, a row a field. Each document judged by the weights and the threshold of its format, as load_format gives it:
+    key, name, n_critical (fields missing or invalid), n_headings_missing, score, passed.
+
+    The technical dimension falls by one field's share for each critical field, the structural one by one heading's share for each required
+    heading that no line of the text is. Weights count as far as these two have them; formats of weight 0 in both don't pass. A null text has no lines."""
+    rows = [(f["name"], f["threshold"], f["weights"]["structural"], f["weights"]["technical"], f["required_headings"], max(1, len(f["fields"]))) for f in formats]
+    terms = docs.sparkSession.createDataFrame(rows, "_n string, _threshold double, _ws double, _wt double, _required array<string>, _fields int")
+    critical = statuses.groupBy(F.col(key).alias("_k")).agg(F.count_if(F.col("status").isin("missing", "invalid")).alias("_critical"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    met = docs.join(F.broadcast(terms), F.col("name") == F.col("_n")).select(key, "name", "_threshold", "_ws", "_wt", "_fields", F.size("_required").alias("_all"),
+                                                                          F.size(F.array_except("_required", lines)).cast("long").alias("n_headings_missing"))
+    met = met.join(critical, F.col(key) == F.col("_k"), "left").withColumn("n_critical", F.coalesce("_critical", F.lit(0)))
+    technical = F.greatest(F.lit(0.0), 1 - F.col("n_critical") / F.col("_fields"))
+    structural = F.when(F.col("_all") > 0, 1 - F.col("n_headings_missing") / F.col("_all")).otherwise(1.0)
+    weight = F.col("_ws") + F.col("_wt")
+    score = F.when(weight > 0, F.round((F.col("_ws") * structural + F.col("_wt") * technical) / weight, 3)).otherwise(0.0)
+    return met.withColumn("score", score).select(key, "name", "n_critical", "n_headings_missing", "score", ((F.col("score") >= F.col("_threshold")) & (F.col("n_critical") == 0) & (weight > 0)).alias("passed"))

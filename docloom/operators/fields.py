@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +93,34 @@ def pattern_coverage(golds: DataFrame, examples: DataFrame, patterns: dict[str,
     return met.groupBy("field").agg(F.round(F.avg(F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0)), 3).alias("coverage"))
 
 
+def infer_formats(golds: DataFrame, examples: DataFrame) -> dict[str, list[FieldPattern]]:
+    """The patterns of each format, all formats in the same passes. golds: name, format_no, example_no, text; examples: name, format_no, example_no, field, example.
+
+    Fields go by format and name, texts by one number over all formats."""
+    per = examples.agg(F.max("example_no")).collect()[0][0]  # one number
+    if per is None:
+        return {}
+    number = (F.col("format_no") * (per + 1) + F.col("example_no")).cast("int")
+    keyed = examples.select(F.concat_ws("/", "name", "field").alias("field"), number.alias("example_no"), "example")
+    out: dict[str, list[FieldPattern]] = {}
+    for found in infer_patterns(golds.select(number.alias("gold_no"), "text"), keyed):
+        name, _, field = found.field.partition("/")
+        out.setdefault(name, []).append(replace(found, field=field))
+    return out
+
+
+def extract_formats(docs: DataFrame, patterns: dict[str, list[FieldPattern]]) -> DataFrame:
+    """docs: name, text and more. A row for each field of a document's format instead of text: field, value (null where the pattern finds none). Documents of other formats give no rows.
+
+    One pass over the documents; each is only searched for the fields of its own format."""
+    value = lambda p: F.nullif(strip(F.regexp_extract("text", p.pattern, 1)), F.lit(""))
+    found = F.lit(None).cast("array<struct<field:string,value:string>>")
+    for name, own in patterns.items():
+        found = F.when(F.col("name") == name, F.array(*[F.struct(F.lit(p.field).alias("field"), value(p).alias("value")) for p in own])).otherwise(found)
+    kept = [c for c in docs.columns if c not in ("text", "field", "value")]
+    return docs.select(*kept, F.explode(found).alias("_f")).select(*kept, "_f.field", "_f.value")
+
+
 def extract_wide(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """docs with a column for each field: the first match's group, stripped; null where there is none or it is empty. One narrow projection."""
     return docs.withColumns({f: F.nullif(strip(F.regexp_extract("text", p, 1)), F.lit("")) for f, p in patterns.items()})
