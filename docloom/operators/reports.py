@@ -180,6 +180,23 @@ def fill_tables(cells: DataFrame, records: DataFrame) -> DataFrame:
     return kept.unionByName(made)
 
 
+def fill_by_specs(cells: DataFrame, specs: DataFrame) -> DataFrame:
+    """Tables filled by specs: doc_id, table_no, row, col, text, all cells and the new ones.
+
+    specs: spec_no, headers, records (array of maps from header to text), those of a template. Each table takes the first spec whose headers it all has, by
+    their keys, also those of a second row under repeated headers; each spec goes to one table of a document, the first. Tables without a spec, and those whose
+    spec has no records, stay as they are; a spec without headers goes nowhere. Of repeated headers of a record the last counts."""
+    from .rendering import header_order
+    from .tables import pair_specs
+
+    first = cells.where("row = 0").select("doc_id", "table_no", table_key(F.coalesce("text", F.lit(""))).alias("header"))
+    headed = first.unionByName(header_order(cells).select("doc_id", "table_no", "header")).groupBy("doc_id", "table_no").agg(F.collect_set("header").alias("headers"))
+    keyed = specs.where("size(headers) > 0").select("spec_no", F.transform("headers", table_key).alias("headers"))
+    records = specs.select(F.col("spec_no").alias("_s"), F.posexplode("records").alias("record_no", "rec"))
+    paired = pair_specs(headed, keyed).join(records, F.col("spec_no") == F.col("_s")).select("doc_id", "table_no", "record_no", "rec")
+    return fill_tables(cells, paired)
+
+
 def prune_empties(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     """blocks without the blank paragraphs between an anchor (doc_id, idx: what was filled last in a section) and the next text."""
     order = Window.partitionBy("doc_id").orderBy("idx")

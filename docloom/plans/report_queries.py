@@ -101,6 +101,17 @@ def fill_tables(spark, sf_dir):
     return reports.fill_tables(c, records)
 
 
+@query(f"""WITH {CELLS}, n(table_no, col, t) AS (VALUES (0, 0, '02'), (0, 1, '05/06/2022'), (0, 2, 'Revisão'), (0, 3, ''), (1, 0, 'ato'), (1, 1, 'X'), (1, 2, ''))
+SELECT doc_id, table_no, row, col, CASE WHEN row > 0 AND (table_no = 0 AND (doc_id + row) % 4 = 0 OR table_no = 1 AND row = 4) THEN t ELSE text END AS text FROM cells JOIN n USING (table_no, col)
+UNION ALL SELECT c_custkey, table_no, 4, col, t FROM customer CROSS JOIN n WHERE table_no = 0 AND c_custkey % 4 = 0""")
+def fill_by_specs(spark, sf_dir):
+    """Four specs (a revision takes the blank row, or a new one where there is none): one asks for a header that no table has, one for a table that an earlier spec takes, one names the column by its second row."""
+    specs = spark.createDataFrame([
+        (0, ["Atividades", "Prazo"], [{"Atividades": "never"}]), (1, ["VERSÃO", "Data"], [{"Versão": "02", "Data": "05/06/2022", "Alteração": "Revisão"}]),
+        (2, ["Data"], [{"Data": "never"}]), (3, ["Atividades", "Gerente Setorial"], [{"Atividades": "ato", "Gerente Setorial": "X"}])], "spec_no int, headers array<string>, records array<map<string,string>>")
+    return reports.fill_by_specs(cells(spark, sf_dir), specs)
+
+
 @query(f"""WITH {BLOCKS}, m AS (SELECT *, trim(text) <> '' AS has_text, lag(CASE WHEN text = '1. OBJETIVO' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS first FROM blocks),
 a AS (SELECT *, max(CASE WHEN first = 1 THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx) AS anchor, max(CASE WHEN has_text AND coalesce(first, 0) = 0 THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx) AS told FROM m)
 SELECT doc_id, idx, text FROM a WHERE has_text OR first = 1 OR anchor IS NULL OR told > anchor""")

@@ -111,3 +111,15 @@ def test_stream_of_verdicts(spark, tmp_path):
     got = run()
     assert got["half", "conformity.verdict"] == (0.9, 0, True, "text", "technical") and got["later", "conformity.verdict"] == (1.0, 1, False, "technical,text", "")
     assert verdicts.dimension_events(spark.read.schema(kind).parquet(str(folder))).count() == 11
+
+
+def test_fill_by_specs(spark):
+    """The first spec that fits takes a table, and each spec one table of a document; specs without headers or records change nothing."""
+    rows = [(1, t, r, c, v) for t, table in enumerate([[["Nome", "Cargo"], ["", None]], [["Nome", "Cargo"], ["", ""]], [["Outro"], [""]]]) for r, line in enumerate(table) for c, v in enumerate(line)]
+    cells = spark.createDataFrame(rows, "doc_id int, table_no int, row int, col int, text string")
+    schema = "spec_no int, headers array<string>, records array<map<string,string>>"
+    specs = spark.createDataFrame([(0, [], [{"Nome": "never"}]), (1, ["NOME"], [{"nome": "Ana", "Cargo": None}, {"Nome": "Bia"}]), (2, ["Cargo", "Nome"], [{"Nome": "never"}]), (3, ["Outro"], None)], schema)
+    got = {tuple(r)[:4]: r["text"] for r in reports.fill_by_specs(cells, specs).collect()}
+    want = {(1, t, r, c): v for _, t, r, c, v in rows} | {(1, 0, 1, 0): "Ana", (1, 0, 1, 1): "", (1, 0, 2, 0): "Bia", (1, 0, 2, 1): ""}
+    assert got == want
+    assert reports.fill_by_specs(cells, specs.limit(0)).count() == len(rows) and reports.fill_by_specs(cells.limit(0), specs).count() == 0
