@@ -9,6 +9,7 @@ task, so one source may hold any share of the rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ STARTS = 3
 LOW = {"_x3", "_x4", "_x5"}
 #: The share of a normal sample beyond the cut-off; texts aren't normal, and clean ones with odd lengths must stay.
 TAIL = 1e-9
-STEPS = 6  # a start that hasn't settled by then is judged as it is
+SETTLED = 1e-4  # a start has settled when half the logarithm of its determinant falls by less
 MIN_GROUP = 50
 LEAST_ROWS = 11
 _BINS = 16  # a factor of e has so many bins
@@ -138,12 +139,13 @@ def _quartile_starts(rows: DataFrame, names: list[str]) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def robust_distance(stats: DataFrame, lang: Column, source: Column, features: dict = FEATURES, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def robust_distance(stats: DataFrame, lang: Column, source: Column, features: dict = FEATURES, min_group: int = MIN_GROUP) -> DataFrame:
     """Adds distance2, the squared Mahalanobis distance under the robust estimate of the row's language and source.
 
-    From each start, concentration steps are taken until the halves no longer change: the half of the rows that lie
-    nearest under the estimate gives the next one, with its covariance scaled for the half that was left out. Of the starts the one with
-    the least determinant counts. Sources of fewer than min_group rows share the estimate of their language, languages of fewer
+    From each start, concentration steps are taken until its determinant no longer falls: the half of the rows that lie
+    nearest under the estimate gives the next one, with its covariance scaled for the half that was left out. Starts that have settled
+    are left out of later steps; as each other one falls by SETTLED or more and the floors bound determinants from below, this ends.
+    Of a group's estimates the one with the least determinant counts. Sources of fewer than min_group rows share the estimate of their language, languages of fewer
     share one; distance2 is null where even these are fewer than LEAST_ROWS. stats must be cheap to read again (staged)."""
     names = list(features)
     floors = [f for _, f in features.values()]
@@ -154,10 +156,19 @@ def robust_distance(stats: DataFrame, lang: Column, source: Column, features: di
                                         .when(F.col("_more") >= min_group, F.concat_ws("|", F.lit("l"), "_la")).otherwise("all").alias("_group")), "mcd-groups")
     rows = stage(rows.join(sizes, (F.col("_la") == F.col("_l2")) & (F.col("_so") == F.col("_s2"))).drop("_la", "_so", "_l2", "_s2"), "mcd-rows")
     whole = rows.groupBy("_group").agg(*_moments(names)).withColumn("_start", F.lit(0))
-    moments, scale, before = whole.unionByName(_quartile_starts(rows, names)).where(f"_h >= {LEAST_ROWS}"), 1.0, None
-    for step in range(steps + 1):
-        estimate = stage(_factor(moments, floors, scale), "mcd-estimate")
-        far = rows.join(estimate.drop("_det"), "_group").withColumn("distance2", _solved(names))
+    moments, scale, found = whole.unionByName(_quartile_starts(rows, names)).where(f"_h >= {LEAST_ROWS}"), 1.0, []
+    while True:
+        estimate = _factor(moments, floors, scale)
+        if len(found) > 1:  # the starts themselves come with another scale
+            was = found[-1].select(F.col("_group").alias("_wg"), F.col("_start").alias("_ws"), F.col("_det").alias("_was"))
+            estimate = estimate.join(was, (F.col("_group") == F.col("_wg")) & (F.col("_start") == F.col("_ws"))).drop("_wg", "_ws")
+        else:
+            estimate = estimate.withColumn("_was", F.lit(None).cast("double"))
+        found.append(stage(estimate.withColumn("_going", F.col("_was").isNull() | (F.col("_det") < F.col("_was") - SETTLED)), "mcd-estimate"))
+        going = found[-1].where("_going")
+        if going.isEmpty():
+            break
+        far = rows.join(going.drop("_det", "_was", "_going"), "_group").withColumn("distance2", _solved(names))
         # at most a few hundred bins a group and start
         binned = far.withColumn("_bin", F.floor(F.ln(F.greatest(F.lit(1e-3), F.least(F.lit(1e6), F.col("distance2")))) * _BINS).cast("int"))
         counts = binned.groupBy("_group", "_start", "_bin").agg(F.count(F.lit(1)).alias("_n"))
@@ -165,14 +176,12 @@ def robust_distance(stats: DataFrame, lang: Column, source: Column, features: di
         half = stage(half.select(F.col("_group").alias("_hg"), F.col("_start").alias("_hs"), F.expr(
             "aggregate(_c, named_struct('run', 0L, 'at', CAST(NULL AS INT)), (a, x) -> named_struct('run', a.run + x._n,"
             " 'at', CASE WHEN a.at IS NULL AND 2 * (a.run + x._n) >= _all THEN x._bin ELSE a.at END)).at").alias("_at")), "mcd-half")
-        now = half.agg(F.count(F.lit(1)), F.sum(F.hash("_hg", "_hs", "_at").cast("long"))).collect()[0]  # one row
-        if now == before or step == steps:
-            break
-        before = now
         kept = binned.join(half, (F.col("_group") == F.col("_hg")) & (F.col("_start") == F.col("_hs"))).where("_bin <= _at")
         # the covariance of a normal variable's nearer half is smaller by a factor that depends on the dimension
         moments, scale = kept.groupBy("_group", "_start").agg(*_moments(names)), _half_scale(len(names))
-    best = stage(estimate.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy("_det", "_start"))).where("_rank = 1").drop("_rank", "_det", "_start"), "mcd-best")  # STARTS rows a group
+    every = [e.withColumn("_step", F.lit(i)) for i, e in enumerate(found) if i or len(found) == 1]
+    least = F.row_number().over(Window.partitionBy("_group").orderBy("_det", "_step", "_start"))  # a few rows a group
+    best = stage(reduce(DataFrame.unionByName, every).withColumn("_rank", least).where("_rank = 1").drop("_rank", "_det", "_start", "_was", "_going", "_step"), "mcd-best")
     return rows.join(best, "_group", "left").withColumn("distance2", _solved(names)).drop("_group", *names, *[c for c in best.columns if c != "_group"])
 
 

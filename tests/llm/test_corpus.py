@@ -109,29 +109,30 @@ def test_quality_statistics(spark):
         assert r.base_failed == (n < 10 or 100 * repeats > 20 * n) and (not r.kept or not r.base_failed)
 
 
-def plain_mcd(x, floors, steps, low=()):
+def plain_mcd(x, floors, low=()):
     """Starts and concentration steps in numpy, with the same fixed bins for the median distance."""
     q = np.percentile(x, [10, 25, 50, 75], axis=0, method="inverted_cdf")
     starts = [(x.mean(axis=0), np.cov(x.T, bias=True))]
     for j in (1, 2):
         mid = np.array([q[0 if j == 2 and i in low else 2, i] for i in range(x.shape[1])])
         starts.append((mid, np.diag(((q[3] - q[1]) / 1.349) ** 2)))
-    found, at = {}, {}
-    scale, before = 1.0, None
-    for step in range(steps + 1):
-        for j, (mean, cov) in enumerate(starts):
+    found = []
+    for j, (mean, cov) in enumerate(starts):
+        scale, last, step = 1.0, math.inf, 0
+        while True:
             cov = cov * scale + np.diag(np.square(floors))
             d = x - mean
             dist = np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
-            found[j] = np.linalg.slogdet(cov)[1], j, dist
+            det = np.linalg.slogdet(cov)[1] / 2
+            if step:
+                found.append((det, step, j, dist))
+                if det >= last - quality.SETTLED:
+                    break
+                last = det
             b = np.floor(np.log(np.clip(dist, 1e-3, 1e6)) * quality._BINS).astype(int)
-            at[j] = np.sort(b)[-(-len(x) // 2) - 1]
-            use = x[b <= at[j]]
-            starts[j] = use.mean(axis=0), np.cov(use.T, bias=True)
-        if dict(at) == before:
-            break
-        before, scale = dict(at), quality._half_scale(x.shape[1])
-    return min(found.values(), key=lambda f: f[:2])[2]
+            use = x[b <= np.sort(b)[-(-len(x) // 2) - 1]]
+            mean, cov, scale, step = use.mean(axis=0), np.cov(use.T, bias=True), quality._half_scale(x.shape[1]), step + 1
+    return min(found, key=lambda f: f[:3])[3]
 
 
 @pytest.mark.parametrize("junk", [0.1, 0.4])
@@ -142,8 +143,8 @@ def test_robust_distances(spark, junk):
     x[:many] += 9
     rows = [(i, float(a), float(b), "g") for i, (a, b) in enumerate(x)]
     features = {"_x1": ("a", 0.2), "_x2": ("b", 0.1)}
-    far = lambda rows: {r.i: r.distance2 for r in quality.robust_distance(spark.createDataFrame(rows, "i int, a double, b double, g string"), F.lit("x"), F.col("g"), features, steps=6).collect()}
-    got, want = far(rows), plain_mcd(x, [0.2, 0.1], 6)
+    far = lambda rows: {r.i: r.distance2 for r in quality.robust_distance(spark.createDataFrame(rows, "i int, a double, b double, g string"), F.lit("x"), F.col("g"), features).collect()}
+    got, want = far(rows), plain_mcd(x, [0.2, 0.1])
     assert np.allclose([got[i] for i in range(400)], want, rtol=1e-6)
     limit = quality.chi2_quantile(1 - quality.TAIL, 2)
     assert min(want[:many]) > limit > max(want[many:])
