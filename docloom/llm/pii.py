@@ -3,8 +3,9 @@
 The protected entities are the values that the patterns find. In how many documents a term and an entity occur, and
 in how many both, over the whole corpus and whole texts, estimate the pointwise mutual information of the two. As a share of the entity's own information this is how much of it the term
 discloses: from `least` on the term is generalised, from REMOVE on it is removed, wherever it stands in the documents that
-hold the entity. Pairs that are judged stand within NEAR words of each other in some texts, so they grow with mentions, not
-with their square, and those that an exact bound rules out are dropped before both are counted together.
+hold the entity. All words of a text are judged with all entities of it, at any distance. Entities that stand in the same texts are one class, and so are
+terms that do and are equally common, so that a list of many identifiers, copied with changes, gives a few pairs of classes and not all of its pairs; those that an exact bound
+rules out are dropped before both are counted together.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from .common import SPACE, ascii_lower, stage, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR, REACH = 8, 200  # words, and characters looked through for them, on each side
-SUPPORT = 2  # different texts in which a term must stand by an entity: in one, every rare word would disclose all
+SUPPORT = 2  # different texts that a term must share with an entity: in one, every rare word would disclose all
 GENERALISE, REMOVE = 0.8, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -78,31 +78,26 @@ def _core(m: re.Match) -> tuple[str, int, int]:
     return word[begin:end].translate(_LOWER), m.start() + begin, m.start() + end
 
 
-def _clear(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
-    return not any(s < end and start < e for s, e in taken)
-
-
-def _around(text: str, spans: list) -> list[tuple[str, str]]:
-    """(entity, term) of the words near each span that touch no span, each once."""
-    taken = sorted((s, e) for _, s, e in spans)
-    out = set()
-    for kind, s, e in spans:
-        entity = f"{kind}:{text[s:e].translate(_LOWER)}"
-        low, high = max(0, s - REACH), min(len(text), e + REACH)
-        beside = [x for x in taken if low <= x[1] and x[0] <= high]
-        before = [m for m in _WORD.finditer(text, low, s) if m.start() > low or low == 0][-NEAR:]
-        after = [m for m in _WORD.finditer(text, e, high) if m.end() < high or high == len(text)][:NEAR]
-        for m in before + after:
-            if _clear(*m.span(), beside) and (m.start() == 0 or text[m.start() - 1].isspace()) and (m.end() == len(text) or text[m.end()].isspace()):
-                term, a, b = _core(m)
-                if a < b:
-                    out.add((entity, term))
-    return sorted(out)
+def _clear(words: list[tuple[str, int, int]], spans: list) -> list[tuple[str, int, int]]:
+    """The words that touch none of the spans; both are walked once, from the left."""
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    out, k = [], 0
+    for word in words:
+        while k < len(taken) and taken[k][1] <= word[1]:
+            k += 1
+        if k == len(taken) or word[2] <= taken[k][0]:
+            out.append(word)
+    return out
 
 
 _FOUND = pa.struct([("_id", pa.int64()), ("_hash", pa.binary()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
-                    ("entities", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())])))])
-_DDL = "_id bigint, _hash binary, base array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, words array<string>, near array<struct<entity:string,term:string>>"
+                    ("entities", pa.list_(pa.string())), ("words", pa.list_(pa.string()))])
+_DDL = "_id bigint, _hash binary, base array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, words array<string>"
 
 
 def _digest(text: str) -> bytes:
@@ -116,65 +111,69 @@ def _scan(batches):
             spans = base_spans(t) if t else []
             rows.append({"_id": i, "_hash": _digest(t or ""), "base": [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans],
                          "entities": sorted({f"{k}:{t[a:b].translate(_LOWER)}" for k, a, b in spans}),
-                         "words": sorted({_core(m)[0] for m in _WORD.finditer(t)}) if spans else [],
-                         "near": [{"entity": e, "term": w} for e, w in _around(t, spans)] if spans else []})
+                         "words": sorted({w[0] for w in _clear([_core(m) for m in _WORD.finditer(t)], spans)} - {""}) if spans else []})
         yield pa.RecordBatch.from_struct_array(pa.array(rows, _FOUND))
 
 
-_HITS = pa.struct([("_hid", pa.int64()), ("_hhash", pa.binary()), ("terms", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosed", pa.float64())])))])
+_HITS = pa.struct([("_hhash", pa.binary()), ("terms", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosed", pa.float64())])))])
 
 
 def _mark(batches):
     """Every place of the told terms in the text that touches no identifier."""
     for batch in batches:
         rows = []
-        for i, h, t, told in zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash", "_text", "_told")), strict=True):
+        for h, t, told in zip(*(batch.column(c).to_pylist() for c in ("_hash", "_text", "_told")), strict=True):
             disclosed = {x["term"]: x["disclosed"] for x in told}
-            taken, spans = [(a, b) for _, a, b in base_spans(t)], []
-            for m in _WORD.finditer(t):
-                term, a, b = _core(m)
-                if term in disclosed and _clear(a, b, taken):
-                    spans.append({"start": a, "end": b, "disclosed": disclosed[term]})
-            rows.append({"_hid": i, "_hhash": h, "terms": spans})
+            words = [w for w in map(_core, _WORD.finditer(t)) if w[0] in disclosed]
+            rows.append({"_hhash": h, "terms": [{"start": a, "end": b, "disclosed": disclosed[w]} for w, a, b in _clear(words, base_spans(t))]})
         yield pa.RecordBatch.from_struct_array(pa.array(rows, _HITS))
 
 
+def _classes(held: DataFrame, name: str, support: int, first: str) -> DataFrame:
+    """For each value of column `name` in at least `support` texts: how many rows hold it, and two 64-bit marks of the set of texts that do."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "_hash")).alias(f"{first}{k}") for k in (1, 2)]
+    return held.groupBy(name).agg(F.count(F.lit(1)).alias("_texts"), F.sum("_copies").alias("_d" + first[1:]), *marks).where(F.col("_texts") >= support).drop("_texts")
+
+
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(_e, _t, disclosed) for the pairs of entity and term that disclose at least `least`. found: rows of the scan of docs."""
-    met = found.select("_hash", F.explode("near").alias("n")).select("_hash", "n.entity", "n.term")
-    pairs = stage(met.groupBy("entity", "term").agg(F.count_distinct("_hash").alias("_texts")).where(F.col("_texts") >= support).drop("_texts"), "pii-pairs")
-    entities = stage(found.select(F.explode("entities").alias("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("_de")), "pii-entities")
-    terms = stage(pairs.select(F.col("term").alias("_term")).distinct(), "pii-terms")
-    core = lambda w: F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", "")
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.split(ascii_lower(text_of(text_col)), SPACE), core))).alias("_word"))
-    spread = words.join(terms, F.col("_word") == F.col("_term"), "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("_dt"))
+    """For each text that holds disclosing terms, by its hash _h: _told, its terms and how much of an entity of it each discloses at most, from `least` on. found: rows of the scan of docs."""
     every = float(docs.count())
+    texts = stage(found.where(F.size("entities") > 0).groupBy("_hash").agg(F.count(F.lit(1)).alias("_copies"), F.first("entities").alias("entities"), F.first("words").alias("words")), "pii-texts")
+    named = texts.select("_hash", "_copies", F.explode("entities").alias("_entity"))
+    entities = stage(_classes(named, "_entity", support, "_e").where(F.col("_de") < every), "pii-entities")
+    # a text's classes of entities; only texts that have any go on
+    held = stage(named.join(entities, "_entity").select("_hash", "_copies", "_de", "_e1", "_e2").distinct(), "pii-held")
+    used = texts.join(held.select("_hash").distinct(), "_hash", "left_semi").select("_hash", "_copies", F.explode("words").alias("_term"))
+    terms = stage(_classes(used, "_term", support, "_t").drop("_dt"), "pii-terms")
+    core = lambda w: F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", "")
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.split(ascii_lower(text_of(text_col)), SPACE), core))).alias("_term"))
+    # counted before the join, so that what is shuffled is the vocabulary and not the texts
+    terms = stage(words.groupBy("_term").agg(F.count(F.lit(1)).alias("_dt")).join(terms, "_term"), "pii-spread")
     own = F.log2(F.lit(every) / F.col("_de"))
     share = lambda both: F.log2(both * F.lit(every) / (F.col("_de") * F.col("_dt"))) / own
-    able = pairs.join(entities, F.col("entity") == F.col("_entity")).join(stage(spread, "pii-spread"), F.col("term") == F.col("_word"))
-    able = stage(able.where((F.col("_de") < every) & (share(F.least("_de", "_dt")) >= least)).select("entity", "term", "_de", "_dt"), "pii-able")
-    held = found.where(F.size("entities") > 0).select("entities", F.explode("words").alias("_w")).join(able, F.col("_w") == F.col("term")).where(F.array_contains("entities", F.col("entity")))
-    both = held.groupBy("entity", "term", "_de", "_dt").agg(F.count(F.lit(1)).alias("_both")).withColumn("disclosed", share(F.col("_both")))
-    return stage(both.where(F.col("disclosed") >= least).select(F.col("entity").alias("_e"), F.col("term").alias("_t"), "disclosed"), "pii-disclosures")
+    uses = stage(used.join(terms, "_term").select("_hash", "_term", "_dt", "_t1", "_t2"), "pii-uses")
+    pairs = held.join(uses.drop("_term").distinct(), "_hash").where(share(F.least("_de", "_dt")) >= least)
+    both = pairs.groupBy("_de", "_e1", "_e2", "_dt", "_t1", "_t2").agg(F.sum("_copies").alias("_both"), F.count(F.lit(1)).alias("_texts"))
+    told = stage(both.where(F.col("_texts") >= support).withColumn("disclosed", share(F.col("_both"))).where(F.col("disclosed") >= least).drop("_both", "_texts"), "pii-disclosures")
+    most = held.join(told, ["_de", "_e1", "_e2"]).groupBy("_hash", "_dt", "_t1", "_t2").agg(F.max("disclosed").alias("disclosed"))
+    most = uses.join(most, ["_hash", "_dt", "_t1", "_t2"]).groupBy(F.col("_hash").alias("_h"))
+    return stage(most.agg(F.collect_list(F.struct(F.col("_term").alias("term"), "disclosed")).alias("_told")), "pii-told")
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """For each row of docs: id_col, text_key (16 bytes of its text's SHA-256), base (kind, start, end of direct identifiers), terms (start, end, disclosed).
 
     Offsets are code points, ends exclusive. Null text is empty and has no spans. A document without direct
-    identifiers has no terms either, so clean documents stay as they are. A term in fewer than `support` different texts by an entity
+    identifiers has no terms either, so clean documents stay as they are. A term that shares fewer than `support` different texts with an entity
     isn't judged; copies of one text count once. Repeated rows each get their row; a null id is kept as it is; other columns are ignored; an empty table gives no rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = stage(texts.mapInArrow(_scan, _DDL), "pii-found")
     told = disclosures(found, docs, text_col, support, least)
-    held = found.select("_id", "_hash", F.explode("entities").alias("_entity")).distinct().join(told, F.col("_entity") == F.col("_e"))
-    held = held.groupBy("_id", "_hash", F.col("_t").alias("term")).agg(F.max("disclosed").alias("disclosed"))
-    held = stage(held.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_list(F.struct("term", "disclosed")).alias("_told")), "pii-told")
     keyed = texts.where("_text IS NOT NULL").withColumn("_hash", F.unhex(F.substring(F.sha2("_text", 256), 1, 32)))
-    again = keyed.join(held, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_text", "_told")
-    hits = again.mapInArrow(_mark, "_hid bigint, _hhash binary, terms array<struct<start:bigint,end:bigint,disclosed:double>>")
-    by = stage(hits.groupBy("_hid", "_hhash").agg(F.first("terms").alias("terms")), "pii-hits")  # repeated rows have the same
-    out = found.join(by, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_hash") == F.col("_hhash")), "left")
+    again = keyed.join(told, F.col("_hash") == F.col("_h")).select("_hash", "_text", "_told")
+    hits = again.mapInArrow(_mark, "_hhash binary, terms array<struct<start:bigint,end:bigint,disclosed:double>>")
+    by = stage(hits.groupBy("_hhash").agg(F.first("terms").alias("terms")), "pii-hits")  # copies have the same
+    out = found.join(by, F.col("_hash") == F.col("_hhash"), "left")
     return out.select(F.col("_id").alias(id_col), F.col("_hash").alias("text_key"), "base", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,disclosed:double>>")).alias("terms"))
 
 

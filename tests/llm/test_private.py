@@ -60,6 +60,17 @@ def test_disclosing_terms(spark):
     assert pii.private_spans(docs.limit(0)).count() == 0
 
 
+def test_terms_far_from_an_identifier_and_lists_of_both(spark):
+    common = "so many words that all texts hold " * 40
+    people = " ".join(f"p{i}@corp.com" for i in range(60)) + " " + " ".join(f"secret{i}" for i in range(60))
+    rows = [(i, f"a@b.cd {common} zebra {i}") for i in range(2)] + [(10 + i, f"{people} {common} v{i}") for i in range(2)] + [(12, f"{people} {common} v0")]
+    rows += [(20 + i, f"{common} x{i}") for i in range(80)] + [(200, "z@y.xw alone")] * 2
+    got = {r.doc_id: r for r in pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {i: [dict(rows)[i][t.start : t.end] for t in got[i].terms] for i in got}
+    assert words[0] == words[1] == ["zebra"] and words[10] == words[11] == words[12] == [f"secret{i}" for i in range(60)]
+    assert not words[200] and not words[20] and all(t.disclosed == 1 for i in (0, 10) for t in got[i].terms)
+
+
 def test_repeated_rows_keep_their_own_spans(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "1.1.1.1")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in pii.sanitised(docs).collect()) == [(0, "<IP>"), (1, "<EMAIL>"), (1, "<EMAIL>")]
