@@ -96,8 +96,8 @@ def _clear(words: list[tuple[str, int, int]], spans: list) -> list[tuple[str, in
 
 
 _FOUND = pa.struct([("_id", pa.int64()), ("_hash", pa.binary()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
-                    ("entities", pa.list_(pa.string())), ("words", pa.list_(pa.string()))])
-_DDL = "_id bigint, _hash binary, base array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, words array<string>"
+                    ("entities", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("_held", pa.string())])
+_DDL = "_id bigint, _hash binary, base array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, words array<string>, _held string"
 
 
 def _digest(text: str) -> bytes:
@@ -111,7 +111,7 @@ def _scan(batches):
             spans = base_spans(t) if t else []
             rows.append({"_id": i, "_hash": _digest(t or ""), "base": [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans],
                          "entities": sorted({f"{k}:{t[a:b].translate(_LOWER)}" for k, a, b in spans}),
-                         "words": sorted({w[0] for w in _clear([_core(m) for m in _WORD.finditer(t)], spans)} - {""}) if spans else []})
+                         "words": sorted({w[0] for w in _clear([_core(m) for m in _WORD.finditer(t)], spans)} - {""}) if spans else [], "_held": t if spans else None})
         yield pa.RecordBatch.from_struct_array(pa.array(rows, _FOUND))
 
 
@@ -169,8 +169,8 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = stage(texts.mapInArrow(_scan, _DDL), "pii-found")
     told = disclosures(found, docs, text_col, support, least)
-    keyed = texts.where("_text IS NOT NULL").withColumn("_hash", F.unhex(F.substring(F.sha2("_text", 256), 1, 32)))
-    again = keyed.join(told, F.col("_hash") == F.col("_h")).select("_hash", "_text", "_told")
+    # only texts with identifiers have terms told; the scan has put these aside, so that no other text is read or moved again
+    again = found.where("_held IS NOT NULL").join(told, F.col("_hash") == F.col("_h")).groupBy("_hash").agg(F.first("_held").alias("_text"), F.first("_told").alias("_told"))
     hits = again.mapInArrow(_mark, "_hhash binary, terms array<struct<start:bigint,end:bigint,disclosed:double>>")
     by = stage(hits.groupBy("_hhash").agg(F.first("terms").alias("terms")), "pii-hits")  # copies have the same
     out = found.join(by, F.col("_hash") == F.col("_hhash"), "left")
