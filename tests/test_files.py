@@ -206,3 +206,19 @@ def test_documents_round_trip(spark):
     assert got["7.docx", "paragraph", 0].text == "um & dois <x>" and got["7.docx", "paragraph", 0].is_bold and got["7.docx", "paragraph", 0].num_id == 1 and got["7.docx", "paragraph", 1].style == "Heading 1"
     assert (got["7.docx", "cell", 0].text, got["7.docx", "cell", 0].span, got["7.docx", "cell", 0].vmerge, got["7.docx", "cell", 0].anchor) == ("a\nb", 2, "restart", 1) and got["7.docx", "cell", 1].vmerge_cont
     assert got["9.docx", "cell", 0].text == "only a table" and len(got) == 6
+
+
+def test_files_are_built_in_streams_and_read_once(spark):
+    blocks = spark.createDataFrame([(d, i, f"texto {i} & \"{d}\"", 'Title "x" & <y>', 1, 0) for d in range(150) for i in (1, 0)], "doc_id long, idx int, text string, style string, num_id int, ilvl int")
+    cells = spark.createDataFrame([(d, 0, 0, 0, str(d), 1) for d in range(150)], "doc_id long, table_no int, row int, col int, text string, anchor int")
+    nums = spark.createDataFrame([(d, 1, 0) for d in range(150)], "doc_id long, num_id int, abstract_id int")
+    abstracts = spark.createDataFrame([(d, 0, 0, "decimal", '%1 "<&', 2) for d in range(150)], "doc_id long, abstract_id int, ilvl int, num_fmt string, lvl_text string, start int")
+    made = docx_files.build_documents(blocks, cells, None, (nums, abstracts, nums.limit(0).selectExpr("doc_id", "num_id", "0 AS ilvl", "'' AS num_fmt", "'' AS lvl_text", "1 AS start")))
+    assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().toString()  # no exchange with Python for each document
+    levels = numbering.numbering_levels(*docx.read_numbering(made))
+    assert "MapInArrow" not in levels._jdf.queryExecution().toString()  # what was read is staged
+    assert {(r.num_id, r.num_fmt, r.lvl_text, r.start) for r in levels.collect()} == {(1, "decimal", '%1 "<&', 2)} and levels.count() == 150
+    got = docx.read_blocks(made).collect()
+    assert len(got) == 450 and {r.style for r in got if r.kind == "paragraph"} == {'Title "x" & <y>'} and {r.anchor for r in got if r.kind == "cell"} == {1}
+    only = docx.read_blocks(made, "cell").collect()
+    assert sorted((r.path, r.idx, r.text) for r in only) == sorted((r.path, r.idx, r.text) for r in got if r.kind == "cell")
