@@ -110,3 +110,14 @@ def test_formats():
         assert abs(sum(formats.load_format(name)["weights"].values()) - 1) < 1e-9
     with pytest.raises(formats.FormatNotFound):
         formats.load_format("none")
+
+
+def test_expanded_tables_are_dealt_out_before(spark, tmp_path):
+    from docloom.operators import reports
+    from docloom.sources import staging, templates
+
+    spark.range(2500).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit("m").alias("c_mktsegment")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    customers = spark.read.parquet(str(tmp_path / "customer.parquet"))
+    assert staging.spread(customers, "c_custkey", 100).rdd.getNumPartitions() == 25  # a task's rows don't grow with the table
+    checklist = reports.cell_checklist(templates.cells(spark, str(tmp_path)))
+    assert checklist._jdf.queryExecution().sparkPlan().toString().count("Exchange hashpartitioning") <= 1 and checklist.where("line_no = 0").count() == 2500
