@@ -42,23 +42,30 @@ def numbering_markers(blocks: DataFrame, levels: DataFrame, depth: int = 3, bull
     """blocks: doc_id, idx, num_id, ilvl; levels: num_id, ilvl, num_fmt, lvl_text, start, and doc_id where each document has a style sheet of its own. doc_id, idx, marker of numbered paragraphs.
 
     A level counts within the stretch since a higher level of its list last counted; a bullet level also since a paragraph of another format. Levels below
-    the paragraph's don't show. With bullet_letters, bullets of the first level count as a., b. and so on. All windows share one partitioning."""
+    the paragraph's don't show. With bullet_letters, bullets of the first level count as a., b. and so on. Windows are one over the document and one over its lists, on narrow rows; a style sheet
+    for all documents is broadcast. A stretch's count is the running count less what it was where the stretch began."""
     own = ["doc_id"] if "doc_id" in levels.columns else []
-    named = levels.select(*own, "num_id", "ilvl", "num_fmt", "lvl_text", "start")
-    wide = levels.groupBy(*own, "num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct(F.col("num_fmt").alias("f"), F.col("start").alias("s"))))).alias("_levels"))
-    rows = blocks.where("num_id IS NOT NULL").withColumn("ilvl", F.coalesce("ilvl", F.lit(0))).join(named, [*own, "num_id", "ilvl"]).join(wide, [*own, "num_id"])
+    listed = F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct(F.col("num_fmt").alias("f"), F.col("lvl_text").alias("t"), F.col("start").alias("s")))))
+    sheet = levels.groupBy(*own, "num_id").agg(listed.alias("_levels"))
+    sheet = sheet if own else F.broadcast(sheet)
+    info = lambda level: F.element_at("_levels", level)
+    bullet = lambda level: F.coalesce(info(level)["f"] == "bullet", F.lit(False))
+    rows = blocks.where("num_id IS NOT NULL").select("doc_id", "idx", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl")).join(sheet, [*own, "num_id"]).where(F.element_at("_levels", F.col("ilvl")).isNotNull())
+    rows = rows.select("doc_id", "idx", "num_id", "ilvl", (info(F.col("ilvl"))["f"] != "bullet").alias("_no"), *[bullet(F.lit(n)).alias(f"_u{n}") for n in range(depth)])
     document = Window.partitionBy("doc_id").orderBy("idx")
-    rows = rows.withColumn("_broken", F.coalesce(F.sum(F.when(F.col("num_fmt") != "bullet", 1).otherwise(0)).over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_broken", F.coalesce(F.count_if("_no").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_no")
     this = Window.partitionBy("doc_id", "num_id").orderBy("idx")
-    marker = F.when(F.col("num_fmt") == "bullet", F.lit("•")).otherwise(F.col("lvl_text"))
+    rows = rows.withColumns({f"_n{n}": F.count_if(F.col("ilvl") == n).over(this) for n in range(depth)} | {f"_s{n}": F.struct(F.count_if(F.col("ilvl") < n).over(this).alias("g"), F.when(F.col(f"_u{n}"), F.col("_broken")).otherwise(0).alias("b")) for n in range(depth)})
+    begins = {f"_at{n}": F.when(~F.coalesce(F.lag(f"_s{n}").over(this) == F.col(f"_s{n}"), F.lit(False)), F.col(f"_n{n}") - (F.col("ilvl") == n).cast("int")) for n in range(depth)}
+    rows = rows.withColumns(begins).withColumns({f"_c{n}": F.col(f"_n{n}") - F.max(f"_at{n}").over(this) for n in range(depth)})
+    rows = rows.select("doc_id", "idx", "num_id", "ilvl", *[f"_c{n}" for n in range(depth)]).join(sheet, [*own, "num_id"])
+    plain = info(F.col("ilvl"))["f"] == "bullet"
+    marker = F.when(plain, F.lit("•")).otherwise(info(F.col("ilvl"))["t"])
     for level in range(depth):
-        rows = rows.withColumn(f"_g{level}", F.sum(F.when(F.col("ilvl") < level, 1).otherwise(0)).over(this))
-        rows = rows.withColumn(f"_b{level}", F.when(F.element_at("_levels", F.lit(level))["f"] == "bullet", F.col("_broken")).otherwise(0))
-        seen = F.sum(F.when(F.col("ilvl") == level, 1).otherwise(0)).over(Window.partitionBy("doc_id", "num_id", f"_g{level}", f"_b{level}").orderBy("idx"))
-        rows = rows.withColumn(f"_c{level}", seen)
-        info = F.element_at("_levels", F.lit(level))
-        count = F.when(F.col(f"_c{level}") > 0, F.col(f"_c{level}") + F.coalesce(info["s"], F.lit(1)) - 1).otherwise(F.coalesce(info["s"], F.lit(1)))
-        marker = F.replace(marker, F.lit(f"%{level + 1}"), format_count(count, F.coalesce(info["f"], F.lit("decimal"))))
+        start = F.coalesce(info(F.lit(level))["s"], F.lit(1))
+        count = F.when(F.col(f"_c{level}") > 0, F.col(f"_c{level}") + start - 1).otherwise(start)
+        marker = F.replace(marker, F.lit(f"%{level + 1}"), format_count(count, F.coalesce(info(F.lit(level))["f"], F.lit("decimal"))))
     if bullet_letters:
-        marker = F.when((F.col("num_fmt") == "bullet") & (F.col("ilvl") == 0), F.concat(letters(F.greatest(F.col("_c0") + F.coalesce(F.element_at("_levels", F.lit(0))["s"], F.lit(1)) - 1, F.lit(1))), F.lit("."))).otherwise(marker)
+        first = F.greatest(F.col("_c0") + F.coalesce(info(F.lit(0))["s"], F.lit(1)) - 1, F.lit(1))
+        marker = F.when(plain & (F.col("ilvl") == 0), F.concat(letters(first), F.lit("."))).otherwise(marker)
     return rows.select("doc_id", "idx", marker.alias("marker"))
