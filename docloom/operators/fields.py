@@ -37,16 +37,18 @@ def example_labels(golds: DataFrame, examples: DataFrame) -> DataFrame:
     """golds: gold_no, text. examples: field, example_no, example. The label before each example's first labelled place: field, label, example_no, gold_no.
 
     Example i is looked for in gold text i, or in all where there is none of that number."""
-    n = golds.count()
-    own = examples.join(golds, F.col("example_no") == F.col("gold_no"))
-    spare = examples.where(F.col("example_no") >= n)  # more examples than gold texts: each is looked for in all of them
-    met = own.unionByName(spare.withColumn("_k", F.lit(1)).join(golds.withColumn("_k", F.lit(1)), "_k").drop("_k").select(*own.columns))
+    met = own = examples.join(golds, F.col("example_no") == F.col("gold_no"))
+    spare = examples.join(golds.select("gold_no"), F.col("example_no") == F.col("gold_no"), "left_anti")
+    if not spare.isEmpty():  # more examples than gold texts: each is looked for in all of them, wherever these lie
+        met = own.unionByName(golds.crossJoin(F.broadcast(spare)).select(*own.columns))
     literal = F.replace("example", F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     met = met.withColumn("_p", F.concat(F.lit(r"(?s)^.*?:\s*\Q"), literal, F.lit(r"\E(?=\s|$|[.,;)])")))
-    met = met.withColumn("_upto", F.expr("nullif(regexp_extract(text, _p, 0), '')")).where("_upto IS NOT NULL")
-    before = F.right(F.substring(F.col("_upto"), F.lit(1), F.char_length("_upto") - F.char_length("example")), F.lit(LABEL_REACH))
-    label = strip(F.substring_index(F.substring_index(F.substring(before, F.lit(1), F.char_length(before) - F.char_length(F.substring_index(before, ":", -1)) - 1), "\n", -1), "\r", -1))
-    return met.select("field", label.alias("label"), "example_no", "gold_no").where(f"label <> '' AND char_length(label) <= {LABEL_LENGTH}")
+    upto = F.array(F.expr("regexp_extract(text, _p, 0)"))
+    before = F.transform(upto, lambda u: F.right(F.substring(u, F.lit(1), F.char_length(u) - F.char_length("example")), F.lit(LABEL_REACH)))
+    line = lambda b: F.substring(b, F.lit(1), F.char_length(b) - F.char_length(F.substring_index(b, ":", -1)) - 1)
+    label = F.transform(before, lambda b: strip(F.substring_index(F.substring_index(line(b), "\n", -1), "\r", -1)))
+    found = met.select("field", F.explode_outer(label).alias("label"), "example_no", "gold_no")  # a generator, so that the text is searched once and not again in each condition
+    return found.where(f"label <> '' AND char_length(label) <= {LABEL_LENGTH}")
 
 
 def label_rank(labels: DataFrame, top: int = MAX_LABELS) -> DataFrame:

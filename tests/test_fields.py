@@ -72,3 +72,10 @@ def test_mapping_tiers_and_summary(spark):
     assert (summary[2].n_regex, summary[2].n_llm, summary[2].n_missing, summary[2].average_confidence) == (1, 1, 0, 0.9)
     counts = dict(values(fields.tier_counts(fields.tier_by_doc(mapping, ["codigo"])), "tier", "n"))
     assert sum(counts.values()) == 4 and counts["error"] == 0
+
+
+def test_an_example_with_a_text_of_its_number_is_only_looked_for_there(spark):
+    golds = spark.createDataFrame([(0, "Outro: abc\n"), (1000, "Nome: abc\n")], "gold_no int, text string")  # numbers with a gap
+    examples = spark.createDataFrame([("nome", 1000, "abc"), ("nome", 7, "abc")], "field string, example_no int, example string")
+    got = sorted((r.label, r.example_no, r.gold_no) for r in fields.example_labels(golds, examples).collect())
+    assert got == [("Nome", 7, 1000), ("Nome", 1000, 1000), ("Outro", 7, 0)]
