@@ -24,8 +24,12 @@ def density(line: Column) -> Column:
 
 def layout_headings(grid: DataFrame) -> DataFrame:
     """grid: doc_id, page, row, line. Dense rows before a much thinner one."""
+    return _heading_rows(grid).select("doc_id", "page", "row", "density")
+
+
+def _heading_rows(grid: DataFrame) -> DataFrame:
     rows = grid.withColumn("density", density(F.col("line"))).withColumn("_next", F.lead("density").over(_page()))
-    return rows.where((F.col("density") >= HEADING_DENSITY) & (F.col("_next") < HEADING_DROP * F.col("density"))).select("doc_id", "page", "row", F.round("density", 3).alias("density"))
+    return rows.where((F.col("density") >= HEADING_DENSITY) & (F.col("_next") < HEADING_DROP * F.col("density"))).select("doc_id", "page", "row", "line", F.round("density", 3).alias("density"))
 
 
 def layout_breaks(grid: DataFrame) -> DataFrame:
@@ -37,12 +41,10 @@ def layout_breaks(grid: DataFrame) -> DataFrame:
 
 def layout_runs(grid: DataFrame) -> DataFrame:
     """Runs of four or more equal characters that aren't blank, the first of each character in a row: doc_id, page, row, char, col, length."""
-    parts = grid.select("doc_id", "page", "row", F.posexplode(F.regexp_extract_all("line", F.lit(r"((.)\2*)"), 1)).alias("_i", "_run"))
-    at = F.sum(F.char_length("_run")).over(Window.partitionBy("doc_id", "page", "row").orderBy("_i")) - F.char_length("_run")
-    runs = parts.withColumn("col", at).where((F.char_length("_run") >= 4) & ~F.col("_run").startswith(" "))
-    runs = runs.withColumn("char", F.left(F.col("_run"), F.lit(1)))
-    first = F.row_number().over(Window.partitionBy("doc_id", "page", "row", "char").orderBy("col"))
-    return runs.withColumn("_f", first).where("_f = 1").select("doc_id", "page", "row", "char", "col", F.char_length("_run").alias("length"))
+    found = """aggregate(regexp_extract_all(line, '((.)\\\\2*)', 1), named_struct('at', 0L, 'out', CAST(array() AS ARRAY<STRUCT<char: STRING, col: BIGINT, length: INT>>)), (s, r) ->
+        named_struct('at', s.at + char_length(r), 'out', IF(char_length(r) >= 4 AND left(r, 1) <> ' ' AND NOT exists(s.out, o -> o.char = left(r, 1)),
+            concat(s.out, array(named_struct('char', left(r, 1), 'col', s.at, 'length', char_length(r)))), s.out)), s -> s.out)"""
+    return grid.select("doc_id", "page", "row", F.explode(F.expr(found)).alias("_r")).select("doc_id", "page", "row", "_r.*")
 
 
 def layout_table_bands(grid: DataFrame) -> DataFrame:
@@ -69,11 +71,16 @@ def vertical_edges(grid: DataFrame, least_rows: int = EDGE_ROWS, ramp: str = RAM
     """doc_id, page, col, row_start, row_end: the longest run of edge characters down each column, the first on ties, of at least so many rows.
 
     Edges are all characters of the ramp but the lightest and the blank, or only the darker half of the ramp (dense). A line that doesn't reach a column has none there.
-    The runs are islands of consecutive rows within a column; pages are dealt out once, and all windows keep that partitioning."""
+    The runs are islands of consecutive rows within a column, folded page by page."""
     edges = ramp[: max(1, len(ramp) // 2)] if dense else "".join(sorted(set(ramp) - {ramp[-1], " "}))
-    marks = grid.repartition("doc_id", "page").select("doc_id", "page", "row", F.posexplode(F.split(F.coalesce("line", F.lit("")), "")).alias("col", "_c")).where(F.contains(F.lit(edges), F.col("_c")) & (F.col("_c") != ""))
-    island = F.col("row") - F.row_number().over(Window.partitionBy("doc_id", "page", "col").orderBy("row"))
-    runs = marks.withColumn("_g", island).groupBy("doc_id", "page", "col", "_g").agg(F.min("row").alias("row_start"), F.max("row").alias("row_end"))
+    blank = edges == ""
+    listed = F.array_sort(F.collect_list(F.struct("row", F.translate(F.coalesce("line", F.lit("")), edges + "#", "#" * len(edges) + ("#" if "#" in edges else " ")).alias("l"))))
+    pages = grid.groupBy("doc_id", "page").agg(listed.alias("_p"), F.max(F.char_length("line")).alias("_w")).where((F.col("_w") > 0) & F.lit(not blank))
+    marks = pages.select("doc_id", "page", "_p", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("col"))
+    hit = "filter(_p, x -> substring(x.l, col + 1, 1) = '#')"
+    islands = f"""aggregate({hit}, CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>), (s, x) -> IF(size(s) > 0 AND element_at(s, -1).b = x.row - 1,
+        concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', CAST(x.row AS INT)))), concat(s, array(named_struct('a', CAST(x.row AS INT), 'b', CAST(x.row AS INT))))))"""
+    runs = marks.select("doc_id", "page", "col", F.explode(F.expr(islands)).alias("_g")).select("doc_id", "page", "col", F.col("_g.a").alias("row_start"), F.col("_g.b").alias("row_end"))
     longest = F.max(F.struct((F.col("row_end") - F.col("row_start") + 1).alias("n"), (-F.col("row_start")).alias("up"), "row_end")).alias("b")
     best = runs.groupBy("doc_id", "page", "col").agg(longest).where(F.col("b.n") >= least_rows)
     return best.select("doc_id", "page", "col", (-F.col("b.up")).alias("row_start"), F.col("b.row_end").alias("row_end"))
@@ -102,7 +109,7 @@ def page_features(grid: DataFrame, ramp: str = RAMP) -> DataFrame:
     listed = lambda df, name, *cols: df.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     dark = F.char_length(F.regexp_replace("line", f"[^{DARK}]", ""))
     pages = grid.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("rows"), F.max(F.char_length("line")).alias("cols"), F.round(F.sum(dark) / F.greatest(F.sum(F.char_length("line")), F.lit(1)), 3).alias("density"))
-    heads = layout_headings(grid).join(grid, ["doc_id", "page", "row"]).withColumn("width_ratio", F.round(width_ratio(F.col("line"), ramp[-1]), 3))
+    heads = _heading_rows(grid).withColumn("width_ratio", F.round(width_ratio(F.col("line"), ramp[-1]), 3))
     dense = layout_table_bands(grid).withColumn("columns", F.lit(0))
     tables = merge_hints(dense.unionByName(layout_sparse_tables(grid, ramp=ramp)))
     breaks = layout_breaks(grid).select("doc_id", "page", F.col("row_start").alias("row"), (F.col("row_end") - F.col("row_start") + 1).alias("blank_rows"))
