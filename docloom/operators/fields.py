@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted, strip
+from ..sources.staging import staged
 
 #: Value shapes in the order in which they are tried, how many labels a pattern takes, and shapes that need no label.
 SHAPES = (
@@ -200,27 +201,42 @@ def pattern_synthesis(examples: DataFrame) -> DataFrame:
 
     examples: field, example. At each level an example is a row of runs of one class; the finest level at which all examples of a field have the same row gives the pattern: per run its
     text where all agree, else the class with the least and greatest length. Where no level fits, an example is longer than 30 characters or holds a line break, the level is 'free' and the
-    pattern a whole line. specific: the pattern holds digits or punctuation, so that it can be looked for without a label. Null examples don't count; examples are only grouped, never gathered."""
-    rows = examples.where("example IS NOT NULL").select("field", "example").groupBy("field", "example").agg(F.count(F.lit(1)).alias("_n"))
-    steps = []
-    for depth, (level, classes) in enumerate(LEVELS):
-        run = "|".join(f"{c}+" for _, c, _ in classes) + "|(?s:.)"
-        kind = F.lit(None).cast("string")
-        for key, c, _ in reversed(classes):
-            kind = F.when(F.col("_x").rlike(f"^{c}"), key).otherwise(kind)
-        runs = rows.select("field", "example", F.regexp_extract_all("example", F.lit(f"({run})"), 1).alias("_r")).select("field", "example", F.size("_r").alias("_size"), F.posexplode("_r").alias("_at", "_x"))
-        steps.append(runs.select(F.lit(depth).alias("_depth"), "field", "_size", "_at", "_x", F.coalesce(kind, F.col("_x")).alias("_kind")))
-    each = steps[0].unionByName(steps[1]).unionByName(steps[2])
-    by = each.groupBy("_depth", "field", "_at").agg(F.min("_kind").alias("_k"), F.max("_kind").alias("_k2"), F.min("_x").alias("_x"), F.max("_x").alias("_x2"), F.min("_size").alias("_size"), F.max("_size").alias("_size2"),
-                                                   F.min(F.char_length("_x")).alias("_a"), F.max(F.char_length("_x")).alias("_b"))
+    pattern a whole line. specific: the pattern holds digits or punctuation, so that it can be looked for without a label. Null examples don't count.
+
+    All examples of a field are held against one of them, run by run, so that only numbers are aggregated: a task keeps a row for each field, level and place, however many examples it reads."""
+    rows = examples.where("example IS NOT NULL").select("field", "example", F.xxhash64("example").alias("_h"))
+    wide = (F.char_length("example") > LONGEST_EXAMPLE) | F.contains("example", F.lit("\n")) | (F.col("example") == "")
+    whole = staged(rows.groupBy("field").agg(F.count(F.lit(1)).alias("n_examples"), F.bool_or(wide).alias("_wide"), F.min("_h").alias("_least")))
+    narrow = whole.where("NOT _wide").select("field", F.col("_least").alias("_h"))  # the others' runs don't matter
+    one = rows.join(F.broadcast(narrow), ["field", "_h"]).select("field", "example").distinct().groupBy("field").agg(F.min("example").alias("example"))
+
+    def runs(depth: int) -> Column:
+        return F.regexp_extract_all("example", F.lit("(" + "|".join(f"{c}+" for _, c, _ in LEVELS[depth][1]) + "|(?s:.))"), 1)
+
+    def kind(x: Column) -> Column:
+        found = x
+        for depth, (_, classes) in enumerate(LEVELS):
+            for key, c, _ in reversed(classes):
+                found = F.when((F.col("_depth") == depth) & x.rlike(f"^{c}"), key).otherwise(found)
+        return found
+
+    levels = range(len(LEVELS))
+    steps = one.select("field", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), runs(d).alias("r")) for d in levels])).alias("_l"))
+    steps = staged(steps.select("field", F.col("_l.d").alias("_depth"), F.posexplode("_l.r").alias("_at", "_x")).withColumn("_k", kind(F.col("_x"))))  # a row for each run of one example a field
+    of = steps.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("_depth", "_at", "_x", "_k"))).alias("_s"))
+    of = of.select("field", *[F.expr(f"filter(_s, x -> x._depth = {d})").alias(f"_s{d}") for d in levels])
+    each = rows.join(F.broadcast(of), "field").select("field", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), runs(d).alias("r"), F.col(f"_s{d}").alias("s")) for d in levels])).alias("_l"))
+    each = each.select("field", F.col("_l.d").alias("_depth"), F.col("_l.s").alias("_s"), (F.size("_l.r") == F.size("_l.s")).alias("_long"), F.posexplode("_l.r").alias("_at", "_v")).withColumn("_o", F.get("_s", F.col("_at")))
+    same = F.col("_v") == F.col("_o._x")
+    by = each.groupBy("field", "_depth", "_at").agg(F.bool_and(F.col("_long") & (same | (kind(F.col("_v")) == F.col("_o._k")))).alias("_ok"), F.bool_and(same).alias("_same"),
+                                                   F.min(F.char_length("_v")).alias("_a"), F.max(F.char_length("_v")).alias("_b"))
     known = F.create_map(*[v for depth, (_, classes) in enumerate(LEVELS) for key, _, c in classes for v in (F.lit(f"{depth}{key}"), F.lit(c))])
     often = F.when((F.col("_a") == 1) & (F.col("_b") == 1), "").when(F.col("_a") == F.col("_b"), F.format_string("{%d}", "_a")).otherwise(F.format_string("{%d,%d}", "_a", "_b"))
     escaped = F.regexp_replace("_x", r"([^\p{L}\p{N} ])", r"\\$1")
-    part = F.when(F.col("_x") == F.col("_x2"), escaped).otherwise(F.concat(F.element_at(known, F.concat("_depth", "_k")), often))
-    fits = by.groupBy("_depth", "field").agg(F.bool_and((F.col("_k") == F.col("_k2")) & (F.col("_size") == F.col("_size2"))).alias("_ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", part.alias("p")))), lambda x: x["p"]), "").alias("pattern"),
-                                             F.max((F.col("_k") == "d") | F.col("_k").rlike(r"^[^\p{L}\p{N}\s]$")).alias("specific"))
+    part = F.when(F.col("_same"), escaped).otherwise(F.concat(F.element_at(known, F.concat("_depth", "_k")), often))
+    fits = steps.join(by, ["field", "_depth", "_at"]).groupBy("_depth", "field").agg(F.bool_and("_ok").alias("_ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", part.alias("p")))), lambda x: x["p"]), "").alias("pattern"),
+                                                                                    F.max((F.col("_k") == "d") | F.col("_k").rlike(r"^[^\p{L}\p{N}\s]$")).alias("specific"))
     best = fits.where("_ok").groupBy("field").agg(F.min(F.struct("_depth", "pattern", "specific")).alias("b"))
-    whole = rows.groupBy("field").agg(F.sum("_n").alias("n_examples"), F.bool_or((F.char_length("example") > LONGEST_EXAMPLE) | F.contains("example", F.lit("\n")) | (F.col("example") == "")).alias("_wide"))
     met = whole.join(best, "field", "left")
     narrow = F.col("b").isNotNull() & ~F.col("_wide")
     level = F.get(F.array(*[F.lit(n) for n, _ in LEVELS]), F.col("b._depth"))
