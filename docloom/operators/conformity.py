@@ -44,20 +44,33 @@ def technical_failures(mapping: DataFrame, schema: list[tuple[str, str, bool]],
     return out.withColumn("dimension", F.lit("technical")).withColumn("severity", F.lit("critical")).select(*FAILURE)
 
 
+def fingerprints(blocks: DataFrame) -> DataFrame:
+    """blocks: doc_id, level (null: no heading), is_list, is_table, cells. A row a document: doc_id, metrics (metric, n).
+
+    Blocks are read once; where they are dealt by document, nothing is moved."""
+    by = blocks.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("_n"), F.count_if("is_table").alias("_t"), F.coalesce(F.sum("cells"), F.lit(0)).alias("_c"), F.count_if("is_list").alias("_l"))
+    heads = F.collect_list(F.when(F.col("level").isNotNull(), F.struct(F.concat(F.lit("headings_h"), F.col("level")).alias("metric"), F.col("_n").alias("n"))))
+    whole = by.groupBy("doc_id").agg(heads.alias("_heads"), F.sum("_t").alias("tables_count"), F.sum("_c").alias("table_cells_total"), F.coalesce(F.sum(F.when(F.col("level").isNotNull(), F.col("_n"))), F.lit(0)).alias("sections_count"),
+                                     F.sum("_l").alias("list_paragraphs"))
+    totals = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in ("tables_count", "table_cells_total", "sections_count", "list_paragraphs")])
+    return whole.select("doc_id", F.concat("_heads", totals).alias("metrics"))
+
+
 def fingerprint(blocks: DataFrame) -> DataFrame:
-    """blocks: doc_id, level (null: no heading), is_list, is_table, cells. Long form: doc_id, metric, n."""
-    heads = blocks.where("level IS NOT NULL").groupBy("doc_id", F.concat(F.lit("headings_h"), F.col("level")).alias("metric")).agg(F.count(F.lit(1)).alias("n"))
-    whole = blocks.groupBy("doc_id").agg(F.count_if("is_table").alias("tables_count"), F.coalesce(F.sum("cells"), F.lit(0)).alias("table_cells_total"),
-                                         F.count_if(F.col("level").isNotNull()).alias("sections_count"), F.count_if("is_list").alias("list_paragraphs"))
-    return heads.unionByName(whole.unpivot("doc_id", ["tables_count", "table_cells_total", "sections_count", "list_paragraphs"], "metric", "n"))
+    """The same in long form: doc_id, metric, n."""
+    return fingerprints(blocks).select("doc_id", F.explode("metrics").alias("_m")).select("doc_id", "_m.metric", "_m.n")
 
 
 def structural_failures(template: DataFrame, candidates: DataFrame) -> DataFrame:
-    """template: metric, n. candidates: doc_id, metric, n. A full outer comparison for each document; what either lacks counts as 0."""
-    docs = candidates.select("doc_id").distinct()
-    wanted = docs.crossJoin(F.broadcast(template.select("metric", F.col("n").alias("_e"))))  # as many rows a document as the template has metrics
-    both = wanted.join(candidates.select("doc_id", "metric", F.col("n").alias("_a")), ["doc_id", "metric"], "full")
-    both = both.select("doc_id", "metric", F.coalesce("_e", F.lit(0)).alias("_e"), F.coalesce("_a", F.lit(0)).alias("_a")).where("_e <> _a")
+    """template: metric, n. candidates: doc_id, metric, n, or a row a document as fingerprints gives it. A full outer comparison for each document; what either lacks counts as 0.
+
+    A document's metrics lie in one row, and what of the template isn't among them is put to them, so that only rows that differ leave the task."""
+    wanted = template.where("metric IS NOT NULL").agg(F.map_from_entries(F.collect_list(F.struct("metric", "n"))).alias("_w"))  # one row, as long as the template
+    own = candidates if "metrics" in candidates.columns else candidates.groupBy("doc_id").agg(F.collect_list(F.struct("metric", "n")).alias("metrics"))
+    row = lambda metric, e, a: F.struct(metric.alias("metric"), F.coalesce(e, F.lit(0)).cast("long").alias("_e"), F.coalesce(a, F.lit(0)).cast("long").alias("_a"))
+    known = F.transform("metrics", lambda m: row(m["metric"], F.element_at("_w", m["metric"]), m["n"]))
+    lacking = F.transform(F.array_except(F.map_keys("_w"), F.transform("metrics", lambda m: m["metric"])), lambda w: row(w, F.element_at("_w", w), F.lit(0)))
+    both = own.crossJoin(F.broadcast(wanted)).select("doc_id", F.explode(F.concat(known, lacking)).alias("_o")).select("doc_id", "_o.metric", "_o._e", "_o._a").where("_e <> _a")
     limit = F.lit(METRIC_LIMITS["headings"])
     for name, n in METRIC_LIMITS.items():
         limit = F.when(F.col("metric") == name, n).otherwise(limit)
@@ -86,13 +99,17 @@ def visual_failures(template: dict, candidates: DataFrame) -> DataFrame:
 
 def dimension_scores(docs: DataFrame, failures: DataFrame, evaluated: list[str], skipped: dict[str, str] | None = None) -> DataFrame:
     """For each document and dimension its score, 1 - (critical + 0.4 * others) / most, within 0 and 1. skipped (dimension, reason) score 1."""
-    skipped = skipped or {}
+    skipped, critical = skipped or {}, F.coalesce(F.col("severity") == "critical", F.lit(False))
     named = docs.sparkSession.createDataFrame([(d, d in skipped, skipped.get(d), MOST_FAILURES.get(d, 4.0)) for d in [*evaluated, *skipped]],
                                               "dimension string, skipped boolean, skip_reason string, _most double")
-    weight = failures.groupBy("doc_id", "dimension").agg(F.sum(F.when(F.col("severity") == "critical", 1.0).otherwise(0.4)).alias("_w"), F.count_if(F.col("severity") == "critical").alias("n_critical"))
-    both = docs.select("doc_id").distinct().crossJoin(F.broadcast(named)).join(weight, ["doc_id", "dimension"], "left")  # five dimensions at most
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.coalesce("_w", F.lit(0.0)) / F.col("_most")))
-    return both.select("doc_id", "dimension", F.when(F.col("skipped"), 1.0).otherwise(score).alias("score"), "skipped", "skip_reason", F.coalesce("n_critical", F.lit(0)).alias("n_critical"))
+    dims = list(dict.fromkeys([*evaluated, *skipped])) or [""]
+    # a row a document, with two counts for each dimension
+    told = failures.groupBy("doc_id").agg(*[F.count_if((F.col("dimension") == d) & c).alias(f"_{k}{i}") for i, d in enumerate(dims) for k, c in (("c", critical), ("o", ~critical))])
+    each = F.array(*[F.struct(F.lit(d).alias("d"), F.coalesce(f"_c{i}", F.lit(0)).alias("c"), F.coalesce(f"_o{i}", F.lit(0)).alias("o")) for i, d in enumerate(dims)])
+    both = docs.select("doc_id").distinct().join(told, "doc_id", "left").select("doc_id", F.explode(each).alias("_x")).join(F.broadcast(named), F.col("_x.d") == F.col("dimension"))  # five dimensions at most
+    weight = (10 * F.col("_x.c") + 4 * F.col("_x.o")) / 10
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - weight / F.col("_most")))
+    return both.select("doc_id", "dimension", F.when(F.col("skipped"), 1.0).otherwise(score).alias("score"), "skipped", "skip_reason", F.col("_x.c").alias("n_critical"))
 
 
 def verdicts(scores: DataFrame, weights: dict[str, float] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,24 @@ def test_conformity_scores(spark):
     assert verdict[1][1] is False and verdict[2] == (round((0.2 + 0.2 * 0.9 + 0.3) / 0.7, 4), True)
 
 
+def test_structure_is_compared_where_blocks_lie(spark):
+    kind = "doc_id long, level int, is_list boolean, is_table boolean, cells long"
+    blocks = spark.createDataFrame([(1, 1, False, False, 0), (1, 1, False, False, 0), (1, None, True, True, 6), (2, None, False, False, None)], kind).repartition(3, "doc_id")
+    template = spark.createDataFrame([("headings_h1", 1), ("headings_h4", 2), ("tables_count", 1), ("table_cells_total", 6)], "metric string, n long")
+    marks = conformity.fingerprint(blocks)
+    assert {(r.doc_id, r.metric, r.n) for r in marks.collect()} == {(1, "headings_h1", 2), (1, "tables_count", 1), (1, "table_cells_total", 6), (1, "sections_count", 2), (1, "list_paragraphs", 1),
+                                                                    (2, "tables_count", 0), (2, "table_cells_total", 0), (2, "sections_count", 0), (2, "list_paragraphs", 0)}
+    far = conformity.structural_failures(template, marks)
+    assert {(r.doc_id, r.field_or_excerpt, r.expected, r.actual, r.severity) for r in far.collect()} == {
+        (1, "headings_h1", "1", "2", "warning"), (1, "headings_h4", "2", "0", "critical"), (1, "sections_count", "0", "2", "critical"), (1, "list_paragraphs", "0", "1", "warning"),
+        (2, "headings_h1", "1", "0", "warning"), (2, "headings_h4", "2", "0", "critical"), (2, "tables_count", "1", "0", "critical"), (2, "table_cells_total", "6", "0", "critical")}
+    assert sorted(conformity.structural_failures(template, conformity.fingerprints(blocks)).collect()) == sorted(far.collect())
+    scores = conformity.dimension_scores(blocks.select("doc_id"), far, ["structural"])
+    assert {r.doc_id: r.score for r in scores.collect()} == {1: 1 - 2.8 / 4, 2: 1 - 3.4 / 4}
+    for df, key in ((far, "metric#"), (scores, "dimension#")):  # rows aren't dealt again by document and metric or dimension
+        assert not re.search(rf"Exchange hashpartitioning\(doc_id#\d+L, {key}", df._jdf.queryExecution().toString())
+
+
 def test_nothing_evaluated_does_not_conform(spark):
     docs = spark.createDataFrame([(1,)], "doc_id long")
     none = spark.createDataFrame([], "doc_id long, dimension string, severity string")
