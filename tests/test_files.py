@@ -222,3 +222,12 @@ def test_files_are_built_in_streams_and_read_once(spark):
     assert len(got) == 450 and {r.style for r in got if r.kind == "paragraph"} == {'Title "x" & <y>'} and {r.anchor for r in got if r.kind == "cell"} == {1}
     only = docx.read_blocks(made, "cell").collect()
     assert sorted((r.path, r.idx, r.text) for r in only) == sorted((r.path, r.idx, r.text) for r in got if r.kind == "cell")
+
+
+def test_parts_are_parsed_once(monkeypatch):
+    content = docx_files._package([("paragraph", None, i, None, None, f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>") for i, t in enumerate(("ab", "{{X}}"))])
+    empty = dict.fromkeys([c for c, _ in docx_files._EDIT_COLUMNS])
+    with monkeypatch.context() as m:
+        m.setattr(docx.ElementTree, "fromstring", None)  # a part is parsed as its namespaces are read, and not again
+        made = docx_files.apply_edits(content, [empty | {"step": 4, "op": "body", "key": "{{X}}", "text": "v"}])
+    assert [b["text"] for b in docx.blocks_of("f", made)] == ["ab", "v"]
