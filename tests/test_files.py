@@ -231,3 +231,26 @@ def test_parts_are_parsed_once(monkeypatch):
         m.setattr(docx.ElementTree, "fromstring", None)  # a part is parsed as its namespaces are read, and not again
         made = docx_files.apply_edits(content, [empty | {"step": 4, "op": "body", "key": "{{X}}", "text": "v"}])
     assert [b["text"] for b in docx.blocks_of("f", made)] == ["ab", "v"]
+
+
+def test_parts_are_written_in_one_walk():
+    other = 'xmlns:o="urn:o" xmlns:xml="http://www.w3.org/XML/1998/namespace"'
+    for xml in (f'<w:document xmlns:w="{docx.W[1:-1]}" {other}><w:body><w:p o:a="1 &lt;&quot;&#10;&#9;&amp;" b="é"><o:x/>tail &amp; &lt;<w:t xml:space="preserve"> a &gt; b </w:t><w:t/></w:p></w:body></w:document>', "<a/>", '<a xmlns="urn:q"><b> </b></a>'):
+        root = docx.ElementTree.fromstring(xml)
+        assert docx.written(root) == docx.ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def test_edits_are_taken_by_field_and_rewrites_read_texts_once(monkeypatch):
+    import pyarrow as pa
+
+    one = dict.fromkeys([c for c, _ in docx_files._EDIT_COLUMNS[1:]])
+    rows = [None, [], [one | {"step": 5, "op": "rewrite", "seq": i, "key": k, "text": f"t{i}"} for i, k in enumerate(("none", " b ", "t1", "inner"))], None, [one]]
+    kinds = pa.struct([(c, pa.int32() if t == "int" else pa.string()) for c, t in docx_files._EDIT_COLUMNS[1:]])
+    column = pa.array(rows, pa.list_(kinds))
+    assert docx_files.edits_of(column) == rows and docx_files.edits_of(column[2:]) == rows[2:]
+    xml = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in "abc") + "<w:p><w:r><w:t>b</w:t></w:r><w:r><w:p><w:r><w:t/></w:r></w:p></w:r></w:p>"
+    content, calls, read = docx_files._package([("paragraph", None, 0, None, None, xml)]), [], docx_files._text
+    monkeypatch.setattr(docx_files, "_text", lambda p: calls.append(p) or read(p))
+    made = docx_files.apply_edits(content, rows[2][:1] * 3)
+    assert made and len(calls) == 5  # three rewrites that find nothing
+    assert [b["text"] for b in docx.blocks_of("f", docx_files.apply_edits(content, rows[2]))] == ["a", "t2", "c", "t2"]
