@@ -81,6 +81,25 @@ def test_sparse_tables(spark):
     assert {r.columns for r in layout.layout_sparse_tables(grid, dense=True).collect()} <= {2, 3, 4, 5, 6}
 
 
+def test_breaks_and_densities(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), rng.choice([1, 2]), rng.choice([*range(12), None]), rng.choice([None, "", " " * 20, "\n█ ", "█▓" * 10, "█" + " " * 19, "█" + " " * 18, "▒░ x\u00e9\U0001F600"])) for _ in range(400)]  # rows come again, keys and lines are missing
+    grid = spark.createDataFrame(rows, "doc_id long, page int, row int, line string")
+    share = lambda x: sum(c in "█▓" for c in x) / len(x) if x else 0.0
+    assert [r.d for r in grid.select(layout.density(F.col("line")).alias("d")).collect()] == [share(x) for *_, x in rows]
+    runs = {}
+    for key in {x[:2] for x in rows}:
+        thin = sorted(r for *k, r, x in rows if tuple(k) == key and r is not None and share(x) <= layout.BREAK_DENSITY)
+        for n, r in enumerate(thin):
+            runs.setdefault((*key, r - n), []).append(r)
+    breaks = layout.layout_breaks(grid)
+    assert sorted(map(str, map(tuple, breaks.collect()))) == sorted(str((*k[:2], min(v), max(v))) for k, v in runs.items() if max(v) > min(v))
+    assert layout.layout_breaks(grid.limit(0)).count() == 0
+    # a line that is made from others is made once for each row, and characters are counted without a pattern
+    plan = layout.layout_breaks(grid.withColumn("line", F.concat("line", F.lit("~")))).union(breaks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("~") == 1 and "regexp" not in plan and "Window" not in plan
+
+
 def test_features_and_summaries(spark):
     page = ["████████  ", "          ", "          ", " █   █    ", " █   █    ", " █   █    ", " █   █    ", " █   █    ", "  ░░░░    "]
     pages = layout.page_features(spark.createDataFrame([(1, n, r, line) for n in (1, 2) for r, line in enumerate(page)] + [(2, 1, 0, "")], "doc_id long, page int, row int, line string"))
